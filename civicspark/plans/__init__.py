@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("apportionment",)
+FAMILIES = ("apportionment", "levelling")
 
 
 def load_all():
