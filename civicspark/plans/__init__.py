@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("apportionment", "levelling")
+FAMILIES = ("apportionment", "levelling", "candidates")
 
 
 def load_all():

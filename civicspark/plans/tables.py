@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 #: Seats used by the queries.
 NATIONAL_SEATS = 175
 CONSTITUENCY_SEATS = 135
-LIST_SEATS = 60
 LEVELLED_TOTAL = 260
-#: Divisor count of the national quotient tables.
-EP_SEATS = 30
+#: Seats of the two-stage elections with alliances.
+EP_SEATS = 60
 
 FIXTURES = {
     "fx_ballots": """
