@@ -22,7 +22,11 @@ def hierarchy(levels: Sequence[DataFrame]) -> DataFrame:
         shared = [c for c in lower.columns if c in upper.columns]
         if len(shared) != 1:
             raise ValueError(f"levels must share one id column, found {shared}")
-        return upper.join(lower, shared, "left")
+        # inner join plus the childless areas: an outer join that keeps the small side
+        # could neither broadcast it nor split a hot parent
+        parents = lower.select(*shared).distinct()
+        childless = upper.join(parents, shared, "left_anti")
+        return upper.join(lower, shared).unionByName(childless, allowMissingColumns=True)
 
     return reduce(attach, levels)
 

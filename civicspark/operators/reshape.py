@@ -42,10 +42,14 @@ def totals_row(
 
 
 def member_text(df: DataFrame, keys: Sequence[str], member: str, out: str = "members") -> DataFrame:
-    """Distinct members of each group in one line, in name order."""
-    distinct = df.select(*keys, member).distinct()
-    joined = F.array_join(F.sort_array(F.collect_list(member)), ", ")
-    return distinct.groupBy(*keys).agg(joined.alias(out))
+    """Distinct members of each group in one line, in name order, and their number."""
+    names = F.sort_array(F.collect_set(member))
+    grouped = df.select(*keys, member).distinct().groupBy(*keys).agg(names.alias("__names"))
+    return grouped.select(
+        *keys,
+        F.array_join("__names", ", ").alias(out),
+        F.size("__names").alias(f"n_{out}"),
+    )
 
 
 def selected_first(column: Column, selected: Sequence) -> Column:

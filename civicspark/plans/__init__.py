@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("apportionment", "levelling", "candidates")
+FAMILIES = ("apportionment", "levelling", "candidates", "geography")
 
 
 def load_all():

@@ -206,12 +206,11 @@ def report_elected(t):
 
 @query("elected_by_party", f"""
 WITH {RANKING}
-SELECT election_id, party, count(*) AS n_elected, string_agg(candidate, ', ' ORDER BY candidate) AS elected
+SELECT election_id, party, count(*)::INT AS n_elected, string_agg(candidate, ', ' ORDER BY candidate) AS elected
 FROM ranking WHERE elected GROUP BY 1, 2""")
 def elected_by_party(t):
     chosen = ranking(t).where(F.col("elected")).select("election_id", "party", "candidate")
-    counts = chosen.groupBy(*LIST).agg(F.count(F.lit(1)).alias("n_elected"))
-    return member_text(chosen, LIST, "candidate", "elected").join(counts, LIST)
+    return member_text(chosen, LIST, "candidate", "elected")
 
 
 # ---- national elections: one list per party and constituency -------------------------
