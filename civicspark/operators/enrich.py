@@ -160,3 +160,25 @@ def unmatched_keys(df: DataFrame, dimension: DataFrame, column: str, key: str) -
 def upsert_dimension(old: DataFrame, new: DataFrame) -> DataFrame:
     """Append new dimension rows, without exact repeats."""
     return old.unionByName(new, allowMissingColumns=True).distinct()
+
+
+def official_names(
+    places: DataFrame, name: str, status: str, secondary: str, official: str = "officielt"
+) -> DataFrame:
+    """The official name of each place: the primary one if official, else each official
+    secondary name. Places without any keep a row with NULL."""
+    alternatives = places.withColumn("__alt", F.explode_outer(secondary))
+    chosen = F.when(F.col(status) == official, F.col(name)).when(
+        F.col("__alt.navnstatus") == official, F.col("__alt.navn")
+    )
+    return alternatives.withColumn(name, chosen).drop("__alt", secondary, status)
+
+
+def countdown(
+    df: DataFrame, keys: Sequence[str], period: str, value: str, target: int
+) -> DataFrame:
+    """What the value of the latest period lacks to the target."""
+    latest = F.max_by(value, period)
+    return df.groupBy(*keys).agg(
+        F.max(period).alias(period), (F.lit(target) - latest).cast("bigint").alias("missing")
+    )

@@ -119,3 +119,23 @@ def split_rank(
         (F.col("__values_above") + F.col("__position")).alias(f"{prefix}_dense"),
     )
     return null_safe_join(df, ranked, [*keys, column])
+
+
+def split_row_number(
+    df: DataFrame,
+    keys: Sequence[str],
+    column: str,
+    tiebreak: Sequence[str],
+    out: str,
+    chunks: int = 256,
+) -> DataFrame:
+    """Exact row numbers, largest value first, for groups of any size.
+
+    The rows above come from the split rank; only rows with the same key and value are
+    numbered in one window.
+    """
+    ranked = split_rank(df, keys, column, chunks, "__rank")
+    same = Window.partitionBy(*keys, column).orderBy(*tiebreak)
+    return ranked.withColumn(
+        out, F.col("__rank_min") + F.row_number().over(same) - 1
+    ).drop("__rank_min", "__rank_avg", "__rank_dense")

@@ -63,6 +63,26 @@ def danish_order(column: Column) -> Column:
     return F.collate(column, "da")
 
 
-def scalar_column(df: DataFrame, scalar: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate to every row, without collecting it."""
-    return df.crossJoin(F.broadcast(scalar))
+def scalar_column(df: DataFrame, name: str, scalar: DataFrame) -> DataFrame:
+    """Attach a one-row, one-column aggregate to every row as a scalar subquery."""
+    return df.withColumn(name, scalar.scalar())
+
+
+def repeat_rows(df: DataFrame, times: Column, index: str) -> DataFrame:
+    """Repeat each row ``times`` times with a running index from 1."""
+    return df.withColumn(index, F.explode(F.when(times >= 1, F.sequence(F.lit(1), times))))
+
+
+def nest(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    """One row per key with the other columns as an array of structs.
+
+    Meant for keys with few rows each, such as the parties of a constituency.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias(out))
+
+
+def unnest(df: DataFrame, column: str) -> DataFrame:
+    """Undo ``nest``."""
+    keys = [c for c in df.columns if c != column]
+    return df.select(*keys, F.inline(column))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("apportionment", "levelling", "candidates", "geography")
+FAMILIES = ("apportionment", "levelling", "candidates", "geography", "calendars", "patterns")
 
 
 def load_all():
