@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-FAMILIES = ("apportionment", "levelling", "candidates", "geography", "calendars", "patterns")
+FAMILIES = (
+    "apportionment", "levelling", "candidates", "geography", "calendars", "patterns", "ingest",
+)
 
 
 def load_all():
