@@ -4,6 +4,7 @@ from importlib import import_module
 
 FAMILIES = (
     "apportionment", "levelling", "candidates", "geography", "calendars", "patterns", "ingest",
+    "live",
 )
 
 

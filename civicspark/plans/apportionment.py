@@ -313,3 +313,32 @@ def all_elections(t):
         F.sum(F.col("won").cast("int")).cast("int").alias("seats"),
         F.min(F.when(F.col("won"), F.col("overall_rank"))).alias("first_seat_no"),
     )
+
+
+@query("report_party_seats", f"""
+WITH {PARTIES_IN_ALLIANCE},
+s AS (SELECT election_id, alliance, party, votes, sum(won::INT)::INT AS seats FROM pw GROUP BY 1, 2, 3, 4)
+SELECT election_id, party, votes, round(100 * votes / sum(votes) OVER (PARTITION BY election_id), 2) AS share_pct,
+       seats FROM s QUALIFY seats > 0""")
+def report_party_seats(t):
+    """Parties with seats, their votes and vote share."""
+    return (
+        seats_and_share(t)
+        .where("seats > 0")
+        .select("election_id", "party", "votes", "share_pct", "seats")
+    )
+
+
+@query("report_seat_ranking", f"""
+WITH {PARTIES_IN_ALLIANCE}
+SELECT election_id, party, alliance, quotient, rk::DOUBLE AS rank, order_key,
+       (dense_rank() OVER (PARTITION BY election_id ORDER BY order_key DESC))::INT AS overall_rank, won FROM pw""")
+def report_seat_ranking(t):
+    """Full quotient ranking in award order; the won rows are the seats."""
+    return (
+        ap.seat_order(alliance_quotients(t), KEYS)
+        .select(
+            "election_id", "party", "alliance", "quotient", "rank", "order_key", "overall_rank", "won"
+        )
+        .orderBy("election_id", "overall_rank")
+    )

@@ -154,9 +154,10 @@ def read_electorate(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
-    """Write documents in the landed layout, one folder per election."""
+    """Add documents in the landed layout, one folder per election."""
     (
-        documents.write.format("xml")
+        documents.write.mode("append")
+        .format("xml")
         .option("rowTag", "Data")
         .option("rootTag", "Valg")
         .partitionBy("election_id")
