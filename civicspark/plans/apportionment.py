@@ -62,6 +62,7 @@ def dhondt_constituency(t):
 
 
 def alliance_votes(t):
+    """National votes with the party's alliance."""
     return t.national_votes().join(t.parties().select("party", "alliance"), "party")
 
 
@@ -96,8 +97,9 @@ def alliance_stage1(t):
 
 
 def alliance_quotients(t):
+    # both stages read the votes, so the ballots are counted once
     return ap.alliance_party_quotients(
-        alliance_votes(t), KEYS, "party", "alliance", "votes", EP_SEATS
+        alliance_votes(t.counted()), KEYS, "party", "alliance", "votes", EP_SEATS
     )
 
 
@@ -128,7 +130,7 @@ SELECT *, votes / sum(votes) OVER (PARTITION BY election_id) AS share,
        round(100 * votes / sum(votes) OVER (PARTITION BY election_id), 2) AS share_pct FROM s""")
 def seats_and_share(t):
     seats = ap.alliance_party_seats(
-        alliance_votes(t), KEYS, "party", "alliance", "votes", EP_SEATS
+        alliance_votes(t.counted()), KEYS, "party", "alliance", "votes", EP_SEATS
     )
     total = F.sum("votes")
     return with_group_stats(seats, KEYS, total=total).withColumn(
@@ -148,7 +150,7 @@ SELECT s.election_id, s.party, votes / sum(votes) OVER (PARTITION BY s.election_
        with_alliance, without_alliance, with_alliance <> without_alliance AS differs
 FROM s JOIN n USING (election_id, party)""")
 def alliance_effect(t):
-    return ap.alliance_effect(alliance_votes(t), KEYS, "party", "alliance", "votes", EP_SEATS)
+    return ap.alliance_effect(alliance_votes(t.counted()), KEYS, "party", "alliance", "votes", EP_SEATS)
 
 
 def weights(t):

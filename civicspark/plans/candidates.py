@@ -18,6 +18,7 @@ from civicspark.plans.apportionment import (
 )
 from civicspark.plans.registry import query
 from civicspark.plans.tables import EP_SEATS
+from civicspark.session import materialize
 
 KEYS = ["election_id"]
 LIST = ["election_id", "party"]
@@ -51,9 +52,10 @@ def national_lists(t):
     return t.national_candidates().join(party_seats(t), LIST)
 
 
-def open_lists(t):
+def open_lists(t, lists=None):
+    lists = national_lists(t) if lists is None else lists
     return cd.open_list(
-        national_lists(t).where(~F.col("ordered_list")), LIST, "candidate", "personal_votes", "seats"
+        lists.where(~F.col("ordered_list")), LIST, "candidate", "personal_votes", "seats"
     )
 
 
@@ -61,7 +63,7 @@ def open_lists(t):
 WITH {OPEN_LISTS}
 SELECT election_id, party, candidate, personal_votes, seats, rank, elected FROM ol2""")
 def open_list(t):
-    return open_lists(t).select(
+    return open_lists(t.counted(candidates=True)).select(
         "election_id", "party", "candidate", "personal_votes", "seats", "rank", "elected"
     )
 
@@ -77,7 +79,7 @@ WITH {SUBSTITUTES}
 SELECT election_id, party, candidate, elected, CASE WHEN elected THEN r END AS elected_rank,
        CASE WHEN NOT elected THEN r END AS substitute_rank FROM ol3""")
 def substitute_order(t):
-    return cd.substitute_order(open_lists(t), LIST).select(
+    return cd.substitute_order(open_lists(t.counted(candidates=True)), LIST).select(
         "election_id", "party", "candidate", "elected", "elected_rank", "substitute_rank"
     )
 
@@ -89,7 +91,7 @@ SELECT election_id, party, party_votes, seats,
        floor(party_votes / (seats + 1)::DOUBLE + 1)::BIGINT AS national_quota FROM pseats""")
 def droop_quota(t):
     votes, seats = F.col("party_votes"), F.col("seats")
-    return party_seats(t).withColumns(
+    return party_seats(t.counted()).withColumns(
         {
             "european_quota": cd.droop_quota(votes, seats),
             "national_quota": cd.droop_quota(votes, seats, "national"),
@@ -112,10 +114,10 @@ wl6 AS (SELECT *, total >= quota OR rank <= seats AS elected FROM wl5)
 """
 
 
-def ordered_lists(t):
+def ordered_lists(t, lists=None):
+    lists = national_lists(t) if lists is None else lists
     return cd.ordered_list(
-        national_lists(t).where("ordered_list"), LIST, "list_pos", "personal_votes", "party_votes",
-        "seats",
+        lists.where("ordered_list"), LIST, "list_pos", "personal_votes", "party_votes", "seats"
     )
 
 
@@ -124,7 +126,7 @@ WITH {ORDERED_LISTS}
 SELECT election_id, party, candidate, list_pos, pool::BIGINT AS pool, quota, need::BIGINT AS need,
        allotted FROM wl6""")
 def list_waterfall(t):
-    return ordered_lists(t).select(
+    return ordered_lists(t.counted(candidates=True)).select(
         "election_id", "party", "candidate", "list_pos", "pool", "quota", "need", "allotted"
     )
 
@@ -133,7 +135,7 @@ def list_waterfall(t):
 WITH {ORDERED_LISTS}
 SELECT election_id, party, candidate, list_pos, total, quota, rank, elected FROM wl6""")
 def list_winners(t):
-    return ordered_lists(t).select(
+    return ordered_lists(t.counted(candidates=True)).select(
         "election_id", "party", "candidate", "list_pos", "total", "quota", "rank", "elected"
     )
 
@@ -169,14 +171,15 @@ RANKING_COLUMNS = [
 
 def ranking(t):
     """Both list types in one table, with elected and substitute order."""
-    opened = cd.substitute_order(open_lists(t), LIST).select(*RANKING_COLUMNS)
-    ordered = cd.substitute_order(ordered_lists(t), LIST, "list_pos").select(*RANKING_COLUMNS)
+    lists = materialize(national_lists(t))
+    opened = cd.substitute_order(open_lists(t, lists), LIST).select(*RANKING_COLUMNS)
+    ordered = cd.substitute_order(ordered_lists(t, lists), LIST, "list_pos").select(*RANKING_COLUMNS)
     return cd.merge_list_types(opened, ordered)
 
 
 @query("candidate_ranking", f"WITH {RANKING} SELECT * FROM ranking")
 def candidate_ranking(t):
-    return ranking(t)
+    return ranking(t.counted(candidates=True))
 
 
 def person_order(t):
@@ -186,7 +189,7 @@ def person_order(t):
 
 @query("person_seat_order", f"WITH {RANKING} SELECT * FROM person_order")
 def person_seat_order(t):
-    return person_order(t)
+    return person_order(t.counted(candidates=True))
 
 
 @query("report_elected", f"""
@@ -195,7 +198,7 @@ SELECT election_id, party, candidate, personal_votes, elected_rank, overall_rank
 FROM person_order WHERE elected""")
 def report_elected(t):
     return (
-        person_order(t)
+        person_order(t.counted(candidates=True))
         .where("elected")
         .select(
             "election_id", "party", "candidate", "personal_votes", "elected_rank", "overall_rank"
@@ -209,7 +212,7 @@ WITH {RANKING}
 SELECT election_id, party, count(*)::INT AS n_elected, string_agg(candidate, ', ' ORDER BY candidate) AS elected
 FROM ranking WHERE elected GROUP BY 1, 2""")
 def elected_by_party(t):
-    chosen = ranking(t).where(F.col("elected")).select("election_id", "party", "candidate")
+    chosen = ranking(t.counted(candidates=True)).where(F.col("elected")).select("election_id", "party", "candidate")
     return member_text(chosen, LIST, "candidate", "elected")
 
 
@@ -288,6 +291,7 @@ def local_seats(t):
 
 
 def local_lists(t):
+    t = t.counted(candidates=True)
     lists = cd.candidate_enrich(
         t.candidates(), local_seats(t), t.parties().select("party", "ordered_list"), LOCAL, ["party"]
     )
@@ -327,7 +331,7 @@ MERGED = [
 
 
 def merged_lists(t):
-    lists = local_lists(t)
+    lists = materialize(local_lists(t))
     opened = cd.open_list(
         lists.where(~F.col("ordered_list")), LOCAL, "candidate", "total_votes", "seats", "average"
     )

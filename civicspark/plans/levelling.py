@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from civicspark.functions.rank import avg_rank
@@ -72,18 +74,87 @@ def national(votes):
     return votes.groupBy("election_id", "party").agg(F.sum("votes").alias("votes"))
 
 
-def tally(t):
-    """The one pass over the raw rows, written once because many steps read it.
+class Levelled:
+    """The chain of steps on one set of elections.
 
-    It has one row per election, constituency and party.
+    Three small results that many steps read are written once: the tally (the only pass
+    over the raw rows), the constituency seats and the party totals. None has more than
+    one row per election, constituency and party.
     """
-    return materialize(t.skewed_votes())
-
 
-def rules(t, votes):
-    return th.threshold(
-        national(votes), regional_votes(votes), constituency_seats(t, votes), t.region_seats(), KEYS
-    )
+    def __init__(self, t):
+        self.t = t
+
+    @cached_property
+    def votes(self):
+        return materialize(self.t.skewed_votes())
+
+    @cached_property
+    def won(self):
+        return materialize(constituency_seats(self.t, self.votes))
+
+    @property
+    def rules(self):
+        return th.threshold(
+            national(self.votes), regional_votes(self.votes), self.won, self.t.region_seats(), KEYS
+        )
+
+    @property
+    def qualified(self):
+        return self.rules.where("qualified").select(
+            "election_id", "party", "votes", "constituency_seats"
+        )
+
+    @cached_property
+    def totals(self):
+        return materialize(lv.levelling_totals(self.qualified, KEYS, LEVELLED_TOTAL))
+
+    @property
+    def region_cells(self):
+        """Open and struck quotients of every qualifying party in every region."""
+        won = self.won.groupBy("election_id", "region_id", "party").agg(
+            F.sum("won").cast("int").alias("used")
+        )
+        caps = self.totals.select(
+            "election_id", "party", F.col("levelling_seats").alias("party_cap")
+        )
+        places = (
+            regional_votes(self.votes)
+            .join(caps, ["election_id", "party"])
+            .join(self.t.region_pool().withColumnRenamed("pool", "region_cap"), "region_id")
+            .join(won, ["election_id", "region_id", "party"], "left")
+            .withColumn("used", F.coalesce("used", F.lit(0)))
+        )
+        count = F.col("used") + F.least("party_cap", "region_cap")
+        return lv.placement_quotients(places, KEYS, "used", count, step=2)
+
+    @property
+    def awards(self):
+        return lv.capped_greedy(
+            self.region_cells, KEYS, "quotient", "region_id", "region_cap", "party", "party_cap",
+            LEVELLED, payload=["divisor"],
+        )
+
+    @property
+    def region_awards(self):
+        """Compensatory seats per region and qualifying party, zeros included."""
+        counted = self.awards.groupBy("election_id", "region_id", "party").agg(
+            F.count(F.lit(1)).cast("int").alias("awards")
+        )
+        pairs = regional_votes(self.votes).drop("votes").join(
+            self.totals.select("election_id", "party"), ["election_id", "party"]
+        )
+        return pairs.join(counted, ["election_id", "region_id", "party"], "left").withColumn(
+            "awards", F.coalesce("awards", F.lit(0))
+        )
+
+    @property
+    def constituency_cells(self):
+        won = self.won.withColumnRenamed("won", "used").drop("seats")
+        cells = won.join(self.region_awards, ["election_id", "region_id", "party"])
+        return lv.constituency_placement(
+            cells, KEYS, "region_id", "constituency_id", "party", "used", "awards"
+        )
 
 
 @query("threshold_seat", f"""WITH {RULES} SELECT * FROM rule1""")
@@ -106,15 +177,7 @@ def threshold_share(t):
 @query("threshold_any", f"""
 WITH {RULES} SELECT *, seat_rule OR region_rule OR share_rule AS qualified FROM rules""")
 def threshold_any(t):
-    return rules(t, tally(t))
-
-
-def qualifying(t, votes):
-    return (
-        rules(t, votes)
-        .where("qualified")
-        .select("election_id", "party", "votes", "constituency_seats")
-    )
+    return Levelled(t).rules
 
 
 @query("entitlement", f"""
@@ -122,7 +185,7 @@ WITH {TOTALS}
 SELECT election_id, party, votes, constituency_seats, quota, entitled, over_represented, triggered
 FROM ent3""")
 def entitlement(t):
-    return lv.entitlement(qualifying(t, tally(t)), KEYS, LEVELLED_TOTAL)
+    return lv.entitlement(Levelled(t).qualified, KEYS, LEVELLED_TOTAL)
 
 
 @query("overhang_requota", f"""
@@ -139,21 +202,17 @@ def overhang_requota(t):
 WITH {TOTALS}
 SELECT election_id, party, whole, fraction, rest, fraction_rank, remainder_seat FROM tot""")
 def levelling_remainder(t):
-    return totals(t, tally(t)).select(
+    return Levelled(t).totals.select(
         "election_id", "party", "whole", "fraction", "rest", "fraction_rank", "remainder_seat"
     )
 
 
-def totals(t, votes):
-    return lv.levelling_totals(qualifying(t, votes), KEYS, LEVELLED_TOTAL)
-
-
 @query("party_totals", f"""
 WITH {TOTALS}
 SELECT election_id, party, votes, constituency_seats, levelling_seats, remainder_seat,
        (levelling_seats + constituency_seats)::INT AS total_seats FROM tot""")
 def party_totals(t):
-    return totals(t, tally(t)).select(
+    return Levelled(t).totals.select(
         "election_id", "party", "votes", "constituency_seats", "levelling_seats",
         "remainder_seat", "total_seats",
     )
@@ -197,40 +256,14 @@ regaward AS (SELECT election_id, region_id, party, count(*)::INT AS awards FROM
 """
 
 
-def region_cells(t, votes):
-    """Open and struck quotients of every qualifying party in every region."""
-    won = constituency_seats(t, votes).groupBy("election_id", "region_id", "party").agg(
-        F.sum("won").cast("int").alias("used")
-    )
-    caps = totals(t, votes).select(
-        "election_id", "party", F.col("levelling_seats").alias("party_cap")
-    )
-    places = (
-        regional_votes(votes)
-        .join(caps, ["election_id", "party"])
-        .join(t.region_pool().withColumnRenamed("pool", "region_cap"), "region_id")
-        .join(won, ["election_id", "region_id", "party"], "left")
-        .withColumn("used", F.coalesce("used", F.lit(0)))
-    )
-    count = F.col("used") + F.least("party_cap", "region_cap")
-    return lv.placement_quotients(places, KEYS, "used", count, step=2)
-
-
 @query("region_quotients", f"WITH RECURSIVE {PLACES} SELECT * FROM rq")
 def region_quotients(t):
-    return region_cells(t, tally(t))
-
-
-def awards(t, votes):
-    return lv.capped_greedy(
-        region_cells(t, votes), KEYS, "quotient", "region_id", "region_cap", "party", "party_cap",
-        LEVELLED, payload=["divisor"],
-    )
+    return Levelled(t).region_cells
 
 
 @query("capped_greedy", f"WITH RECURSIVE {GREEDY} SELECT * FROM award")
 def capped_greedy(t):
-    return awards(t, tally(t))
+    return Levelled(t).awards
 
 
 @query("capped_greedy_log", f"""
@@ -246,8 +279,8 @@ SELECT award.*, national_rank, region_rank,
        (count(*) OVER (PARTITION BY election_id, region_id ORDER BY award_no))::INT AS region_awards
 FROM award JOIN rk USING (election_id, region_id, party, divisor)""")
 def capped_greedy_log(t):
-    votes = tally(t)
-    open_cells = region_cells(t, votes).where(F.col("quotient").isNotNull())
+    chain = Levelled(t)
+    open_cells = chain.region_cells.where(F.col("quotient").isNotNull())
     ranks = open_cells.select(
         "election_id",
         "region_id",
@@ -256,23 +289,10 @@ def capped_greedy_log(t):
         avg_rank("quotient", KEYS).alias("national_rank"),
         avg_rank("quotient", ["election_id", "region_id"]).alias("region_rank"),
     )
-    progress = lv.award_progress(awards(t, votes), KEYS, "region_id", "party")
+    progress = lv.award_progress(chain.awards, KEYS, "region_id", "party")
     return progress.join(ranks, ["election_id", "region_id", "party", "divisor"])
 
 
-def region_awards(t, votes):
-    """Compensatory seats per region and qualifying party, zeros included."""
-    counted = awards(t, votes).groupBy("election_id", "region_id", "party").agg(
-        F.count(F.lit(1)).cast("int").alias("awards")
-    )
-    pairs = regional_votes(votes).drop("votes").join(
-        qualifying(t, votes).select("election_id", "party"), ["election_id", "party"]
-    )
-    return pairs.join(counted, ["election_id", "region_id", "party"], "left").withColumn(
-        "awards", F.coalesce("awards", F.lit(0))
-    )
-
-
 @query("levelling_by_region", f"""
 WITH RECURSIVE {GREEDY}
 SELECT reg.election_id, reg.region_id, reg.party, coalesce(awards, 0)::INT AS awards
@@ -280,7 +300,7 @@ FROM reg JOIN qual USING (election_id, party)
      LEFT JOIN regaward a ON a.election_id = reg.election_id AND a.region_id = reg.region_id
                          AND a.party = reg.party""")
 def levelling_by_region(t):
-    return region_awards(t, tally(t))
+    return Levelled(t).region_awards
 
 
 PLACED = GREEDY + f""",
@@ -299,20 +319,12 @@ ck AS (SELECT *, CASE WHEN cquotient IS NOT NULL THEN
 """
 
 
-def constituency_cells(t, votes):
-    won = constituency_seats(t, votes).withColumnRenamed("won", "used").drop("seats")
-    cells = won.join(region_awards(t, votes), ["election_id", "region_id", "party"])
-    return lv.constituency_placement(
-        cells, KEYS, "region_id", "constituency_id", "party", "used", "awards"
-    )
-
-
 @query("constituency_placement", f"""
 WITH RECURSIVE {PLACED}
 SELECT election_id, region_id, constituency_id, party, used, awards, divisor,
        cquotient AS quotient, rk AS rank, coalesce(rk <= awards, false) AS placed FROM ck""")
 def constituency_placement(t):
-    return constituency_cells(t, tally(t)).select(
+    return Levelled(t).constituency_cells.select(
         "election_id", "region_id", "constituency_id", "party", "used", "awards", "divisor",
         "quotient", "rank", "placed",
     )
@@ -326,13 +338,11 @@ SELECT election_id, region_id, constituency_id, party, used AS constituency_seat
        coalesce(p.levelling_seats, 0) AS levelling_seats
 FROM cells LEFT JOIN p USING (election_id, constituency_id, party)""")
 def seats_by_constituency(t):
-    votes = tally(t)
-    placed = constituency_cells(t, votes).groupBy("election_id", "constituency_id", "party").agg(
+    chain = Levelled(t)
+    placed = chain.constituency_cells.groupBy("election_id", "constituency_id", "party").agg(
         F.sum(F.col("placed").cast("int")).cast("int").alias("levelling_seats")
     )
-    won = constituency_seats(t, votes).join(
-        qualifying(t, votes).select("election_id", "party"), ["election_id", "party"]
-    )
+    won = chain.won.join(chain.totals.select("election_id", "party"), ["election_id", "party"])
     return won.join(placed, ["election_id", "constituency_id", "party"], "left").select(
         "election_id",
         "region_id",

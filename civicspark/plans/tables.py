@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civicspark.session import materialize
+
 #: Seats used by the queries.
 NATIONAL_SEATS = 175
 CONSTITUENCY_SEATS = 135
@@ -113,12 +115,31 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._counted: DataFrame | None = None
 
     def __call__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def counted(self, candidates: bool = False) -> Tables:
+        """The same tables with the ballots counted once and written.
+
+        For queries that read the votes several times: the raw rows are passed once, and
+        later steps see one row per election, area and party (and candidate and line
+        status), however many ballots there are.
+        """
+        if self._counted is not None:
+            return self
+        detail = ["candidate", "l_linestatus"] if candidates else []
+        by = ["election_id", "region_id", "constituency_id", "party", *detail]
+        twin = Tables(self.spark, self.sf_dir)
+        sums = self.ballots().groupBy(*by).agg(F.sum("l_quantity").alias("l_quantity"))
+        twin._counted = materialize(sums)
+        return twin
+
     def ballots(self) -> DataFrame:
         """Every counted line with its election, area, party and candidate."""
+        if self._counted is not None:
+            return self._counted
         areas = self("customer").join(self("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         return (
             self("lineitem")

@@ -44,12 +44,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the reliable checkpoint folder and continue from there.
+    """Write ``df`` once to a fresh shared folder and continue from the files.
 
-    Used where a small result of a pass over the raw rows feeds many later steps.
+    Used where a small result of a pass over the raw rows feeds many later steps. It cuts
+    the lineage like a checkpoint, and the files also tell Catalyst their size, so joins
+    with them are planned as broadcasts only if they really are small.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    path = shared_dir(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
