@@ -19,6 +19,20 @@ def title_case(column: Column) -> Column:
     return F.array_join(F.transform(F.split(column, "-"), F.initcap), "-")
 
 
+def whole_number(column: Column) -> Column:
+    """Text as BIGINT, NULL where it is no whole number of up to 18 digits.
+
+    The pattern is tested first: a failing cast raises and catches an error per row.
+    """
+    return F.regexp_substr(F.trim(column), F.lit(r"^[+-]?\d{1,18}$")).cast("bigint")
+
+
+def decimal_number(column: Column) -> Column:
+    """Text with a decimal point as DOUBLE, NULL where it is no number."""
+    pattern = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+    return F.regexp_substr(F.trim(column), F.lit(pattern)).cast("double")
+
+
 def round_name(column: Column) -> Column:
     """The part after ``- `` in ``Stage - Round``; NULL without one."""
     return F.regexp_substr(column, F.lit(r"(?<=- ).+"))
@@ -31,13 +45,13 @@ def stage_name(column: Column) -> Column:
 
 def id_digits(column: Column) -> Column:
     """First run of digits in a composite id, as a number."""
-    return F.regexp_substr(column, F.lit(r"\d+")).try_cast("bigint")
+    return whole_number(F.regexp_substr(column, F.lit(r"\d+")))
 
 
 def point_part(column: Column, index: int) -> Column:
     """One number out of ``c(lon, lat)`` or ``lat,lon`` (index from 1)."""
     part = F.split_part(column, F.lit(","), F.lit(index))
-    return F.trim(F.regexp_replace(part, r"[c()]", "")).try_cast("double")
+    return decimal_number(F.regexp_replace(part, r"[c()]", ""))
 
 
 def danish_number(column: Column, decimals: int = 0, big_mark: str = ".") -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicspark.functions.rank import ordered
+from civicspark.session import materialize
 
 
 def null_safe_join(
@@ -74,26 +75,109 @@ def topk_per_group(
     return df.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
+#: Rows of one key from which a group is ranked in pieces.
+HOT_ROWS = 5_000_000
+
+
+def hot_groups(df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``rows`` rows, written once.
+
+    There are fewer of them than total / ``rows``, and since they are read from files
+    their size is known: joins with them are planned as broadcasts only while small, so
+    the rows of a hot key are not shuffled to be told apart.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    return materialize(counts.where(F.col("__rows") > rows).select(*keys))
+
+
 def split_rank(
-    df: DataFrame, keys: Sequence[str], column: str, chunks: int = 256, prefix: str = "rank"
+    df: DataFrame,
+    keys: Sequence[str],
+    column: str,
+    prefix: str = "rank",
+    hot_rows: int = HOT_ROWS,
+    chunks: int = 256,
+) -> DataFrame:
+    """Exact descending ranks by a numeric column for groups of any size.
+
+    Adds ``<prefix>_min``, ``<prefix>_avg`` and ``<prefix>_dense``; NULL values rank NULL.
+    Ordinary groups use one window; groups with more than ``hot_rows`` rows are ranked in
+    pieces (``_chunk_rank``).
+    """
+    keys = list(keys)
+    hot = hot_groups(df, keys, hot_rows)
+    ordinary = null_safe_join(df, hot, keys, "left_anti")
+    window = Window.partitionBy(*keys).orderBy(ordered(column))
+    tied = F.count(F.lit(1)).over(
+        window.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    known = F.col(column).isNotNull()
+    ranked = ordinary.withColumns(
+        {
+            f"{prefix}_min": F.when(known, F.rank().over(window).cast("bigint")),
+            f"{prefix}_avg": F.when(known, (F.rank().over(window) + tied) / 2),
+            f"{prefix}_dense": F.when(known, F.dense_rank().over(window).cast("bigint")),
+        }
+    )
+    large = null_safe_join(df, hot, keys, "left_semi")
+    return ranked.unionByName(_chunk_rank(large, keys, column, prefix, chunks=chunks))
+
+
+def split_row_number(
+    df: DataFrame,
+    keys: Sequence[str],
+    column: str,
+    row_id: str,
+    out: str,
+    hot_rows: int = HOT_ROWS,
+    chunks: int = 256,
+) -> DataFrame:
+    """Exact row numbers for groups of any size: largest value first, then ``row_id``.
+
+    ``row_id`` is a unique number. In a hot group the rows before come from the rank of
+    the value, and rows with one value are ranked by id the same way, so neither a hot
+    key nor a hot value ends up in one task.
+    """
+    keys = list(keys)
+    hot = hot_groups(df, keys, hot_rows)
+    window = Window.partitionBy(*keys).orderBy(ordered(column), row_id)
+    ordinary = null_safe_join(df, hot, keys, "left_anti").withColumn(
+        out, F.row_number().over(window).cast("bigint")
+    )
+    large = null_safe_join(df, hot, keys, "left_semi")
+    by_value = _chunk_rank(large, keys, column, "__value", chunks=chunks)
+    by_id = _chunk_rank(by_value, [*keys, column], row_id, "__id", True, chunks)
+    # NULL values have no rank and come last: count the others before them
+    known = with_group_stats(by_id, keys, __known=F.count(column))
+    before = F.coalesce(F.col("__value_min") - 1, F.col("__known"))
+    numbered = known.withColumn(out, before + F.col("__id_min")).select(*df.columns, out)
+    return ordinary.unionByName(numbered)
+
+
+def _chunk_rank(
+    df: DataFrame,
+    keys: Sequence[str],
+    column: str,
+    prefix: str,
+    ascending: bool = False,
+    chunks: int = 256,
 ) -> DataFrame:
-    """Exact descending ranks for groups of any size.
+    """Ranks without a window over a whole group.
 
-    Adds ``<prefix>_min``, ``<prefix>_avg`` and ``<prefix>_dense``. Equal values are
-    counted first (map-side combine). The distinct values of a group are cut into
-    ``chunks`` equal value ranges; each chunk is ranked by its own task and shifted by
-    the totals of the chunks above it, of which there are at most ``chunks`` per group.
-    NULL values rank NULL.
+    Equal values are counted first (map-side combine). The distinct values of a group are
+    cut into ``chunks`` equal value ranges; each chunk is ranked by its own task and
+    shifted by the totals of the chunks before it, at most ``chunks`` per group.
     """
     keys = list(keys)
     counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(
         F.count(F.lit(1)).alias("__n")
     )
     spread = with_group_stats(counts, keys, __lo=F.min(column), __hi=F.max(column))
+    distance = (F.col(column) - F.col("__lo")) if ascending else (F.col("__hi") - F.col(column))
     width = (F.col("__hi") - F.col("__lo")).cast("double")
-    share = F.try_divide((F.col("__hi") - F.col(column)).cast("double"), width)
+    share = F.coalesce(F.try_divide(distance.cast("double"), width), F.lit(0.0))
     chunked = spread.withColumn(
-        "__chunk", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * chunks), F.lit(chunks - 1))
+        "__chunk", F.least(F.floor(share * chunks), F.lit(chunks - 1))
     ).drop("__lo", "__hi")
     totals = chunked.groupBy(*keys, "__chunk").agg(
         F.sum("__n").alias("__rows"), F.count(F.lit(1)).alias("__values")
@@ -105,7 +189,7 @@ def split_rank(
         F.coalesce(F.sum("__rows").over(above), F.lit(0)).alias("__rows_above"),
         F.coalesce(F.sum("__values").over(above), F.lit(0)).alias("__values_above"),
     )
-    inside = Window.partitionBy(*keys, "__chunk").orderBy(F.col(column).desc())
+    inside = Window.partitionBy(*keys, "__chunk").orderBy(ordered(column, ascending))
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = chunked.withColumn("__upto", F.sum("__n").over(upto)).withColumn(
         "__position", F.row_number().over(inside)
@@ -119,23 +203,3 @@ def split_rank(
         (F.col("__values_above") + F.col("__position")).alias(f"{prefix}_dense"),
     )
     return null_safe_join(df, ranked, [*keys, column])
-
-
-def split_row_number(
-    df: DataFrame,
-    keys: Sequence[str],
-    column: str,
-    tiebreak: Sequence[str],
-    out: str,
-    chunks: int = 256,
-) -> DataFrame:
-    """Exact row numbers, largest value first, for groups of any size.
-
-    The rows above come from the split rank; only rows with the same key and value are
-    numbered in one window.
-    """
-    ranked = split_rank(df, keys, column, chunks, "__rank")
-    same = Window.partitionBy(*keys, column).orderBy(*tiebreak)
-    return ranked.withColumn(
-        out, F.col("__rank_min") + F.row_number().over(same) - 1
-    ).drop("__rank_min", "__rank_avg", "__rank_dense")

@@ -96,6 +96,22 @@ def levelling_totals(
     return party_totals(levelling_remainder(steps, keys, total_seats), won)
 
 
+def divisor_count(
+    used: str, owed: Column, bound: str, by: Sequence[str], divisors: str = "sufficient"
+) -> Column:
+    """How many divisors a party gets in an area.
+
+    ``sufficient``: as many as it used and can still get there. ``reference``: the
+    largest ``bound`` of any party in the area, where a leading party has none left to
+    be placed with.
+    """
+    if divisors == "sufficient":
+        return F.col(used) + owed
+    if divisors == "reference":
+        return F.max(bound).over(Window.partitionBy(*by))
+    raise ValueError(f"unknown divisors: {divisors}")
+
+
 def placement_quotients(
     votes: DataFrame,
     keys: Sequence[str],
@@ -237,10 +253,7 @@ def constituency_placement(
     award count of any party in the constituency's region, which can leave seats open.
     """
     keys = list(keys)
-    if divisors == "sufficient":
-        count = F.col(used) + F.col(awards)
-    else:
-        count = F.max(awards).over(Window.partitionBy(*keys, constituency))
+    count = divisor_count(used, F.col(awards), awards, [*keys, constituency], divisors)
     cells = placement_quotients(votes, keys, used, count, step=3)
     ranked = cells.withColumn("rank", avg_rank("quotient", [*keys, region, party]))
     return ranked.withColumn(

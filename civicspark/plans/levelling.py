@@ -77,21 +77,21 @@ def national(votes):
 class Levelled:
     """The chain of steps on one set of elections.
 
-    Three small results that many steps read are written once: the tally (the only pass
-    over the raw rows), the constituency seats and the party totals. None has more than
-    one row per election, constituency and party.
+    Two small results that many steps read are written once: the constituency tally with
+    its seats (the only pass over the raw rows) and the party totals. Neither has more
+    than one row per election, constituency and party.
     """
 
     def __init__(self, t):
         self.t = t
 
-    @cached_property
-    def votes(self):
-        return materialize(self.t.skewed_votes())
-
     @cached_property
     def won(self):
-        return materialize(constituency_seats(self.t, self.votes))
+        return materialize(constituency_seats(self.t, self.t.skewed_votes()))
+
+    @property
+    def votes(self):
+        return self.won.select("election_id", "region_id", "constituency_id", "party", "votes")
 
     @property
     def rules(self):
@@ -125,7 +125,9 @@ class Levelled:
             .join(won, ["election_id", "region_id", "party"], "left")
             .withColumn("used", F.coalesce("used", F.lit(0)))
         )
-        count = F.col("used") + F.least("party_cap", "region_cap")
+        count = lv.divisor_count(
+            "used", F.least("party_cap", "region_cap"), "used", ["election_id", "region_id"]
+        )
         return lv.placement_quotients(places, KEYS, "used", count, step=2)
 
     @property

@@ -57,7 +57,7 @@ def rank_family(t):
             "o_custkey",
             F.floor(F.col("o_totalprice") / 500).alias("band"),
         ),
-        ["o_custkey"], "band", ["order_id"], "nth",
+        ["o_custkey"], "band", "order_id", "nth",
     )
     return ranked.join(numbered.select("order_id", "nth"), "order_id")
 
@@ -130,7 +130,8 @@ FROM (SELECT *  REPLACE (CASE WHEN match_id % 5 = 0 THEN city END AS city) FROM
 def locf(t):
     sparse = t.matches().withColumn("city", F.when(F.col("match_id") % 5 == 0, F.col("city")))
     filled = enrich.locf(
-        sparse, ["league"], "kickoff", ["city"], ["match_id"], bucket=F.to_date("kickoff")
+        sparse, ["league"], "kickoff", ["city"], ["match_id"],
+        bucket=F.date_trunc("minute", "kickoff"),
     )
     return filled.select("match_id", "city")
 
@@ -293,7 +294,7 @@ def cast_many(t):
         "quantity": F.col("l_quantity").cast("bigint"),
         "discount_text": F.col("l_discount").cast("string"),
         "taxed": F.col("l_tax") > 0.04,
-        "flag": F.replace("l_returnflag", F.lit("R"), F.lit("1")).try_cast("int"),
+        "flag": tx.whole_number(F.replace("l_returnflag", F.lit("R"), F.lit("1"))).cast("int"),
     }
     return (
         t("lineitem")
