@@ -22,11 +22,12 @@ def _column(value: int | str | Column) -> Column:
 
 
 def divisor_table(
-    df: DataFrame, keys: Sequence[str], count: int | str | Column, step: int = 1
+    df: DataFrame, keys: Sequence[str], count: int | str | Column, step: int | str = 1
 ) -> DataFrame:
     """Divisors 1, 1+step, 1+2*step, … for each key, ``count`` of them."""
+    step = _column(step)
     last = (1 + step * (_column(count) - 1)).cast("int")
-    numbers = F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(step)))
+    numbers = F.when(last >= 1, F.sequence(F.lit(1), last, step))
     return df.select(*keys, F.explode(numbers).alias("divisor"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,52 +101,61 @@ def asof_join(
     on: Sequence[str],
     left_time: str,
     right_time: str,
-    bucket=None,
     direction: str = "forward",
+    bucket: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """For each left row the closest right row of the same key in time.
 
     ``forward`` takes the earliest right time at or after the left time, ``backward``
-    the latest at or before it. No pairs are built: the distinct left times and the
-    right rows are merged per (key, bucket) and filled from the nearest right row; the
-    value that enters a bucket comes from a one-row-per-bucket table, so a hot key is
-    split by time. ``bucket`` maps a time column to its bucket (default: the date's
-    month). The right side holds one row per key and time; of several the smallest
-    row is taken.
+    the latest at or before it. No pairs are built: the distinct left times are merged
+    with the right rows per key and filled from the nearest right row, then joined back.
+    Days of a key are few, however many rows share them. For finer times give
+    ``bucket``, a function of the time column such as its day: a key is then filled per
+    bucket, and the row that enters a bucket comes from a one-row-per-bucket table. Of
+    several right rows with one key and time the smallest is taken.
     """
     on = list(on)
-    bucket = bucket or (lambda t: F.date_trunc("month", t))
+    forward = direction == "forward"
     payload = [c for c in right.columns if c not in on]
-    times = left.select(*on, F.col(left_time).alias("__t")).distinct()
     best = right.groupBy(*on, F.col(right_time).alias("__t")).agg(
         F.min(F.struct(*payload)).alias("__row")
     )
-    merged = times.withColumn("__row", F.lit(None).cast(best.schema["__row"].dataType)).withColumn(
-        "__left", F.lit(1)
-    ).unionByName(best.withColumn("__left", F.lit(0)))
-    # right rows precede left rows of the same time, whichever way the time runs
-    merged = merged.withColumn("__bucket", bucket(F.col("__t"))).where(F.col("__t").isNotNull())
-    forward = direction == "forward"
-    time_key = F.col("__t").desc() if forward else F.col("__t").asc()
-    bucket_key = F.col("__bucket").desc() if forward else F.col("__bucket").asc()
+    empty = F.lit(None).cast(best.schema["__row"].dataType)
+    times = left.select(*on, F.col(left_time).alias("__t")).distinct()
+    merged = (
+        times.select("*", empty.alias("__row"), F.lit(1).alias("__left"))
+        .unionByName(best.withColumn("__left", F.lit(0)))
+        .where(F.col("__t").isNotNull())
+    )
+
+    def towards(column: str) -> Column:
+        return F.col(column).desc() if forward else F.col(column).asc()
+
+    by = on if bucket is None else [*on, "__bucket"]
+    if bucket is not None:
+        merged = merged.withColumn("__bucket", bucket(F.col("__t")))
+    # a right row comes before a left row of the same time, whichever way the time runs
     inside = (
-        Window.partitionBy(*on, "__bucket")
-        .orderBy(time_key, "__left")
+        Window.partitionBy(*by)
+        .orderBy(towards("__t"), "__left")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    near = F.when(F.col("__row").isNotNull(), F.col("__t"))
-    edge = F.min_by("__row", near) if forward else F.max_by("__row", near)
-    edges = merged.groupBy(*on, "__bucket").agg(edge.alias("__edge"))
-    before = Window.partitionBy(*on).orderBy(bucket_key).rowsBetween(Window.unboundedPreceding, -1)
-    edges = edges.withColumn("__edge", F.last("__edge", ignorenulls=True).over(before))
-    filled = merged.withColumn("__row", F.last("__row", ignorenulls=True).over(inside)).where(
+    found = merged.withColumn("__row", F.last("__row", ignorenulls=True).over(inside)).where(
         F.col("__left") == 1
     )
-    found = null_safe_join(filled, edges, [*on, "__bucket"]).select(
-        *on,
-        F.col("__t").alias(left_time),
-        F.coalesce("__row", "__edge").alias("__row"),
-    )
+    if bucket is not None:
+        time = F.when(F.col("__row").isNotNull(), F.col("__t"))
+        edge = F.min_by("__row", time) if forward else F.max_by("__row", time)
+        before = Window.partitionBy(*on).orderBy(towards("__bucket")).rowsBetween(
+            Window.unboundedPreceding, -1
+        )
+        edges = merged.groupBy(*by).agg(edge.alias("__edge")).withColumn(
+            "__edge", F.last("__edge", ignorenulls=True).over(before)
+        )
+        found = null_safe_join(found, edges, by).withColumn(
+            "__row", F.coalesce("__row", "__edge")
+        )
+    found = found.select(*on, F.col("__t").alias(left_time), "__row")
     joined = null_safe_join(left, found, [*on, left_time])
     return joined.select(*left.columns, *[F.col("__row")[c].alias(c) for c in payload])
 

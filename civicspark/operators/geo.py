@@ -15,20 +15,21 @@ EARTH_RADIUS_KM = 6371.01
 def hierarchy(levels: Sequence[DataFrame]) -> DataFrame:
     """Join levels top-down on their shared id, keeping areas without children.
 
-    Neighbouring levels share exactly one column, the parent's id.
+    Neighbouring levels share exactly one column, the parent's id. Areas with children
+    are inner-joined and childless ones appended: an outer join that keeps the small
+    side could neither broadcast it nor split a hot parent.
     """
-
-    def attach(upper: DataFrame, lower: DataFrame) -> DataFrame:
-        shared = [c for c in lower.columns if c in upper.columns]
+    chain, childless = levels[0], []
+    for lower in levels[1:]:
+        shared = [c for c in lower.columns if c in chain.columns]
         if len(shared) != 1:
             raise ValueError(f"levels must share one id column, found {shared}")
-        # inner join plus the childless areas: an outer join that keeps the small side
-        # could neither broadcast it nor split a hot parent
         parents = lower.select(*shared).distinct()
-        childless = upper.join(parents, shared, "left_anti")
-        return upper.join(lower, shared).unionByName(childless, allowMissingColumns=True)
-
-    return reduce(attach, levels)
+        childless.append(chain.join(parents, shared, "left_anti"))
+        chain = chain.join(lower, shared)
+    return reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True), childless, chain
+    )
 
 
 def level_pairs(table: DataFrame, *columns: str) -> DataFrame:

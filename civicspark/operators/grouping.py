@@ -77,17 +77,65 @@ def topk_per_group(
 
 #: Rows of one key from which a group is ranked in pieces.
 HOT_ROWS = 5_000_000
+#: Value ranges a hot group is cut into.
+PIECES = 256
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``rows`` rows, written once.
+def hot_groups(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], rows: int = HOT_ROWS
+) -> DataFrame:
+    """Keys with more than ``rows`` rows and the range of each numeric column, written once.
 
     There are fewer of them than total / ``rows``, and since they are read from files
     their size is known: joins with them are planned as broadcasts only while small, so
     the rows of a hot key are not shuffled to be told apart.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    return materialize(counts.where(F.col("__rows") > rows).select(*keys))
+    ranges = [
+        side(c).alias(f"__{name}_{c}")
+        for c in columns
+        for name, side in (("lo", F.min), ("hi", F.max))
+    ]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), *ranges)
+    return materialize(counts.where(F.col("__rows") > rows).drop("__rows"))
+
+
+def _piece(column: str, ascending: bool) -> Column:
+    """Which of the equal value ranges of its group a value falls in, in rank order."""
+    lo, hi, value = F.col(f"__lo_{column}"), F.col(f"__hi_{column}"), F.col(column)
+    distance = (value - lo) if ascending else (hi - value)
+    share = F.try_divide(distance.cast("double"), (hi - lo).cast("double"))
+    piece = F.floor(F.coalesce(share, F.lit(0.0)) * PIECES)
+    # NULL values come last, in a piece of their own
+    return F.when(value.isNull(), PIECES).otherwise(F.least(piece, F.lit(PIECES - 1)))
+
+
+def _placed(cells: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Rows and values before each cell (a value, or a part of one) of a hot group.
+
+    The cells of a piece are summed up by one task and shifted by the totals of the
+    pieces before it, of which a group has at most ``PIECES`` + 1.
+    """
+    before = (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "__piece").orderBy(*order).rowsBetween(*before)
+    pieces = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(*before)
+    totals = cells.groupBy(*keys, "__piece").agg(
+        F.sum("__n").alias("__rows"), F.count(F.lit(1)).alias("__values")
+    )
+    offsets = totals.select(
+        *keys,
+        "__piece",
+        F.coalesce(F.sum("__rows").over(pieces), F.lit(0)).alias("__rows"),
+        F.coalesce(F.sum("__values").over(pieces), F.lit(0)).alias("__values"),
+    )
+    local = cells.withColumn(
+        "__rows_in", F.coalesce(F.sum("__n").over(inside), F.lit(0))
+    ).withColumn("__values_in", F.count(F.lit(1)).over(inside))
+    return null_safe_join(local, offsets, [*keys, "__piece"]).withColumns(
+        {
+            "__rows_before": F.col("__rows") + F.col("__rows_in"),
+            "__values_before": F.col("__values") + F.col("__values_in"),
+        }
+    ).drop("__rows", "__values", "__rows_in", "__values_in", "__piece")
 
 
 def split_rank(
@@ -96,31 +144,40 @@ def split_rank(
     column: str,
     prefix: str = "rank",
     hot_rows: int = HOT_ROWS,
-    chunks: int = 256,
 ) -> DataFrame:
     """Exact descending ranks by a numeric column for groups of any size.
 
     Adds ``<prefix>_min``, ``<prefix>_avg`` and ``<prefix>_dense``; NULL values rank NULL.
-    Ordinary groups use one window; groups with more than ``hot_rows`` rows are ranked in
-    pieces (``_chunk_rank``).
+    Ordinary groups use one window. In a group with more than ``hot_rows`` rows equal
+    values are counted first (map-side combine), and the counts are placed in pieces.
     """
     keys = list(keys)
-    hot = hot_groups(df, keys, hot_rows)
-    ordinary = null_safe_join(df, hot, keys, "left_anti")
-    window = Window.partitionBy(*keys).orderBy(ordered(column))
-    tied = F.count(F.lit(1)).over(
-        window.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    names = [f"{prefix}_min", f"{prefix}_avg", f"{prefix}_dense"]
+    hot = hot_groups(df, keys, [column], hot_rows)
     known = F.col(column).isNotNull()
-    ranked = ordinary.withColumns(
+    window = Window.partitionBy(*keys).orderBy(ordered(column))
+    upto = window.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ordinary = null_safe_join(df, hot, keys, "left_anti").withColumns(
         {
-            f"{prefix}_min": F.when(known, F.rank().over(window).cast("bigint")),
-            f"{prefix}_avg": F.when(known, (F.rank().over(window) + tied) / 2),
-            f"{prefix}_dense": F.when(known, F.dense_rank().over(window).cast("bigint")),
+            names[0]: F.when(known, F.rank().over(window).cast("bigint")),
+            names[1]: F.when(known, (F.rank().over(window) + F.count(F.lit(1)).over(upto)) / 2),
+            names[2]: F.when(known, F.dense_rank().over(window).cast("bigint")),
         }
     )
-    large = null_safe_join(df, hot, keys, "left_semi")
-    return ranked.unionByName(_chunk_rank(large, keys, column, prefix, chunks=chunks))
+    large = null_safe_join(df, hot, keys, "inner").withColumn("__piece", _piece(column, False))
+    cells = large.where(known).groupBy(*keys, "__piece", column).agg(
+        F.count(F.lit(1)).alias("__n")
+    )
+    low = F.col("__rows_before") + 1
+    ranks = _placed(cells, keys, [ordered(column)]).select(
+        *keys,
+        column,
+        low.alias(names[0]),
+        (low + (F.col("__n") - 1) / 2).alias(names[1]),
+        (F.col("__values_before") + 1).alias(names[2]),
+    )
+    ranked = null_safe_join(large, ranks, [*keys, column])
+    return ordinary.unionByName(ranked.select(*df.columns, *names))
 
 
 def split_row_number(
@@ -130,76 +187,29 @@ def split_row_number(
     row_id: str,
     out: str,
     hot_rows: int = HOT_ROWS,
-    chunks: int = 256,
 ) -> DataFrame:
     """Exact row numbers for groups of any size: largest value first, then ``row_id``.
 
-    ``row_id`` is a unique number. In a hot group the rows before come from the rank of
-    the value, and rows with one value are ranked by id the same way, so neither a hot
-    key nor a hot value ends up in one task.
+    ``row_id`` is a unique number. In a hot group the rows of one value are cut by id
+    ranges as well, so neither a hot key nor a hot value ends up in one task.
     """
     keys = list(keys)
-    hot = hot_groups(df, keys, hot_rows)
+    hot = hot_groups(df, keys, [column, row_id], hot_rows)
     window = Window.partitionBy(*keys).orderBy(ordered(column), row_id)
     ordinary = null_safe_join(df, hot, keys, "left_anti").withColumn(
         out, F.row_number().over(window).cast("bigint")
     )
-    large = null_safe_join(df, hot, keys, "left_semi")
-    by_value = _chunk_rank(large, keys, column, "__value", chunks=chunks)
-    by_id = _chunk_rank(by_value, [*keys, column], row_id, "__id", True, chunks)
-    # NULL values have no rank and come last: count the others before them
-    known = with_group_stats(by_id, keys, __known=F.count(column))
-    before = F.coalesce(F.col("__value_min") - 1, F.col("__known"))
-    numbered = known.withColumn(out, before + F.col("__id_min")).select(*df.columns, out)
-    return ordinary.unionByName(numbered)
-
-
-def _chunk_rank(
-    df: DataFrame,
-    keys: Sequence[str],
-    column: str,
-    prefix: str,
-    ascending: bool = False,
-    chunks: int = 256,
-) -> DataFrame:
-    """Ranks without a window over a whole group.
-
-    Equal values are counted first (map-side combine). The distinct values of a group are
-    cut into ``chunks`` equal value ranges; each chunk is ranked by its own task and
-    shifted by the totals of the chunks before it, at most ``chunks`` per group.
-    """
-    keys = list(keys)
-    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(
-        F.count(F.lit(1)).alias("__n")
-    )
-    spread = with_group_stats(counts, keys, __lo=F.min(column), __hi=F.max(column))
-    distance = (F.col(column) - F.col("__lo")) if ascending else (F.col("__hi") - F.col(column))
-    width = (F.col("__hi") - F.col("__lo")).cast("double")
-    share = F.coalesce(F.try_divide(distance.cast("double"), width), F.lit(0.0))
-    chunked = spread.withColumn(
-        "__chunk", F.least(F.floor(share * chunks), F.lit(chunks - 1))
-    ).drop("__lo", "__hi")
-    totals = chunked.groupBy(*keys, "__chunk").agg(
-        F.sum("__n").alias("__rows"), F.count(F.lit(1)).alias("__values")
+    large = null_safe_join(df, hot, keys, "inner").withColumns(
+        {"__piece": _piece(column, False), "__part": _piece(row_id, True)}
     )
-    above = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys,
-        "__chunk",
-        F.coalesce(F.sum("__rows").over(above), F.lit(0)).alias("__rows_above"),
-        F.coalesce(F.sum("__values").over(above), F.lit(0)).alias("__values_above"),
+    cells = large.groupBy(*keys, "__piece", column, "__part").agg(
+        F.count(F.lit(1)).alias("__n")
     )
-    inside = Window.partitionBy(*keys, "__chunk").orderBy(ordered(column, ascending))
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = chunked.withColumn("__upto", F.sum("__n").over(upto)).withColumn(
-        "__position", F.row_number().over(inside)
+    placed = _placed(cells, keys, [ordered(column), F.col("__part")]).select(
+        *keys, column, "__part", "__rows_before"
     )
-    last = F.col("__rows_above") + F.col("__upto")
-    ranked = null_safe_join(local, offsets, [*keys, "__chunk"]).select(
-        *keys,
-        column,
-        (last - F.col("__n") + 1).alias(f"{prefix}_min"),
-        (last - (F.col("__n") - 1) / 2).alias(f"{prefix}_avg"),
-        (F.col("__values_above") + F.col("__position")).alias(f"{prefix}_dense"),
+    same = Window.partitionBy(*keys, column, "__part").orderBy(row_id)
+    numbered = null_safe_join(large, placed, [*keys, column, "__part"]).withColumn(
+        out, F.col("__rows_before") + F.row_number().over(same)
     )
-    return null_safe_join(df, ranked, [*keys, column])
+    return ordinary.unionByName(numbered.select(*df.columns, out))

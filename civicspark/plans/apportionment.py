@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from civicspark.operators import apportion as ap
-from civicspark.operators.grouping import with_group_stats
 from civicspark.plans.registry import query
 from civicspark.plans.tables import (
     CONSTITUENCY_SEATS,
     EP_SEATS,
     NATIONAL_SEATS,
 )
+from civicspark.session import materialize
 
 KEYS = ["election_id"]
 
@@ -127,15 +127,12 @@ WITH {PARTIES_IN_ALLIANCE},
 s AS (SELECT election_id, alliance, party, votes, sum(won::INT)::INT AS seats
       FROM pw GROUP BY 1, 2, 3, 4)
 SELECT *, votes / sum(votes) OVER (PARTITION BY election_id) AS share,
-       round(100 * votes / sum(votes) OVER (PARTITION BY election_id), 2) AS share_pct FROM s""")
+       round(votes / sum(votes) OVER (PARTITION BY election_id) * 100, 2) AS share_pct FROM s""")
 def seats_and_share(t):
     seats = ap.alliance_party_seats(
         alliance_votes(t.counted()), KEYS, "party", "alliance", "votes", EP_SEATS
     )
-    total = F.sum("votes")
-    return with_group_stats(seats, KEYS, total=total).withColumn(
-        "share_pct", F.round(100 * F.col("votes") / F.col("total"), 2)
-    ).drop("total")
+    return seats.withColumn("share_pct", F.round(F.col("share") * 100, 2))
 
 
 @query("alliance_effect", f"""
@@ -157,6 +154,12 @@ def weights(t):
     return ap.apportion_weight(t.weights())
 
 
+def counted_weights(t):
+    """The weights, written once for queries that read them several times: one row per
+    election and constituency."""
+    return materialize(weights(t))
+
+
 @query("apportion_weight", """
 SELECT election_id, constituency_id, region_id, population, voters, area_km2, weight
 FROM fx_weights""")
@@ -214,7 +217,7 @@ SELECT election_id, region_id, constituency_id, weight, region_weight, region_se
        nr_seats AS seats FROM nr""")
 def nested_remainder(t):
     return ap.nested_remainder(
-        weights(t).select("election_id", "region_id", "constituency_id", "weight"),
+        counted_weights(t).select("election_id", "region_id", "constituency_id", "weight"),
         KEYS, "region_id", "constituency_id", "weight", CONSTITUENCY_SEATS,
     )
 
@@ -234,7 +237,7 @@ UNION ALL
 SELECT election_id, region_id, constituency_id, weight, true, {FLOOR} FROM flagged WHERE guaranteed""")
 def remainder_with_floor(t):
     return ap.largest_remainder_with_floor(
-        weights(t), KEYS, "region_id", "constituency_id", "weight", CONSTITUENCY_SEATS, FLOOR
+        counted_weights(t), KEYS, "region_id", "constituency_id", "weight", CONSTITUENCY_SEATS, FLOOR
     )
 
 
@@ -247,7 +250,7 @@ SELECT election_id, r_name AS region_name, lr_seats AS region_seats, unit_seats,
 FROM lr JOIN u USING (election_id, region_id) JOIN region ON r_regionkey = region_id""")
 def levelling_pool(t):
     pool = ap.levelling_pool(
-        weights(t), KEYS, "region_id", "constituency_id", "weight",
+        counted_weights(t), KEYS, "region_id", "constituency_id", "weight",
         NATIONAL_SEATS, CONSTITUENCY_SEATS,
     )
     names = t("region").select(F.col("r_regionkey").alias("region_id"), "r_name")
@@ -278,13 +281,8 @@ def divisor_tables(t):
     areas = t.party_votes("election_id", "constituency_id").drop("votes").join(
         t.seats(), "constituency_id"
     )
-    tables = [
-        ap.divisor_table(areas, ["election_id", "constituency_id"], "seats", step).withColumn(
-            "step", F.lit(step)
-        )
-        for step in (1, 2, 3)
-    ]
-    return tables[0].unionByName(tables[1]).unionByName(tables[2])
+    steps = areas.withColumn("step", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    return ap.divisor_table(steps, ["election_id", "constituency_id", "step"], "seats", "step")
 
 
 @query("seat_distribution", f"""
@@ -320,7 +318,7 @@ def all_elections(t):
 @query("report_party_seats", f"""
 WITH {PARTIES_IN_ALLIANCE},
 s AS (SELECT election_id, alliance, party, votes, sum(won::INT)::INT AS seats FROM pw GROUP BY 1, 2, 3, 4)
-SELECT election_id, party, votes, round(100 * votes / sum(votes) OVER (PARTITION BY election_id), 2) AS share_pct,
+SELECT election_id, party, votes, round(votes / sum(votes) OVER (PARTITION BY election_id) * 100, 2) AS share_pct,
        seats FROM s QUALIFY seats > 0""")
 def report_party_seats(t):
     """Parties with seats, their votes and vote share."""

@@ -227,7 +227,8 @@ f AS (SELECT election_id, constituency_id, party,
 SELECT DISTINCT election_id, n_regionkey AS region_id, party, ordered_list
 FROM f JOIN nation ON n_nationkey = constituency_id""")
 def list_type(t):
-    allotted = with_group_stats(t.candidates(), LOCAL, party_list=F.sum("list_votes"))
+    lists = t.counted(candidates=True).candidates()
+    allotted = with_group_stats(lists, LOCAL, party_list=F.sum("list_votes"))
     pairs = geo.level_pairs(t.seats(), "region_id", "constituency_id")
     return cd.list_type(
         allotted, pairs, KEYS, "constituency_id", "region_id", "party", "party_list", "list_votes"
@@ -246,7 +247,8 @@ def list_type_catalogue(t):
     pairs = t.national_votes().select("election_id", "party")
     letter = F.char(F.substr(F.col("party"), F.lit(7)).cast("int") + 64)
     letters = F.when(F.col("election_id") % 3 == 0, "CFO").when(F.col("election_id") % 3 == 1, "R")
-    catalogue = pairs.select("election_id").distinct().withColumn("letters", letters)
+    years = t("orders").select(F.year("o_orderdate").alias("election_id")).distinct()
+    catalogue = years.withColumn("letters", letters)
     return cd.list_type_from_catalogue(
         pairs.withColumn("letter", letter), catalogue, KEYS, "letter", "letters"
     )

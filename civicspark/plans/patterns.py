@@ -268,6 +268,7 @@ def danish_sort(t):
 SELECT NULL::INT AS constituency_id, region_id, sum(votes)::BIGINT AS votes FROM fx_party_votes GROUP BY 2
 UNION ALL SELECT constituency_id, NULL, sum(votes)::BIGINT FROM fx_party_votes GROUP BY 1""")
 def stacked_grains(t):
+    t = t.counted()
     regions = t.party_votes("region_id")
     constituencies = t.party_votes("constituency_id")
     return regions.unionByName(constituencies, allowMissingColumns=True)
@@ -277,7 +278,7 @@ def stacked_grains(t):
 SELECT * FROM fx_national_votes UNION ALL
 SELECT election_id, 'blank', 0::BIGINT FROM (SELECT DISTINCT election_id FROM fx_national_votes)""")
 def add_row(t):
-    votes = t.national_votes()
+    votes = t.counted().national_votes()
     blank = votes.select("election_id", F.lit("blank").alias("party"), F.lit(0).cast("bigint").alias("votes"))
     return votes.unionByName(blank.distinct())
 

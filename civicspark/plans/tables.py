@@ -167,16 +167,26 @@ class Tables:
         """Every counted line with its election, area, party and candidate."""
         if self._counted is not None:
             return self._counted
-        areas = self("customer").join(self("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        return (
-            self("lineitem")
-            .join(self("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(areas, F.col("o_custkey") == F.col("c_custkey"))
-            .join(self("part"), F.col("l_partkey") == F.col("p_partkey"))
+        # the smaller tables meet first, so the lines are shuffled for two joins only
+        held = (
+            self("orders")
+            .join(self("customer"), F.col("o_custkey") == F.col("c_custkey"))
+            .join(self("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
             .select(
+                "o_orderkey",
                 F.year("o_orderdate").alias("election_id"),
                 F.col("n_regionkey").alias("region_id"),
                 F.col("n_nationkey").alias("constituency_id"),
+            )
+        )
+        return (
+            self("lineitem")
+            .join(held, F.col("l_orderkey") == F.col("o_orderkey"))
+            .join(self("part"), F.col("l_partkey") == F.col("p_partkey"))
+            .select(
+                "election_id",
+                "region_id",
+                "constituency_id",
                 F.col("p_brand").alias("party"),
                 F.col("p_type").alias("candidate"),
                 "l_linestatus",

@@ -36,7 +36,7 @@ def test_locf_is_exact_with_any_bucket(spark, width):
 
 
 @pytest.mark.parametrize("direction", ["forward", "backward"])
-@pytest.mark.parametrize("width", [1, 13, 1000])
+@pytest.mark.parametrize("width", [None, 1, 13, 1000])
 def test_asof_against_search(spark, direction, width):
     rng = random.Random(4)
     left = [(i, rng.choice("abc"), rng.choice([None, rng.randint(0, 60)])) for i in range(200)]
@@ -44,7 +44,7 @@ def test_asof_against_search(spark, direction, width):
     out = enrich.asof_join(
         spark.createDataFrame(left, "id INT, k STRING, t INT"),
         spark.createDataFrame(right, "k STRING, u INT, name STRING"),
-        ["k"], "t", "u", bucket=lambda t: F.floor(t / width), direction=direction,
+        ["k"], "t", "u", direction, None if width is None else lambda t: F.floor(t / width),
     )
     got = {r.id: (r.u, r.name) for r in out.collect()}
     assert len(got) == len(left)

@@ -32,10 +32,15 @@ def groups_of(data):
     return groups
 
 
+@pytest.fixture(params=[7, 256])
+def pieces(request, monkeypatch):
+    monkeypatch.setattr(grouping, "PIECES", request.param)
+
+
 @pytest.mark.parametrize("hot_rows", [0, 200, 10**6])
-def test_split_rank_is_exact(spark, skewed, hot_rows):
+def test_split_rank_is_exact(spark, skewed, pieces, hot_rows):
     df = spark.createDataFrame(skewed, ROWS)
-    out = grouping.split_rank(df, ["k"], "v", hot_rows=hot_rows, chunks=7)
+    out = grouping.split_rank(df, ["k"], "v", hot_rows=hot_rows)
     got = {r.id: (r.rank_min, r.rank_avg, r.rank_dense) for r in out.collect()}
     assert len(got) == len(skewed)
     for rows in groups_of(skewed).values():
@@ -50,9 +55,9 @@ def test_split_rank_is_exact(spark, skewed, hot_rows):
 
 
 @pytest.mark.parametrize("hot_rows", [0, 200, 10**6])
-def test_split_row_number_is_exact(spark, skewed, hot_rows):
+def test_split_row_number_is_exact(spark, skewed, pieces, hot_rows):
     df = spark.createDataFrame(skewed, ROWS)
-    out = grouping.split_row_number(df, ["k"], "v", "id", "n", hot_rows=hot_rows, chunks=5)
+    out = grouping.split_row_number(df, ["k"], "v", "id", "n", hot_rows=hot_rows)
     got = {r.id: r.n for r in out.collect()}
     for rows in groups_of(skewed).values():
         order = sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
