@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civicspark.operators.grouping import null_safe_join
+from civicspark.operators.grouping import group_max_rows, null_safe_join
 
 
 def _lookup(df: DataFrame, lookup: DataFrame, on: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -160,6 +160,14 @@ def asof_join(
     return joined.select(*left.columns, *[F.col("__row")[c].alias(c) for c in payload])
 
 
+def dedup_gazetteer(
+    cities: DataFrame, used: DataFrame, name: str = "name", population: str = "population"
+) -> DataFrame:
+    """The most populous place of each name in use, ties kept."""
+    wanted = cities.join(used.select(name).distinct(), name, "left_semi")
+    return group_max_rows(wanted, [name], population)
+
+
 def unmatched_keys(df: DataFrame, dimension: DataFrame, column: str, key: str) -> DataFrame:
     """Distinct non-NULL values of ``column`` that the dimension does not have."""
     wanted = df.select(F.col(column).alias(key)).where(F.col(key).isNotNull()).distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from civicspark.operators import apportion as ap
+from civicspark.plans.elections import EuropeanElection, constituency_seats
 from civicspark.plans.registry import query
 from civicspark.plans.tables import (
     CONSTITUENCY_SEATS,
@@ -31,18 +32,6 @@ def dhondt_national(t):
     return ap.highest_averages(t.national_votes(), KEYS, "party", "votes", NATIONAL_SEATS)
 
 
-def constituency_seats(t, votes):
-    """Seats per constituency and party from rounded quotients."""
-    return ap.highest_averages(
-        votes.join(t.seats().select("constituency_id", "seats"), "constituency_id"),
-        ["election_id", "region_id", "constituency_id"],
-        "party",
-        "votes",
-        "seats",
-        round_quotient=True,
-    )
-
-
 CONSTITUENCY_WON = """
 cq AS (SELECT v.*, s.seats, d, round_even(votes / d::DOUBLE, 0) AS quotient
        FROM {votes} v JOIN fx_seats s USING (constituency_id, region_id),
@@ -58,7 +47,14 @@ cwon AS (SELECT election_id, region_id, constituency_id, party, votes, seats,
 @query("dhondt_constituency", f"""
 WITH {CONSTITUENCY_WON.format(votes="fx_party_votes")} SELECT * FROM cwon""")
 def dhondt_constituency(t):
-    return constituency_seats(t, t.party_votes())
+    return constituency_seats(t.party_votes(), t.seats())
+
+
+def european(t, candidates: bool = False) -> EuropeanElection:
+    # both stages read the votes, so the ballots are counted once
+    t = t.counted(candidates)
+    persons = t.national_candidates() if candidates else None
+    return EuropeanElection(alliance_votes(t), EP_SEATS, persons)
 
 
 def alliance_votes(t):
@@ -97,10 +93,7 @@ def alliance_stage1(t):
 
 
 def alliance_quotients(t):
-    # both stages read the votes, so the ballots are counted once
-    return ap.alliance_party_quotients(
-        alliance_votes(t.counted()), KEYS, "party", "alliance", "votes", EP_SEATS
-    )
+    return european(t).quotients
 
 
 @query("alliance_stage2", f"""
@@ -117,7 +110,7 @@ SELECT election_id, alliance, party, d::INT AS divisor, rk::DOUBLE AS rank, won,
        (dense_rank() OVER (PARTITION BY election_id ORDER BY order_key DESC))::INT AS overall_rank
 FROM pw""")
 def seat_order(t):
-    return ap.seat_order(alliance_quotients(t), KEYS).select(
+    return european(t).seat_ranking.select(
         "election_id", "alliance", "party", "divisor", "rank", "won", "overall_rank"
     )
 
@@ -129,10 +122,7 @@ s AS (SELECT election_id, alliance, party, votes, sum(won::INT)::INT AS seats
 SELECT *, votes / sum(votes) OVER (PARTITION BY election_id) AS share,
        round(votes / sum(votes) OVER (PARTITION BY election_id) * 100, 2) AS share_pct FROM s""")
 def seats_and_share(t):
-    seats = ap.alliance_party_seats(
-        alliance_votes(t.counted()), KEYS, "party", "alliance", "votes", EP_SEATS
-    )
-    return seats.withColumn("share_pct", F.round(F.col("share") * 100, 2))
+    return european(t).party_seats
 
 
 @query("alliance_effect", f"""
@@ -265,7 +255,7 @@ rs AS (SELECT region_id, sum(seats)::INT AS region_seats FROM fx_seats GROUP BY
 SELECT election_id, region_id, party, sum(won)::INT AS won, max(region_seats)::INT AS region_seats
 FROM cwon JOIN rs USING (region_id) GROUP BY 1, 2, 3""")
 def region_seat_totals(t):
-    won = constituency_seats(t, t.party_votes()).groupBy("election_id", "region_id", "party").agg(
+    won = constituency_seats(t.party_votes(), t.seats()).groupBy("election_id", "region_id", "party").agg(
         F.sum("won").cast("int").alias("won")
     )
     return won.join(t.region_seats(), "region_id")
@@ -308,7 +298,7 @@ FROM (SELECT *, dense_rank() OVER (PARTITION BY election_id ORDER BY order_key D
 GROUP BY 1, 2, 3""")
 def all_elections(t):
     """Every election's report in one keyed job."""
-    ordered = ap.seat_order(alliance_quotients(t), KEYS)
+    ordered = european(t).seat_ranking
     return ordered.groupBy("election_id", "party", "votes").agg(
         F.sum(F.col("won").cast("int")).cast("int").alias("seats"),
         F.min(F.when(F.col("won"), F.col("overall_rank"))).alias("first_seat_no"),
@@ -336,7 +326,7 @@ SELECT election_id, party, alliance, quotient, rk::DOUBLE AS rank, order_key,
 def report_seat_ranking(t):
     """Full quotient ranking in award order; the won rows are the seats."""
     return (
-        ap.seat_order(alliance_quotients(t), KEYS)
+        european(t).seat_ranking
         .select(
             "election_id", "party", "alliance", "quotient", "rank", "order_key", "overall_rank", "won"
         )

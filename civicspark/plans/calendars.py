@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from civicspark.functions import text as tx
 from civicspark.operators import calendar as cal
 from civicspark.operators import enrich
-from civicspark.operators.grouping import group_max_rows
 from civicspark.plans.registry import query
 
 AS_OF = dt.date(2024, 1, 15)
@@ -248,8 +247,7 @@ SELECT * EXCLUDE (top) FROM (
   SELECT *, max(population) OVER (PARTITION BY name) AS top FROM fx_cities
   WHERE name IN (SELECT city FROM used WHERE city IS NOT NULL)) WHERE population = top""")
 def gazetteer_dedup(t):
-    used = t.matches().select(F.col("city").alias("name")).distinct()
-    return group_max_rows(t.cities().join(used, "name", "left_semi"), ["name"], "population")
+    return enrich.dedup_gazetteer(t.cities(), t.matches().select(F.col("city").alias("name")))
 
 
 ENRICHED = ROUNDS + """,
@@ -360,8 +358,7 @@ def gazetteer_upsert(t):
         ((key % 90).cast("double") / 10 + 8).alias("lon"),
         ((key % 70).cast("double") / 10 + 50).alias("lat"),
     )
-    wanted = offered.join(missing, "name", "left_semi")
-    return enrich.upsert_dimension(old, group_max_rows(wanted, ["name"], "population"))
+    return enrich.upsert_dimension(old, enrich.dedup_gazetteer(offered, missing))
 
 
 @query("match_label", f"""

@@ -4,20 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from civicspark.operators import apportion as ap
 from civicspark.operators import candidates as cd
 from civicspark.operators import geo
 from civicspark.operators.grouping import with_group_stats
 from civicspark.operators.reshape import member_text
-from civicspark.plans.apportionment import (
-    CONSTITUENCY_WON,
-    PARTIES_IN_ALLIANCE,
-    alliance_quotients,
-    alliance_votes,
-    constituency_seats,
-)
+from civicspark.plans.apportionment import CONSTITUENCY_WON, PARTIES_IN_ALLIANCE, european
+from civicspark.plans.elections import constituency_seats, rank_lists
 from civicspark.plans.registry import query
-from civicspark.plans.tables import EP_SEATS
 from civicspark.session import materialize
 
 KEYS = ["election_id"]
@@ -42,28 +35,11 @@ ol2 AS (SELECT *, rank <= seats AS elected FROM ol)
 """
 
 
-def party_seats(t):
-    return ap.alliance_party_seats(
-        alliance_votes(t), KEYS, "party", "alliance", "votes", EP_SEATS
-    ).select("election_id", "party", "seats", F.col("votes").alias("party_votes"))
-
-
-def national_lists(t):
-    return t.national_candidates().join(party_seats(t), LIST)
-
-
-def open_lists(t, lists=None):
-    lists = national_lists(t) if lists is None else lists
-    return cd.open_list(
-        lists.where(~F.col("ordered_list")), LIST, "candidate", "personal_votes", "seats"
-    )
-
-
 @query("open_list", f"""
 WITH {OPEN_LISTS}
 SELECT election_id, party, candidate, personal_votes, seats, rank, elected FROM ol2""")
 def open_list(t):
-    return open_lists(t.counted(candidates=True)).select(
+    return european(t, candidates=True).open_lists.select(
         "election_id", "party", "candidate", "personal_votes", "seats", "rank", "elected"
     )
 
@@ -79,7 +55,7 @@ WITH {SUBSTITUTES}
 SELECT election_id, party, candidate, elected, CASE WHEN elected THEN r END AS elected_rank,
        CASE WHEN NOT elected THEN r END AS substitute_rank FROM ol3""")
 def substitute_order(t):
-    return cd.substitute_order(open_lists(t.counted(candidates=True)), LIST).select(
+    return cd.substitute_order(european(t, candidates=True).open_lists, LIST).select(
         "election_id", "party", "candidate", "elected", "elected_rank", "substitute_rank"
     )
 
@@ -91,7 +67,8 @@ SELECT election_id, party, party_votes, seats,
        floor(party_votes / (seats + 1)::DOUBLE + 1)::BIGINT AS national_quota FROM pseats""")
 def droop_quota(t):
     votes, seats = F.col("party_votes"), F.col("seats")
-    return party_seats(t.counted()).withColumns(
+    lists = european(t).party_seats.withColumnRenamed("votes", "party_votes")
+    return lists.select("election_id", "party", "seats", "party_votes").withColumns(
         {
             "european_quota": cd.droop_quota(votes, seats),
             "national_quota": cd.droop_quota(votes, seats, "national"),
@@ -114,19 +91,12 @@ wl6 AS (SELECT *, total >= quota OR rank <= seats AS elected FROM wl5)
 """
 
 
-def ordered_lists(t, lists=None):
-    lists = national_lists(t) if lists is None else lists
-    return cd.ordered_list(
-        lists.where("ordered_list"), LIST, "list_pos", "personal_votes", "party_votes", "seats"
-    )
-
-
 @query("list_waterfall", f"""
 WITH {ORDERED_LISTS}
 SELECT election_id, party, candidate, list_pos, pool::BIGINT AS pool, quota, need::BIGINT AS need,
        allotted FROM wl6""")
 def list_waterfall(t):
-    return ordered_lists(t.counted(candidates=True)).select(
+    return european(t, candidates=True).ordered_lists.select(
         "election_id", "party", "candidate", "list_pos", "pool", "quota", "need", "allotted"
     )
 
@@ -135,7 +105,7 @@ def list_waterfall(t):
 WITH {ORDERED_LISTS}
 SELECT election_id, party, candidate, list_pos, total, quota, rank, elected FROM wl6""")
 def list_winners(t):
-    return ordered_lists(t.counted(candidates=True)).select(
+    return european(t, candidates=True).ordered_lists.select(
         "election_id", "party", "candidate", "list_pos", "total", "quota", "rank", "elected"
     )
 
@@ -163,33 +133,14 @@ person_order AS (SELECT ranking.*, overall_rank FROM ranking LEFT JOIN nth
                     AND nth.n = ranking.elected_rank)
 """
 
-RANKING_COLUMNS = [
-    "election_id", "party", "candidate", "ordered_list", "personal_votes", "elected",
-    "elected_rank", "substitute_rank",
-]
-
-
-def ranking(t):
-    """Both list types in one table, with elected and substitute order."""
-    lists = materialize(national_lists(t))
-    opened = cd.substitute_order(open_lists(t, lists), LIST).select(*RANKING_COLUMNS)
-    ordered = cd.substitute_order(ordered_lists(t, lists), LIST, "list_pos").select(*RANKING_COLUMNS)
-    return cd.merge_list_types(opened, ordered)
-
-
 @query("candidate_ranking", f"WITH {RANKING} SELECT * FROM ranking")
 def candidate_ranking(t):
-    return ranking(t.counted(candidates=True))
-
-
-def person_order(t):
-    won = ap.seat_order(alliance_quotients(t), KEYS).where("won")
-    return cd.person_seat_order(ranking(t), won, KEYS, "party")
+    return european(t, candidates=True).ranking
 
 
 @query("person_seat_order", f"WITH {RANKING} SELECT * FROM person_order")
 def person_seat_order(t):
-    return person_order(t.counted(candidates=True))
+    return european(t, candidates=True).person_order
 
 
 @query("report_elected", f"""
@@ -198,8 +149,8 @@ SELECT election_id, party, candidate, personal_votes, elected_rank, overall_rank
 FROM person_order WHERE elected""")
 def report_elected(t):
     return (
-        person_order(t.counted(candidates=True))
-        .where("elected")
+        european(t, candidates=True)
+        .person_order.where("elected")
         .select(
             "election_id", "party", "candidate", "personal_votes", "elected_rank", "overall_rank"
         )
@@ -212,7 +163,7 @@ WITH {RANKING}
 SELECT election_id, party, count(*)::INT AS n_elected, string_agg(candidate, ', ' ORDER BY candidate) AS elected
 FROM ranking WHERE elected GROUP BY 1, 2""")
 def elected_by_party(t):
-    chosen = ranking(t.counted(candidates=True)).where(F.col("elected")).select("election_id", "party", "candidate")
+    chosen = european(t, candidates=True).ranking.where(F.col("elected")).select("election_id", "party", "candidate")
     return member_text(chosen, LIST, "candidate", "elected")
 
 
@@ -282,7 +233,7 @@ merged AS (SELECT election_id, constituency_id, party, candidate, ordered_list,
 
 def local_seats(t):
     """Constituency and compensatory seats per list."""
-    won = constituency_seats(t, t.party_votes()).select(*LOCAL, "won")
+    won = constituency_seats(t.party_votes(), t.seats()).select(*LOCAL, "won")
     extra = ((F.col("party_no") + F.col("constituency_id")) % 9 == 0).cast("int")
     return (
         won.join(t.parties().select("party", "party_no"), "party")
@@ -361,7 +312,7 @@ SELECT election_id, constituency_id, party, candidate, elected,
        CASE WHEN NOT elected THEN seat_rank END AS substitute_rank
 FROM m4""")
 def seat_labels(t):
-    return cd.seat_labels(merged_lists(t), LOCAL, "total_votes", "won", "seats").select(
+    return rank_lists(materialize(local_lists(t))).select(
         "election_id", "constituency_id", "party", "candidate", "elected", "constituency_seat",
         "levelling_seat", "substitute_rank",
     )

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from civicspark.functions.text import area_name
 from civicspark.operators import geo
-from civicspark.plans.apportionment import CONSTITUENCY_WON, constituency_seats
+from civicspark.plans.apportionment import CONSTITUENCY_WON
+from civicspark.plans.elections import constituency_seats
 from civicspark.plans.registry import query
 
 
@@ -147,7 +148,7 @@ s AS (SELECT *, won / sum(won) OVER (PARTITION BY election_id, constituency_id)
 SELECT n_name AS name, n_nationkey AS area_id, election_id, party, won, share
 FROM nation LEFT JOIN s ON n_nationkey = constituency_id AND won = top""")
 def choropleth(t):
-    won = constituency_seats(t, t.party_votes()).select(
+    won = constituency_seats(t.party_votes(), t.seats()).select(
         "election_id", "constituency_id", "party", "won"
     )
     cell = ["election_id", "constituency_id"]

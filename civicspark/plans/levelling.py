@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import functions as F
 
 from civicspark.functions.rank import avg_rank
 from civicspark.operators import levelling as lv
 from civicspark.operators import threshold as th
-from civicspark.plans.apportionment import CONSTITUENCY_WON, constituency_seats
+from civicspark.plans.apportionment import CONSTITUENCY_WON
+from civicspark.plans.elections import NationalElection, constituency_seats
 from civicspark.plans.registry import query
 from civicspark.plans.tables import LEVELLED_TOTAL
-from civicspark.session import materialize
 
 KEYS = ["election_id"]
 LEVELLED = 66
@@ -66,120 +64,36 @@ tot AS (SELECT *, fraction_rank <= rest AS remainder_seat,
 """
 
 
-def regional_votes(votes):
-    return votes.groupBy("election_id", "region_id", "party").agg(F.sum("votes").alias("votes"))
-
-
-def national(votes):
-    return votes.groupBy("election_id", "party").agg(F.sum("votes").alias("votes"))
-
-
-class Levelled:
-    """The chain of steps on one set of elections.
-
-    Two small results that many steps read are written once: the constituency tally with
-    its seats (the only pass over the raw rows) and the party totals. Neither has more
-    than one row per election, constituency and party.
-    """
-
-    def __init__(self, t):
-        self.t = t
-
-    @cached_property
-    def won(self):
-        return materialize(constituency_seats(self.t, self.t.skewed_votes()))
-
-    @property
-    def votes(self):
-        return self.won.select("election_id", "region_id", "constituency_id", "party", "votes")
-
-    @property
-    def rules(self):
-        return th.threshold(
-            national(self.votes), regional_votes(self.votes), self.won, self.t.region_seats(), KEYS
-        )
-
-    @property
-    def qualified(self):
-        return self.rules.where("qualified").select(
-            "election_id", "party", "votes", "constituency_seats"
-        )
-
-    @cached_property
-    def totals(self):
-        return materialize(lv.levelling_totals(self.qualified, KEYS, LEVELLED_TOTAL))
-
-    @property
-    def region_cells(self):
-        """Open and struck quotients of every qualifying party in every region."""
-        won = self.won.groupBy("election_id", "region_id", "party").agg(
-            F.sum("won").cast("int").alias("used")
-        )
-        caps = self.totals.select(
-            "election_id", "party", F.col("levelling_seats").alias("party_cap")
-        )
-        places = (
-            regional_votes(self.votes)
-            .join(caps, ["election_id", "party"])
-            .join(self.t.region_pool().withColumnRenamed("pool", "region_cap"), "region_id")
-            .join(won, ["election_id", "region_id", "party"], "left")
-            .withColumn("used", F.coalesce("used", F.lit(0)))
-        )
-        count = lv.divisor_count(
-            "used", F.least("party_cap", "region_cap"), "used", ["election_id", "region_id"]
-        )
-        return lv.placement_quotients(places, KEYS, "used", count, step=2)
-
-    @property
-    def awards(self):
-        return lv.capped_greedy(
-            self.region_cells, KEYS, "quotient", "region_id", "region_cap", "party", "party_cap",
-            LEVELLED, payload=["divisor"],
-        )
-
-    @property
-    def region_awards(self):
-        """Compensatory seats per region and qualifying party, zeros included."""
-        counted = self.awards.groupBy("election_id", "region_id", "party").agg(
-            F.count(F.lit(1)).cast("int").alias("awards")
-        )
-        pairs = regional_votes(self.votes).drop("votes").join(
-            self.totals.select("election_id", "party"), ["election_id", "party"]
-        )
-        return pairs.join(counted, ["election_id", "region_id", "party"], "left").withColumn(
-            "awards", F.coalesce("awards", F.lit(0))
-        )
-
-    @property
-    def constituency_cells(self):
-        won = self.won.withColumnRenamed("won", "used").drop("seats")
-        cells = won.join(self.region_awards, ["election_id", "region_id", "party"])
-        return lv.constituency_placement(
-            cells, KEYS, "region_id", "constituency_id", "party", "used", "awards"
-        )
+def election(t) -> NationalElection:
+    return NationalElection(
+        t.skewed_votes(), t.seats(), t.region_pool(), LEVELLED_TOTAL, LEVELLED
+    )
 
 
 @query("threshold_seat", f"""WITH {RULES} SELECT * FROM rule1""")
 def threshold_seat(t):
-    return th.seat_rule(constituency_seats(t, t.skewed_votes()), KEYS, "party")
+    return th.seat_rule(constituency_seats(t.skewed_votes(), t.seats()), KEYS, "party")
 
 
 @query("threshold_regions", f"""WITH {RULES} SELECT * FROM rule2""")
 def threshold_regions(t):
-    votes = regional_votes(t.skewed_votes())
+    votes = t.skewed_votes().groupBy("election_id", "region_id", "party").agg(
+        F.sum("votes").alias("votes")
+    )
     return th.region_rule(votes, t.region_seats(), KEYS, "region_id", "party")
 
 
 @query("threshold_share", f"""
 WITH {RULES} SELECT election_id, party, votes, share_pct, share_pct > 2.0 AS share_rule FROM rule3""")
 def threshold_share(t):
-    return th.share_rule(national(t.skewed_votes()), KEYS)
+    votes = t.skewed_votes().groupBy("election_id", "party").agg(F.sum("votes").alias("votes"))
+    return th.share_rule(votes, KEYS)
 
 
 @query("threshold_any", f"""
 WITH {RULES} SELECT *, seat_rule OR region_rule OR share_rule AS qualified FROM rules""")
 def threshold_any(t):
-    return Levelled(t).rules
+    return election(t).rules
 
 
 @query("entitlement", f"""
@@ -187,7 +101,7 @@ WITH {TOTALS}
 SELECT election_id, party, votes, constituency_seats, quota, entitled, over_represented, triggered
 FROM ent3""")
 def entitlement(t):
-    return lv.entitlement(Levelled(t).qualified, KEYS, LEVELLED_TOTAL)
+    return lv.entitlement(election(t).qualified, KEYS, LEVELLED_TOTAL)
 
 
 @query("overhang_requota", f"""
@@ -204,7 +118,7 @@ def overhang_requota(t):
 WITH {TOTALS}
 SELECT election_id, party, whole, fraction, rest, fraction_rank, remainder_seat FROM tot""")
 def levelling_remainder(t):
-    return Levelled(t).totals.select(
+    return election(t).totals.select(
         "election_id", "party", "whole", "fraction", "rest", "fraction_rank", "remainder_seat"
     )
 
@@ -214,7 +128,7 @@ WITH {TOTALS}
 SELECT election_id, party, votes, constituency_seats, levelling_seats, remainder_seat,
        (levelling_seats + constituency_seats)::INT AS total_seats FROM tot""")
 def party_totals(t):
-    return Levelled(t).totals.select(
+    return election(t).totals.select(
         "election_id", "party", "votes", "constituency_seats", "levelling_seats",
         "remainder_seat", "total_seats",
     )
@@ -260,12 +174,12 @@ regaward AS (SELECT election_id, region_id, party, count(*)::INT AS awards FROM
 
 @query("region_quotients", f"WITH RECURSIVE {PLACES} SELECT * FROM rq")
 def region_quotients(t):
-    return Levelled(t).region_cells
+    return election(t).region_cells
 
 
 @query("capped_greedy", f"WITH RECURSIVE {GREEDY} SELECT * FROM award")
 def capped_greedy(t):
-    return Levelled(t).awards
+    return election(t).awards
 
 
 @query("capped_greedy_log", f"""
@@ -281,7 +195,7 @@ SELECT award.*, national_rank, region_rank,
        (count(*) OVER (PARTITION BY election_id, region_id ORDER BY award_no))::INT AS region_awards
 FROM award JOIN rk USING (election_id, region_id, party, divisor)""")
 def capped_greedy_log(t):
-    chain = Levelled(t)
+    chain = election(t)
     open_cells = chain.region_cells.where(F.col("quotient").isNotNull())
     ranks = open_cells.select(
         "election_id",
@@ -302,7 +216,7 @@ FROM reg JOIN qual USING (election_id, party)
      LEFT JOIN regaward a ON a.election_id = reg.election_id AND a.region_id = reg.region_id
                          AND a.party = reg.party""")
 def levelling_by_region(t):
-    return Levelled(t).region_awards
+    return election(t).region_awards
 
 
 PLACED = GREEDY + f""",
@@ -326,7 +240,7 @@ WITH RECURSIVE {PLACED}
 SELECT election_id, region_id, constituency_id, party, used, awards, divisor,
        cquotient AS quotient, rk AS rank, coalesce(rk <= awards, false) AS placed FROM ck""")
 def constituency_placement(t):
-    return Levelled(t).constituency_cells.select(
+    return election(t).constituency_cells.select(
         "election_id", "region_id", "constituency_id", "party", "used", "awards", "divisor",
         "quotient", "rank", "placed",
     )
@@ -340,16 +254,4 @@ SELECT election_id, region_id, constituency_id, party, used AS constituency_seat
        coalesce(p.levelling_seats, 0) AS levelling_seats
 FROM cells LEFT JOIN p USING (election_id, constituency_id, party)""")
 def seats_by_constituency(t):
-    chain = Levelled(t)
-    placed = chain.constituency_cells.groupBy("election_id", "constituency_id", "party").agg(
-        F.sum(F.col("placed").cast("int")).cast("int").alias("levelling_seats")
-    )
-    won = chain.won.join(chain.totals.select("election_id", "party"), ["election_id", "party"])
-    return won.join(placed, ["election_id", "constituency_id", "party"], "left").select(
-        "election_id",
-        "region_id",
-        "constituency_id",
-        "party",
-        F.col("won").alias("constituency_seats"),
-        F.coalesce("levelling_seats", F.lit(0)).alias("levelling_seats"),
-    )
+    return election(t).seats_by_constituency

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from civicspark.functions import text as tx
 from civicspark.operators import apportion as ap
-from civicspark.operators import calendar as cal
 from civicspark.operators import candidates as cd
 from civicspark.operators import enrich, grouping, reshape
-from civicspark.plans.apportionment import AVG_RANK, CONSTITUENCY_WON, constituency_seats
+from civicspark.plans.apportionment import AVG_RANK, CONSTITUENCY_WON
+from civicspark.plans.elections import constituency_seats
 from civicspark.plans.registry import query
 from civicspark.plans.tables import EP_SEATS
 
@@ -217,7 +217,7 @@ WITH {CONSTITUENCY_WON.format(votes="fx_party_votes")}
 SELECT election_id, coalesce(party, 'I alt') AS party, sum(votes)::BIGINT AS votes, sum(won)::BIGINT AS seats
 FROM cwon GROUP BY GROUPING SETS ((election_id, party), (election_id))""")
 def totals_row(t):
-    won = constituency_seats(t, t.party_votes())
+    won = constituency_seats(t.party_votes(), t.seats())
     return reshape.totals_row(won, "party", "I alt", {"votes": "votes", "seats": "won"}, KEYS)
 
 
