@@ -34,7 +34,10 @@ def season_year(day: Column) -> Column:
 def kickoff_text(
     kickoff: Column, status: Column, tz: str = "Europe/Berlin", undecided: str = "TBD"
 ) -> Column:
-    """Local kick-off ``HH:mm`` of a UTC timestamp, ``TBA`` while undecided."""
+    """Local kick-off ``HH:mm``, ``TBA`` while undecided.
+
+    ``kickoff`` is UTC: a timestamp without zone, or an instant in a session set to UTC.
+    """
     utc = kickoff.cast("timestamp_ntz")
     local = F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)
     return F.when(status == undecided, "TBA").otherwise(F.date_format(local, "HH:mm"))

@@ -52,6 +52,13 @@ def member_text(df: DataFrame, keys: Sequence[str], member: str, out: str = "mem
     )
 
 
+def group_lines(members: DataFrame, group: str, text: str, separator: str = "<br>") -> DataFrame:
+    """All groups in one text, ``group: members`` per line in group order."""
+    lines = F.sort_array(F.collect_list(F.struct(group, text)))
+    joined = F.transform(lines, lambda x: F.concat_ws(": ", x[group], x[text]))
+    return members.agg(F.array_join(joined, separator).alias("lines"))
+
+
 def selected_first(column: Column, selected: Sequence) -> Column:
     """Sort key that puts the listed values first, in their order."""
     position = F.array_position(F.array(*[F.lit(s) for s in selected]), column)

@@ -335,7 +335,9 @@ def src_json_flatten(t):
     flat = matches.flatten_matches(matches.read_matches(t.spark, path))
     return flat.select(
         "match_id", "round", "stage", "season", "league", "status", "home", "away", "stadium", "city",
-        F.date_format("kickoff", "yyyy-MM-dd HH:mm:ss").alias("kickoff"),
+        F.date_format(
+            F.to_utc_timestamp("kickoff", F.current_timezone()), "yyyy-MM-dd HH:mm:ss"
+        ).alias("kickoff"),
     )
 
 

@@ -232,6 +232,16 @@ def alliance_members(t):
     return lines.withColumn("line", F.concat_ws(": ", "alliance", "members"))
 
 
+@query("alliance_lines", """
+WITH g AS (SELECT coalesce(alliance, 'none') AS alliance, string_agg(party, ', ' ORDER BY party) AS members
+           FROM fx_party GROUP BY 1)
+SELECT string_agg(alliance || ': ' || members, '<br>' ORDER BY alliance) AS lines FROM g""")
+def alliance_lines(t):
+    parties = t.parties().withColumn("alliance", F.coalesce("alliance", F.lit("none")))
+    members = reshape.member_text(parties, ["alliance"], "party")
+    return reshape.group_lines(members, "alliance", "members")
+
+
 @query("alliance_size", """
 SELECT alliance, count(DISTINCT p_brand) AS parties FROM part JOIN fx_party ON party = p_brand GROUP BY 1""")
 def alliance_size(t):

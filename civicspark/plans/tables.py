@@ -167,7 +167,8 @@ class Tables:
         """Every counted line with its election, area, party and candidate."""
         if self._counted is not None:
             return self._counted
-        # the smaller tables meet first, so the lines are shuffled for two joins only
+        # orders find their area before they meet the lines, so the lines are shuffled for
+        # two joins only, each time with few columns
         held = (
             self("orders")
             .join(self("customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -179,20 +180,26 @@ class Tables:
                 F.col("n_nationkey").alias("constituency_id"),
             )
         )
-        return (
+        lines = (
             self("lineitem")
-            .join(held, F.col("l_orderkey") == F.col("o_orderkey"))
             .join(self("part"), F.col("l_partkey") == F.col("p_partkey"))
             .select(
-                "election_id",
-                "region_id",
-                "constituency_id",
+                "l_orderkey",
                 F.col("p_brand").alias("party"),
                 F.col("p_type").alias("candidate"),
                 "l_linestatus",
                 "l_quantity",
             )
         )
+        return lines.join(held, F.col("l_orderkey") == F.col("o_orderkey")).select(
+            "election_id",
+            "region_id",
+            "constituency_id",
+            "party",
+            "candidate",
+            "l_linestatus",
+            "l_quantity",
+        )
 
     def party_votes(self, *by: str) -> DataFrame:
         """Votes per election, area and party, or per the given columns."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,11 @@ def get_session(app: str = "civicspark", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+@cache
+def _local_root(application: str) -> str:
+    return tempfile.mkdtemp(prefix="civicspark-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder every executor can reach, below ``spark.checkpoint.dir``.
 
@@ -39,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        root = tempfile.mkdtemp(prefix="civicspark-")
+        root = _local_root(spark.sparkContext.applicationId)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -64,8 +64,14 @@ def is_ready(documents: DataFrame) -> bool:
     return not ready_only(documents).isEmpty()
 
 
-def read_manifest(spark: SparkSession, path: str, level: str) -> DataFrame:
-    """Areas of one level: id, parent id, name and the file of their result."""
+def read_manifest(
+    spark: SparkSession, path: str, level: str, nth: int | None = None
+) -> DataFrame:
+    """Areas of one level: id, parent id, name and the file of their result.
+
+    ``nth`` keeps one entry per document (from 0): manifests of election night list the
+    country more than once, and the second entry names its result.
+    """
     container, element, area, parent = fixed.LEVELS[check_request(level)]
     attributes = [f"_{area}: STRING", "_filnavn: STRING", "_VALUE: STRING"]
     if parent:
@@ -73,10 +79,10 @@ def read_manifest(spark: SparkSession, path: str, level: str) -> DataFrame:
     node = f"ARRAY<STRUCT<{', '.join(attributes)}>>"
     fields = f"{container} STRUCT<{element}: {node}>" if container else f"{element} {node}"
     documents = read_documents(spark, path, f"election_id INT, ValgDato STRING, {fields}")
-    areas = documents.select(
-        "election_id",
-        F.explode(f"{container}.{element}" if container else element).alias("a"),
-    )
+    nodes = F.col(f"{container}.{element}" if container else element)
+    if nth is not None:
+        nodes = F.slice(nodes, nth + 1, 1)
+    areas = documents.select("election_id", F.explode(nodes).alias("a"))
     return areas.select(
         "election_id",
         F.col(f"a._{area}").alias("area_id"),

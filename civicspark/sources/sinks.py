@@ -16,7 +16,8 @@ def write_snapshot(
     Readers of one country read only its folder. The rows of a country may be spread
     over many files, so a large country is not one task.
     """
-    stamped = schedule.withColumn("loaded_at", F.lit(loaded_at))
+    moment = F.to_timestamp_ntz(F.lit(loaded_at.isoformat()))
+    stamped = schedule.withColumn("loaded_at", moment)
     stamped.write.mode(mode).partitionBy(country).parquet(path)
 
 

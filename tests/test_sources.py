@@ -68,6 +68,8 @@ def test_manifest_levels(spark, tmp_path, rows):
     ]
     assert rows(counts.read_manifest(spark, path, "landsdele"), "name") == [("Hovedstaden",)]
     assert counts.read_manifest(spark, path, "opstillingskredse").count() == 0
+    assert rows(counts.read_manifest(spark, path, "storkredse", nth=1), "area_id") == [("13",)]
+    assert counts.read_manifest(spark, path, "storkredse", nth=2).count() == 0
 
 
 @pytest.mark.parametrize(
