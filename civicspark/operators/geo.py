@@ -81,43 +81,44 @@ def polygon_area_km2(rings: Column) -> Column:
 
     The whole polygon is one value, so there is no shuffle.
     """
-    areas = F.transform(rings, lambda r: F.abs(ring_area_km2(r)))
-    return 2 * F.element_at(areas, 1) - _sum(areas)
+    areas = F.transform(rings, lambda r, i: F.when(i == 0, 1).otherwise(-1) * F.abs(ring_area_km2(r)))
+    return _sum(areas)
 
 
 def _ring_moments(ring: Column) -> Column:
-    cross = F.transform(
-        _edges(ring),
-        lambda e: F.struct(
-            (e["a"][0] * e["b"][1] - e["b"][0] * e["a"][1]).alias("w"),
-            (e["a"][0] + e["b"][0]).alias("x"),
-            (e["a"][1] + e["b"][1]).alias("y"),
-        ),
-    )
-    return F.struct(
-        _sum(F.transform(cross, lambda c: c["w"])).alias("w"),
-        _sum(F.transform(cross, lambda c: c["w"] * c["x"])).alias("x"),
-        _sum(F.transform(cross, lambda c: c["w"] * c["y"])).alias("y"),
-    )
+    """Doubled area and first moments of a ring, in one walk along its edges."""
+    zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+    def step(acc: Column, e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        cross = a[0] * b[1] - b[0] * a[1]
+        return F.struct(
+            (acc["w"] + cross).alias("w"),
+            (acc["x"] + cross * (a[0] + b[0])).alias("x"),
+            (acc["y"] + cross * (a[1] + b[1])).alias("y"),
+        )
+
+    return F.aggregate(_edges(ring), zero, step)
 
 
 def polygon_centroid(rings: Column) -> Column:
     """Planar centroid ``struct(x, y)``; holes subtract whatever their direction."""
-    first = _ring_moments(F.element_at(rings, 1))
 
-    def signed(ring: Column, i: Column) -> Column:
-        moment = _ring_moments(ring)
-        sign = F.when(i == 0, F.signum(first["w"])).otherwise(-F.signum(first["w"]))
-        factor = sign * F.signum(moment["w"])
+    def total(moments: Column, part: str) -> Column:
+        return _sum(
+            F.transform(
+                moments,
+                lambda m, i: F.when(i == 0, 1).otherwise(-1) * F.signum(m["w"]) * m[part],
+            )
+        )
+
+    def centre(moments: Column) -> Column:
+        weight = 3 * total(moments, "w")
         return F.struct(
-            (factor * moment["w"]).alias("w"),
-            (factor * moment["x"]).alias("x"),
-            (factor * moment["y"]).alias("y"),
+            F.try_divide(total(moments, "x"), weight).alias("x"),
+            F.try_divide(total(moments, "y"), weight).alias("y"),
         )
 
-    moments = F.transform(rings, signed)
-    weight = _sum(F.transform(moments, lambda m: m["w"])) * 3
-    return F.struct(
-        F.try_divide(_sum(F.transform(moments, lambda m: m["x"])), weight).alias("x"),
-        F.try_divide(_sum(F.transform(moments, lambda m: m["y"])), weight).alias("y"),
-    )
+    # a one-element array binds the moments, so that they are computed once
+    moments = F.array(F.transform(rings, _ring_moments))
+    return F.element_at(F.transform(moments, centre), 1)
