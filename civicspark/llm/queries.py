@@ -4,10 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import functions as F
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
 from civicspark.llm.common import table
 from civicspark.llm.neardup import near_duplicates
+from civicspark.llm.tokens import token_counts
+
+
+#: Documents with more tokens than this are flagged.
+TOKEN_LIMIT = 1024
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    path = path or public_tokenizers.path("byte_bpe_50k.json")
+    counted = token_counts(table(spark, sf_dir, "documents"), path)
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +29,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
