@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from civicspark.llm.common import table
+from civicspark.llm.common import held_out, table
+from civicspark.llm.gam import quality_scores
+from civicspark.llm.imatch import fingerprints
+from civicspark.llm.mixing import mix
 from civicspark.llm.neardup import near_duplicates
+from civicspark.llm.sharding import shard
 from civicspark.llm.tokens import token_counts
+from civicspark.llm.toxicity import toxicity
 
 
 #: Documents with more tokens than this are flagged.
@@ -24,12 +29,60 @@ def op1_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None)
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+#: Shards of the corpus.
+SHARDS = 24
+
+
+def op3_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        (F.octet_length(text) + F.lit(8).cast("long")).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+    )
+    return shard(rows, ["doc_id", "text_crc32", "size"], SHARDS).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_scores(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source"
+    )
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity(docs, table(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.transform("offending", lambda o: F.struct(o["start"], o["end"], o["chance"])).alias("offending"),
+    )
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_imatch_fingerprints": op2_imatch_fingerprints,
+    "op3_feistel_sharding": op3_feistel_sharding,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op7_pareto_mixing": op7_pareto_mixing,
+    "op8_toxicity": op8_toxicity,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
