@@ -113,3 +113,34 @@ def in_order(df: DataFrame, *keys: str) -> tuple[DataFrame, int]:
     row_no = F.coalesce("_before", F.lit(0)) + F.col("_place").bitwiseAND((1 << 33) - 1)
     # One row a partition: small however large the table.
     return placed.join(F.broadcast(before), "_part").select(*columns, row_no.alias("row_no")), total
+
+
+#: Bits of a sieve: 2 MB, however many keys there are.
+SIEVE_BITS = 1 << 24
+
+
+def sieve(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A test that every value of ``keys`` passes, and few others as long as the keys are few.
+
+    One bit a key in a table of fixed size, which Spark hands to all tasks as a scalar. It
+    only spares a join rows that it would drop; beyond some 10^7 keys it spares less.
+    """
+    spark = keys.sparkSession
+
+    def slot(column: Column) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(SIEVE_BITS)).cast("int")
+
+    def bit(column: Column) -> Column:
+        return slot(column).bitwiseAND(63)
+
+    ones = F.array(*(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)))
+    words = keys.groupBy(F.shiftright(slot(F.col(key)), 6).alias("w")).agg(
+        F.bit_or(F.get(ones, bit(F.col(key)))).alias("bits")
+    )
+    dense = spark.range(SIEVE_BITS // 64).select(F.col("id").cast("int").alias("w"))
+    table = materialize(
+        dense.join(words, "w", "left")
+        .agg(F.sort_array(F.collect_list(F.struct("w", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("s"))
+        .select(F.transform("s", lambda x: x["bits"]).alias("bits"))
+    ).scalar()
+    return lambda column: F.getbit(F.get(table, F.shiftright(slot(column), 6)), bit(column)) == 1

@@ -16,6 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from civicspark.llm.common import sieve
 from civicspark.session import materialize
 
 
@@ -63,16 +64,16 @@ def _alike(percent: int, shared: Column, a: Column, b: Column) -> Column:
     return shared * 100 >= percent * (a + b - shared)
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) of each pair, by the exact similarity of the whole sets."""
-    left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
+def compare_sets(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked) of pairs (a, b, x, y) with the whole sets x and y."""
     shared = F.size(F.array_intersect("x", "y"))
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .select("a", "b", _alike(percent, shared, F.size("x"), F.size("y")).alias("linked"))
-    )
+    return pairs.select("a", "b", _alike(percent, shared, F.size("x"), F.size("y")).alias("linked"))
+
+
+def _with_content(pairs: DataFrame, content: DataFrame) -> DataFrame:
+    left = content.select(F.col("node").alias("a"), F.col("content").alias("x"))
+    right = content.select(F.col("node").alias("b"), F.col("content").alias("y"))
+    return pairs.join(left, "a").join(right, "b")
 
 
 def _across(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -121,37 +122,43 @@ def _across(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
 
 def linked_components(
-    signatures: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int
+    signatures: DataFrame,
+    content: Callable[[DataFrame], DataFrame],
+    compare: Callable[[DataFrame, int], DataFrame],
+    items: Callable[[DataFrame], DataFrame],
+    percent: int,
 ) -> DataFrame:
     """(node, component) of all nodes linked with another one.
 
-    ``signatures``: (node, bands), one row a distinct set. ``sets(nodes)``: (node, items) of
-    the asked nodes, one row each. Two sets are linked if 100 * intersection >= percent *
-    union.
+    ``signatures``: (node, bands) of the distinct sets; a repeated row does no harm.
+    ``content(nodes)``: (node, content) of the asked nodes, one row each. ``compare``: from
+    pairs with both contents x and y to (a, b, linked). ``items``: from contents to (node,
+    items). Two sets are linked if 100 * intersection >= percent * union.
     """
     keyed = signatures.select("node", F.explode("bands").alias("band"))
     # The exclusive or with the band's key makes another node the least one in each band.
     turned = F.col("node").bitwiseXOR(F.col("band"))
-    buckets = (
+    buckets = materialize(
         keyed.groupBy("band")
-        .agg(F.min(turned).alias("least"), F.max(turned).alias("most"), F.count("*").alias("size"))
+        .agg(F.min(turned).alias("least"), F.max(turned).alias("most"))
         .filter("least <> most")
-        .select("band", F.col("least").bitwiseXOR(F.col("band")).alias("hub"), "size")
+        .select("band", F.col("least").bitwiseXOR(F.col("band")).alias("hub"))
     )
-    members = materialize(keyed.join(buckets, "band"))
+    shared_band = sieve(buckets, "band")
+    members = materialize(keyed.filter(shared_band(F.col("band"))).join(buckets, "band").distinct())
     pairs = materialize(
         members.filter("node <> hub")
         .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         .distinct()
     )
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    items = materialize(sets(asked))
-    checked = materialize(_checked(pairs, items, percent))
-    links = checked.filter("linked").select("a", "b")
-    labels = components(links)
+    contents = materialize(content(materialize(asked)))
+    checked = materialize(compare(_with_content(pairs, contents), percent))
+    labels = components(checked.filter("linked").select("a", "b"))
 
+    # Bands with a hub that is not linked to every member, whose members are not one component.
     refused = checked.filter("not linked").select("a", "b")
-    spokes = members.filter("node <> hub and size > 2").select(
+    spokes = members.filter("node <> hub").select(
         "band", F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")
     )
     open_bands = spokes.join(refused, ["a", "b"]).select("band").distinct()
@@ -160,14 +167,15 @@ def linked_components(
         members.join(open_bands, "band")
         .join(labels, "node", "left")
         .groupBy("band")
-        .agg(F.min(label).alias("low"), F.max(label).alias("high"))
-        .filter("low <> high")
+        .agg(F.min(label).alias("low"), F.max(label).alias("high"), F.count("*").alias("size"))
+        .filter("low <> high and size > 2")
         .select("band")
     )
     left_over = materialize(members.join(torn, "band", "left_semi").select("node").distinct())
     if left_over.isEmpty():
         return labels
-    more = materialize(_across(items.join(left_over, "node", "left_semi"), labels, percent))
-    found = _checked(more, items, percent).filter("linked").select("a", "b")
+    again = items(contents.join(left_over, "node", "left_semi"))
+    more = materialize(_across(again, labels, percent))
+    found = compare(_with_content(more, contents), percent).filter("linked").select("a", "b")
     # The components so far stand for their links.
     return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from civicspark.llm import shingles
-from civicspark.llm.common import arrow_rows
-from civicspark.llm.links import linked_components
+from civicspark.llm.common import arrow_rows, sieve
+from civicspark.llm.links import compare_sets, linked_components
 from civicspark.session import materialize
 
 #: 32 bands of 6 coordinates find a pair of similarity 0.85 but for a chance of 3 in 10^7.
@@ -25,7 +25,7 @@ SIGNATURE = T.StructType(
     ]
 )
 ITEMS = T.StructType(
-    [T.StructField("node", T.LongType()), T.StructField("items", T.ArrayType(T.LongType()))]
+    [T.StructField("node", T.LongType()), T.StructField("content", T.ArrayType(T.LongType()))]
 )
 
 
@@ -74,13 +74,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"))
     )
 
-    def sets(asked: DataFrame) -> DataFrame:
-        ids = nodes.join(asked, "node", "left_semi").select("first").distinct()
-        texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["first"]), "left_semi")
+    def content(asked: DataFrame) -> DataFrame:
+        ids = materialize(nodes.join(asked, "node", "left_semi").select("first").distinct())
+        wanted = docs.filter(sieve(ids, "first")(F.col("doc_id")))
+        texts = wanted.join(ids, wanted["doc_id"].eqNullSafe(ids["first"]), "left_semi")
         found = arrow_rows(texts, ITEMS, "text", _items).join(asked, "node", "left_semi")
-        return found.groupBy("node").agg(F.first("items").alias("items"))
+        return found.groupBy("node").agg(F.first("content").alias("content"))
 
-    labels = linked_components(nodes.select("node", "bands"), sets, percent)
+    def items(contents: DataFrame) -> DataFrame:
+        return contents.withColumnRenamed("content", "items")
+
+    labels = linked_components(nodes.select("node", "bands"), content, compare_sets, items, percent)
     least = nodes.select("node", "first").join(labels, "node", "left").withColumn("class", F.coalesce("component", "node"))
     ids = least.groupBy("class").agg(F.min("first").alias("component_id"))
     named = materialize(least.join(ids, "class").select("node", "component_id"))

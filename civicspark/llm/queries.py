@@ -12,6 +12,7 @@ import public_tokenizers
 from civicspark.llm.common import held_out, table
 from civicspark.llm.gam import quality_scores
 from civicspark.llm.imatch import fingerprints
+from civicspark.llm.lines import duplicate_lines
 from civicspark.llm.mixing import mix
 from civicspark.llm.neardup import near_duplicates
 from civicspark.llm.sharding import shard
@@ -72,6 +73,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_lines(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_classifier": op5_quality_classifier,
     "op7_pareto_mixing": op7_pareto_mixing,
     "op8_toxicity": op8_toxicity,
+    "op9_fuzzy_line_dedup": op9_fuzzy_line_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 

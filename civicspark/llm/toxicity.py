@@ -15,7 +15,7 @@ from civicspark.llm.gam import learning_rows
 #: Labelled rows that the model is fitted on, at most.
 TRAIN_ROWS = 12_000
 #: Terms are known by 32-bit hashes; those in fewer training documents carry no weight.
-LEAST_DOCS, LEAST_G2 = 4, 20.0
+LEAST_DOCS, LEAST_G2 = 4, 30.0
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 TERM = re.compile(r"[^\W_]+")
