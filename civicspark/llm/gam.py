@@ -233,12 +233,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     return AdditiveModel().fit(x[order], y[order])
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted``; every column of ``docs`` is kept.
+def quality_scores(
+    docs: DataFrame, labels: DataFrame, threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted")
+) -> DataFrame:
+    """``docs`` with ``score`` and ``predicted`` (or other ``names``); every other column is kept.
 
     A null or empty text gets the score of a text without words. Without labelled rows every
-    score is 0.5. Repeated rows are scored alike. Columns of ``docs`` named ``score`` or
-    ``predicted`` are replaced.
+    score is 0.5. Repeated rows are scored alike. Columns of ``docs`` with
+    those names are replaced.
     """
     share_package(docs.sparkSession)
     model = train(docs, labels)
@@ -251,5 +253,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
         parts = [model.score(features(*utf8(p.column("text")))) for p in _slices(batch, "text")]
         return pd.Series(np.concatenate([np.zeros(0), *parts]))
 
-    scored = docs.withColumn("score", score(F.col("text").cast("string")))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    scored = docs.withColumn(names[0], score(F.col("text").cast("string")))
+    return scored.withColumn(names[1], (F.col(names[0]) >= threshold).cast("int"))

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from civicspark.llm.common import held_out, table
+from civicspark.llm.decontam import contained_items
 from civicspark.llm.gam import quality_scores
 from civicspark.llm.imatch import fingerprints
+from civicspark.llm.licences import scan, templates
 from civicspark.llm.lines import duplicate_lines
 from civicspark.llm.mixing import mix
 from civicspark.llm.neardup import near_duplicates
@@ -51,12 +53,25 @@ def op3_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality_scores(docs, table(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # The documents as files: a tree of their source and the thousands and hundreds of their ids.
+    parts = [F.floor(F.col("doc_id") / d).cast("string") for d in (1000, 100, 1)]
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), *parts)
+    files = docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")
+    return scan(files, templates(spark)).withColumnRenamed("file_id", "doc_id")
+
+
 def op7_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select(
@@ -85,11 +100,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_imatch_fingerprints": op2_imatch_fingerprints,
     "op3_feistel_sharding": op3_feistel_sharding,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_licence_scan": op6_licence_scan,
     "op7_pareto_mixing": op7_pareto_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_fuzzy_line_dedup": op9_fuzzy_line_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_benchmark_decontamination": r"""
+WITH words(kind, id, w) AS (
+    SELECT 0, doc_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') FROM documents
+    UNION ALL
+    SELECT 1, item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') FROM benchmark
+),
+shingles AS (
+    SELECT DISTINCT kind, id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+    FROM words WHERE len(w) > 0
+),
+items AS (SELECT id AS item_id, s, count(*) OVER (PARTITION BY id) AS n_item FROM shingles WHERE kind = 1)
+SELECT d.id AS doc_id, item_id, CAST(n_item AS INT) AS n_item, CAST(count(*) AS INT) AS n_shared
+FROM items JOIN shingles d ON d.kind = 0 AND d.s = items.s
+GROUP BY d.id, item_id, n_item
+HAVING count(*) * 100 >= n_item * 80
+""",
+}

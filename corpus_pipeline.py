@@ -1,10 +1,78 @@
-"""The corpus pipeline: quality, near duplicates, benchmark passages, mix and shards."""
+"""The corpus pipeline: from raw documents to the place of each copy in the training shards.
+
+Each stage takes the documents its predecessor kept and decides on them alone. The stages use
+the operators of ``civicspark.llm``; between two stages the documents are written and read
+again, so a lost executor costs one stage at most.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from civicspark.llm.common import table
+from civicspark.llm.decontam import decontaminate
+from civicspark.llm.gam import quality_scores
+from civicspark.llm.mixing import mix
+from civicspark.llm.neardup import near_duplicates
+from civicspark.llm.queries import SHARDS
+from civicspark.llm.sharding import shard
+from civicspark.session import materialize
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier accepts."""
+    scored = quality_scores(docs, table(spark, sf_dir, "labels"), names=("_score", "_predicted"))
+    return scored.filter("_predicted = 1").select(*docs.columns)
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the least doc_id.
+
+    Of rows equal in doc_id and text one stays. Rows without doc_id stay if one of them does.
+    """
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    return stay.dropDuplicates(["doc_id", "text"])
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no benchmark item."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, none to two times."""
+    copies = mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
+    taken = docs.join(copies.filter("_copies > 0"), docs["doc_id"].eqNullSafe(copies["_id"]))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(
+        *(docs[c] for c in docs.columns)
+    )
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard and slot of each copy, with everything known of it but its text."""
+    known = [c for c in docs.columns if c not in ("text", "shard", "slot", "row_no")]
+    rows = docs.select(*known, F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    order = ["doc_id", "text_crc32", *(c for c in ("source", "lang", "n_chars") if c in known)]
+    return shard(rows, order, SHARDS).drop("row_no")
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("MinHash near-dedup", near_duplicate),
+    ("benchmark decontamination", benchmark),
+    ("mixing sources to target weights", mixture),
+    ("sharding", shards),
+]
+
+#: A learnt model and MinHash have no SQL; the tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
