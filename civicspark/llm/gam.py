@@ -238,7 +238,7 @@ def quality_scores(
 ) -> DataFrame:
     """``docs`` with ``score`` and ``predicted`` (or other ``names``); every other column is kept.
 
-    A null or empty text gets the score of a text without words. Without labelled rows every
+    A null text is scored as an empty one. Without labelled rows every
     score is 0.5. Repeated rows are scored alike. Columns of ``docs`` with
     those names are replaced.
     """

@@ -104,13 +104,16 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     others only in the sense that it has no neighbour: its edited text loses its last third,
     and ``near_next`` is 0. Other columns are ignored.
     """
-    docs = df.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    )
+    if id_col != "doc_id" or dict(df.dtypes)[id_col] != "bigint":
+        df = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        text_col = "text"
+    # A plain column, as an alias of one would keep Spark from seeing that two exchanges are equal.
+    docs = df.select("doc_id", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     slots = materialize(lexicon(docs, "text"))
 
     # Who stands before whom: on ids and lengths alone.
-    lengths = docs.filter("doc_id is not null").select("doc_id", F.length("text").alias("n"))
+    named = docs.filter("doc_id is not null")
+    lengths = named.select("doc_id", F.length("text").alias("n"))
     placed, total = in_order(lengths.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id")
     placed = materialize(placed)
     behind = placed.select(
@@ -121,8 +124,9 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     order = placed.select("doc_id", "row_no").join(behind, "row_no").select("doc_id", "for_id", "need")
 
+    # Texts are dealt by doc_id once: both joins below read the same exchange.
     heads = (
-        docs.join(order, "doc_id")
+        named.join(order, "doc_id")
         .select(
             F.col("for_id").alias("doc_id"),
             F.col("doc_id").alias("next_id"),
@@ -135,8 +139,12 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kept = F.col("text").substr(F.lit(1), F.length("text") - third)
     edited = F.concat(kept, F.coalesce(F.col("head").substr(F.lit(1), third), F.lit("")))
     lex = F.col("lex")
+    nameless = docs.filter("doc_id is null").select(
+        "doc_id", "text", F.lit(None).cast("long").alias("next_id"), F.lit(None).cast("string").alias("head")
+    )
     both = (
-        docs.join(heads, "doc_id", "left")
+        named.join(heads, "doc_id", "left")
+        .unionByName(nameless)
         .select("doc_id", "next_id", "text", edited.alias("edited"))
         .withColumn("lex", slots.scalar())
         .select(

@@ -12,7 +12,7 @@ from civicspark.session import materialize
 
 #: Least cosine of a line to a template.
 LEAST = 0.6
-#: A file whose notices make up this share of its words, or that is named so, is a licence file.
+#: A file whose notices make up this share of its lines' terms, or that is named so, is a licence file.
 LICENCE_SHARE = 1 / 3
 LICENCE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice)([._-][^/]*)?$"
 
