@@ -79,8 +79,9 @@ def _with_content(pairs: DataFrame, content: DataFrame) -> DataFrame:
 def _across(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of ``sets`` in different components that may be linked: all of them.
 
-    Two linked sets share an item among the rarest n - ceil(t n) + 1 of each. Per item, the
-    nodes outside its largest component meet all others.
+    Two sets that share ``need`` items share one among the rarest n - need + 1 of each, and
+    ``need`` is t n for any partner, more for a partner of known size. Per item, the nodes
+    outside its largest component meet all others.
     """
     nodes = (
         sets.join(labels, "node", "left")
@@ -93,9 +94,9 @@ def _across(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         items.join(seen, "item")
         .groupBy("node", "component", "n")
         .agg(F.sort_array(F.collect_list(F.struct("seen", "item"))).alias("ranked"))
-        .select("node", "component", "n", F.explode(F.slice("ranked", 1, first.cast("int"))).alias("r"))
+        .select("node", "component", "n", F.posexplode(F.slice("ranked", 1, first.cast("int"))).alias("pos", "r"))
         .filter("r.seen > 1")
-        .select("node", "component", "n", F.col("r.item").alias("item"))
+        .select("node", "component", "n", (F.col("pos") + 1).alias("pos"), F.col("r.item").alias("item"))
     )
     rare = materialize(rare)
     largest = (
@@ -108,13 +109,21 @@ def _across(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     )
     shared = rare.join(largest, "item")
     some = shared.filter("component <> largest").select(
-        "item", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na")
+        "item", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("pa")
     )
-    other = shared.select("item", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    near = F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb")
+    other = shared.select(
+        "item", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("pb"),
+        (F.col("component") == F.col("largest")).alias("big"),
+    )
+    # Linked sets of these sizes share so many items that the first common one stands this far ahead.
+    need = F.ceil((F.col("na") + F.col("nb")) * F.lit(percent) / F.lit(100 + percent))
+    # What they can share at most, up to this item and after it.
+    room = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    near = (F.col("pa") + need <= F.col("na") + 1) & (F.col("pb") + need <= F.col("nb") + 1) & (room >= need)
     return (
         some.join(other, "item")
         .filter(F.col("ca") != F.col("cb"))
+        .filter(F.col("big") | (F.col("a") < F.col("b")))  # two small components meet once
         .filter(near)
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
