@@ -20,11 +20,11 @@ def title_case(column: Column) -> Column:
 
 
 def whole_number(column: Column) -> Column:
-    """Text as BIGINT, NULL where it is no whole number of up to 18 digits.
+    """Text as BIGINT, NULL where it is no whole number of that range.
 
     The pattern is tested first: a failing cast raises and catches an error per row.
     """
-    return F.regexp_substr(F.trim(column), F.lit(r"^[+-]?\d{1,18}$")).cast("bigint")
+    return F.regexp_substr(F.trim(column), F.lit(r"^[+-]?\d{1,19}$")).try_cast("bigint")
 
 
 def decimal_number(column: Column) -> Column:

@@ -47,7 +47,7 @@ def derive_rounds(matches: DataFrame, day: str, by_year: bool = False) -> DataFr
     """Number the (week, weekend) pairs over all leagues and date each round.
 
     Weeks carry no year unless ``by_year``. The table of pairs has at most 108 rows
-    (times years), so one task ranks it and it is small enough to broadcast.
+    (times years), so one task ranks it.
     """
     base = matches.withColumn("match_week", match_week(F.col(day))).withColumn(
         "weekend", weekend(F.col(day))
@@ -60,7 +60,7 @@ def derive_rounds(matches: DataFrame, day: str, by_year: bool = False) -> DataFr
         by = ["iso_year", *by]
     pairs = base.groupBy(*by).agg(F.min(day).alias("round_start"))
     rounds = pairs.withColumn("derived_round", F.dense_rank().over(Window.orderBy(*by)))
-    return null_safe_join(base, F.broadcast(rounds), by)
+    return null_safe_join(base, rounds, by)
 
 
 def derive_calendar(

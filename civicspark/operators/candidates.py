@@ -27,7 +27,8 @@ def list_type(
     """Parties on an ordered list, per constituency.
 
     A party is on an ordered list in a district if some candidate was allotted all of
-    the party's list votes there. ``hierarchy`` maps districts to constituencies.
+    the party's list votes there, and in a constituency if it is in one of its districts: one
+    row a list. ``hierarchy`` maps districts to constituencies.
     """
     whole = (F.col(party_allotted) == F.col(candidate_allotted)) & (F.col(party_allotted) > 0)
     flags = candidates.groupBy(*keys, district, party).agg(
@@ -36,8 +37,8 @@ def list_type(
     pairs = hierarchy.select(district, constituency).distinct()
     return (
         flags.join(pairs, district, "left")
-        .select(*keys, constituency, party, "ordered_list")
-        .distinct()
+        .groupBy(*keys, constituency, party)
+        .agg(F.bool_or("ordered_list").alias("ordered_list"))
     )
 
 

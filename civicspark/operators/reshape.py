@@ -12,7 +12,10 @@ def quotient_matrix(
     cells: DataFrame, rows: Sequence[str], column: str, value: str, names: Sequence
 ) -> DataFrame:
     """Wide table with one column per named value (the names are given, so Spark needs
-    no extra pass to find them)."""
+    no extra pass to find them). A value that is not named fails the query."""
+    known = F.col(column).isin(list(names)) | F.col(column).isNull()
+    message = F.concat(F.lit("no column for "), F.col(column).cast("string"))
+    cells = cells.withColumn(column, F.when(known, F.col(column)).otherwise(F.raise_error(message)))
     return cells.groupBy(*rows).pivot(column, list(names)).agg(F.first(value))
 
 

@@ -90,14 +90,14 @@ def derive_calendar(t):
 @query("unscheduled_round", f"""
 WITH k AS (SELECT *, {GERMAN_TIME} AS kt,
                   min(kickoff) OVER g = max(kickoff) OVER g AS one_instant FROM fx_matches
-           WINDOW g AS (PARTITION BY round_no, league, home))
+           WINDOW g AS (PARTITION BY round_no, league))
 SELECT match_id, CASE WHEN one_instant AND round_no <> '38' THEN 'TBA' ELSE kt END AS kickoff_text FROM k""")
 def unscheduled_round(t):
     timed = t.matches().withColumn(
         "kickoff_text", cal.kickoff_text(F.col("kickoff"), F.col("status"))
     )
     return cal.unscheduled_rounds(
-        timed, ["round_no", "league", "home"], "kickoff", "kickoff_text", "round_no", "38"
+        timed, ["round_no", "league"], "kickoff", "kickoff_text", "round_no", "38"
     ).select("match_id", "kickoff_text")
 
 

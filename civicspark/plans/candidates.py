@@ -175,8 +175,8 @@ WITH c AS (SELECT *, sum(list_votes) OVER (PARTITION BY election_id, constituenc
            FROM fx_candidates),
 f AS (SELECT election_id, constituency_id, party,
              bool_or(party_list = list_votes AND party_list > 0) AS ordered_list FROM c GROUP BY 1, 2, 3)
-SELECT DISTINCT election_id, n_regionkey AS region_id, party, ordered_list
-FROM f JOIN nation ON n_nationkey = constituency_id""")
+SELECT election_id, n_regionkey AS region_id, party, bool_or(ordered_list) AS ordered_list
+FROM f JOIN nation ON n_nationkey = constituency_id GROUP BY 1, 2, 3""")
 def list_type(t):
     lists = t.counted(candidates=True).candidates()
     allotted = with_group_stats(lists, LOCAL, party_list=F.sum("list_votes"))

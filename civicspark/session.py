@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,21 +29,13 @@ def get_session(app: str = "civicspark", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-@cache
-def _local_root(application: str) -> str:
-    return tempfile.mkdtemp(prefix="civicspark-")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder every executor can reach, below ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a folder of this machine.
+    Where that is unset it lies below the warehouse, which a cluster shares as well.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        root = _local_root(spark.sparkContext.applicationId)
+    root = root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 

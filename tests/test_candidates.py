@@ -125,3 +125,13 @@ def test_list_type_needs_all_votes_on_one_candidate(spark):
     assert {(r.area, r.party): r.ordered_list for r in out.collect()} == {
         (1, "A"): True, (2, "A"): False, (1, "B"): False, (2, "C"): False,
     }
+
+
+def test_list_type_is_one_row_a_list(spark):
+    from civicspark.operators.candidates import list_type
+
+    rows = [(1, 10, "A", 5, 5), (1, 11, "A", 5, 2), (1, 12, "B", 0, 0)]
+    lists = spark.createDataFrame(rows, "e int, district int, party string, whole int, got int")
+    places = spark.createDataFrame([(10, 1), (11, 1), (12, 1)], "district int, area int")
+    found = list_type(lists, places, ["e"], "district", "area", "party", "whole", "got")
+    assert {tuple(r) for r in found.collect()} == {(1, 1, "A", True), (1, 1, "B", False)}

@@ -130,3 +130,14 @@ def test_reshape(spark, rows):
     assert rows(wide, "g", "A", "B") == [(1, 3, 4), (2, 5, None)]
     order = df.select("p").distinct().orderBy(reshape.selected_first(F.col("p"), ["B"]))
     assert [r.p for r in order.collect()] == ["B", "A"]
+
+
+def test_whole_number_takes_the_whole_range(spark):
+    from pyspark.sql import functions as F
+
+    from civicspark.functions.text import whole_number
+
+    texts = ["9223372036854775807", "-9223372036854775808", "9223372036854775808", "1000000000000000000", "1x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(whole_number(F.col("t"))).collect()]
+    assert got == [2**63 - 1, -(2**63), None, 10**18, None]
