@@ -66,10 +66,14 @@ def derive_rounds(matches: DataFrame, day: str, by_year: bool = False) -> DataFr
 def derive_calendar(
     matches: DataFrame, kickoff: str = "kickoff", tz: str = "Europe/Berlin", by_year: bool = False
 ) -> DataFrame:
-    """Day, weekday, kick-off text, week, weekend, derived round and round start."""
+    """Day, weekday, kick-off text, week, weekend, derived round and round start.
+
+    A source without a ``status`` column has no undecided kick-offs.
+    """
+    status = F.col("status") if "status" in matches.columns else F.lit(None).cast("string")
     dated = matches.withColumn("match_day", F.to_date(kickoff)).withColumns(
         {
-            "kickoff_text": kickoff_text(F.col(kickoff), F.col("status"), tz),
+            "kickoff_text": kickoff_text(F.col(kickoff), status, tz),
             "weekday": weekday_name(F.to_date(kickoff)),
         }
     )

@@ -103,14 +103,27 @@ def _ring_moments(ring: Column) -> Column:
 
 def polygon_centroid(rings: Column) -> Column:
     """Planar centroid ``struct(x, y)``; holes subtract whatever their direction."""
+    return multi_polygon_centroid(F.array(rings))
+
+
+def multi_polygon_area_km2(polygons: Column) -> Column:
+    """Area of all polygons of one place."""
+    return _sum(F.transform(polygons, polygon_area_km2))
+
+
+def multi_polygon_centroid(polygons: Column) -> Column:
+    """Planar centroid ``struct(x, y)`` of all polygons of one place, weighted by their areas."""
 
     def total(moments: Column, part: str) -> Column:
-        return _sum(
-            F.transform(
-                moments,
-                lambda m, i: F.when(i == 0, 1).otherwise(-1) * F.signum(m["w"]) * m[part],
+        def of_polygon(polygon: Column) -> Column:
+            return _sum(
+                F.transform(
+                    polygon,
+                    lambda m, i: F.when(i == 0, 1).otherwise(-1) * F.signum(m["w"]) * m[part],
+                )
             )
-        )
+
+        return _sum(F.transform(moments, of_polygon))
 
     def centre(moments: Column) -> Column:
         weight = 3 * total(moments, "w")
@@ -120,5 +133,5 @@ def polygon_centroid(rings: Column) -> Column:
         )
 
     # a one-element array binds the moments, so that they are computed once
-    moments = F.array(F.transform(rings, _ring_moments))
+    moments = F.array(F.transform(polygons, lambda p: F.transform(p, _ring_moments)))
     return F.element_at(F.transform(moments, centre), 1)

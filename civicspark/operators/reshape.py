@@ -44,10 +44,17 @@ def totals_row(
     ).drop("__total")
 
 
-def member_text(df: DataFrame, keys: Sequence[str], member: str, out: str = "members") -> DataFrame:
-    """Distinct members of each group in one line, in name order, and their number."""
-    names = F.sort_array(F.collect_set(member))
-    grouped = df.select(*keys, member).distinct().groupBy(*keys).agg(names.alias("__names"))
+def member_text(
+    df: DataFrame, keys: Sequence[str], member: str, out: str = "members", distinct: bool = True
+) -> DataFrame:
+    """Members of each group in one line, in name order, and their number.
+
+    ``distinct=False`` keeps a name as often as it comes, for namesakes. A group's line is one
+    value: meant for groups of a bounded number of members, such as a party's elected persons.
+    """
+    members = df.select(*keys, member)
+    members = members.distinct() if distinct else members
+    grouped = members.groupBy(*keys).agg(F.sort_array(F.collect_list(member)).alias("__names"))
     return grouped.select(
         *keys,
         F.array_join("__names", ", ").alias(out),

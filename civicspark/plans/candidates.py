@@ -164,7 +164,7 @@ SELECT election_id, party, count(*)::INT AS n_elected, string_agg(candidate, ',
 FROM ranking WHERE elected GROUP BY 1, 2""")
 def elected_by_party(t):
     chosen = european(t, candidates=True).ranking.where(F.col("elected")).select("election_id", "party", "candidate")
-    return member_text(chosen, LIST, "candidate", "elected")
+    return member_text(chosen, LIST, "candidate", "elected", distinct=False)
 
 
 # ---- national elections: one list per party and constituency -------------------------

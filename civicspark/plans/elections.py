@@ -232,9 +232,14 @@ class EuropeanElection:
 
     @cached_property
     def lists(self) -> DataFrame:
-        """Persons with their party's seats and votes, written once for both list types."""
+        """Persons with their party's seats and votes, written once for both list types.
+
+        A party without votes has no seats, and a list of unknown type is an open one.
+        """
         seats = self.party_seats.select(*PARTY, "seats", F.col("votes").alias("party_votes"))
-        return materialize(self.persons.join(seats, PARTY))
+        known = {c: F.coalesce(c, F.lit(0)) for c in ("seats", "party_votes")}
+        known["ordered_list"] = F.coalesce("ordered_list", F.lit(False))
+        return materialize(self.persons.join(seats, PARTY, "left").withColumns(known))
 
     @property
     def open_lists(self) -> DataFrame:

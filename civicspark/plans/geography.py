@@ -89,7 +89,8 @@ def population_rollup(t):
 
 
 def boundaries(t):
-    """Every customer as a municipality: a box, every fifth with a square hole."""
+    """Every customer as a municipality: a box, every fifth with a square hole, every
+    seventh with an island of one by one degree four degrees further north."""
     key = F.col("c_custkey")
     x, y = (key % 340 - 170).cast("double"), (key % 120 - 60).cast("double")
     w, h = (key % 3 + 1).cast("double"), (key % 2 + 1).cast("double")
@@ -101,16 +102,19 @@ def boundaries(t):
 
     outer = box(x, y, w, h)
     hole = box(x + 0.25, y + 0.25, F.lit(0.5), F.lit(0.5), clockwise=True)
+    island = F.array(box(x, y + 4, F.lit(1.0), F.lit(1.0)))
+    main = F.when(key % 5 == 0, F.array(outer, hole)).otherwise(F.array(outer))
     return t("customer").select(
         key.alias("area_id"),
         F.col("c_name").alias("name"),
-        F.when(key % 5 == 0, F.array(outer, hole)).otherwise(F.array(outer)).alias("rings"),
+        F.when(key % 7 == 0, F.array(main, island)).otherwise(F.array(main)).alias("polygons"),
     )
 
 
 BOXES = """
 box AS (SELECT c_custkey AS area_id, (c_custkey % 340 - 170)::DOUBLE AS x, (c_custkey % 120 - 60)::DOUBLE AS y,
-               (c_custkey % 3 + 1)::DOUBLE AS w, (c_custkey % 2 + 1)::DOUBLE AS h, c_custkey % 5 = 0 AS hole
+               (c_custkey % 3 + 1)::DOUBLE AS w, (c_custkey % 2 + 1)::DOUBLE AS h, c_custkey % 5 = 0 AS hole,
+               c_custkey % 7 = 0 AS island
         FROM customer)
 """
 
@@ -120,20 +124,21 @@ WITH {BOXES}
 SELECT area_id, round(6371.01 * 6371.01 * (
          radians(w) * (sin(radians(y + h)) - sin(radians(y)))
          - CASE WHEN hole THEN radians(0.5) * (sin(radians(y + 0.75)) - sin(radians(y + 0.25))) ELSE 0 END
+         + CASE WHEN island THEN radians(1) * (sin(radians(y + 5)) - sin(radians(y + 4))) ELSE 0 END
        ), 4) AS area_km2 FROM box""")
 def polygon_area(t):
     return boundaries(t).select(
-        "area_id", F.round(geo.polygon_area_km2(F.col("rings")), 4).alias("area_km2")
+        "area_id", F.round(geo.multi_polygon_area_km2(F.col("polygons")), 4).alias("area_km2")
     )
 
 
 @query("polygon_centroid", f"""
 WITH {BOXES},
-m AS (SELECT *, w * h AS a, CASE WHEN hole THEN 0.25 ELSE 0 END AS b FROM box)
-SELECT area_id, round((a * (x + w / 2) - b * (x + 0.5)) / (a - b), 6) AS lon,
-       round((a * (y + h / 2) - b * (y + 0.5)) / (a - b), 6) AS lat FROM m""")
+m AS (SELECT *, w * h AS a, CASE WHEN hole THEN 0.25 ELSE 0 END AS b, CASE WHEN island THEN 1.0 ELSE 0 END AS c FROM box)
+SELECT area_id, round((a * (x + w / 2) - b * (x + 0.5) + c * (x + 0.5)) / (a - b + c), 6) AS lon,
+       round((a * (y + h / 2) - b * (y + 0.5) + c * (y + 4.5)) / (a - b + c), 6) AS lat FROM m""")
 def polygon_centroid(t):
-    centre = geo.polygon_centroid(F.col("rings"))
+    centre = geo.multi_polygon_centroid(F.col("polygons"))
     return (
         boundaries(t)
         .select("area_id", centre.alias("c"))

@@ -456,26 +456,30 @@ def src_decimal_comma(t):
 
 @query("src_geojson", f"""
 WITH {BOXES},
-outer_ring AS (SELECT area_id, 0 AS ring, i, x + CASE WHEN i IN (1, 2) THEN w ELSE 0 END AS lon,
+outer_ring AS (SELECT area_id, 0 AS polygon, 0 AS ring, i, x + CASE WHEN i IN (1, 2) THEN w ELSE 0 END AS lon,
                       y + CASE WHEN i IN (2, 3) THEN h ELSE 0 END AS lat
                FROM box, (VALUES (0), (1), (2), (3), (4)) p(i)),
-hole_ring AS (SELECT area_id, 1 AS ring, 4 - i AS i, x + 0.25 + CASE WHEN i IN (1, 2) THEN 0.5 ELSE 0 END AS lon,
+hole_ring AS (SELECT area_id, 0 AS polygon, 1 AS ring, 4 - i AS i, x + 0.25 + CASE WHEN i IN (1, 2) THEN 0.5 ELSE 0 END AS lon,
                      y + 0.25 + CASE WHEN i IN (2, 3) THEN 0.5 ELSE 0 END AS lat
-              FROM box, (VALUES (0), (1), (2), (3), (4)) p(i) WHERE hole)
-SELECT * FROM outer_ring UNION ALL SELECT * FROM hole_ring""")
+              FROM box, (VALUES (0), (1), (2), (3), (4)) p(i) WHERE hole),
+island_ring AS (SELECT area_id, 1 AS polygon, 0 AS ring, i, x + CASE WHEN i IN (1, 2) THEN 1 ELSE 0 END AS lon,
+                       y + 4 + CASE WHEN i IN (2, 3) THEN 1 ELSE 0 END AS lat
+                FROM box, (VALUES (0), (1), (2), (3), (4)) p(i) WHERE island)
+SELECT * FROM outer_ring UNION ALL SELECT * FROM hole_ring UNION ALL SELECT * FROM island_ring""")
 def src_geojson(t):
-    feature = F.struct(
-        F.lit("Feature").alias("type"),
-        F.create_map(F.lit("id"), F.col("area_id").cast("string")).alias("properties"),
-        F.struct(F.lit("Polygon").alias("type"), F.col("rings").alias("coordinates")).alias(
-            "geometry"
-        ),
-    )
+    def collections(areas, kind, coordinates):
+        feature = F.struct(
+            F.lit("Feature").alias("type"),
+            F.create_map(F.lit("id"), F.col("area_id").cast("string")).alias("properties"),
+            F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")).alias("geometry"),
+        )
+        return areas.select(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features"))
+
     path = shared_dir(t.spark)
     # one collection per line, so a large set of areas is never one document
-    boundaries(t).select(
-        F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features")
-    ).write.json(path)
+    areas, several = boundaries(t), F.size("polygons") > 1
+    collections(areas.where(~several), "Polygon", F.col("polygons")[0]).write.json(path)
+    collections(areas.where(several), "MultiPolygon", F.col("polygons")).write.mode("append").json(path)
     features = statistics.read_features(t.spark, path, multi_line=False).withColumn(
         "area_id", F.col("properties")["id"].cast("bigint")
     )

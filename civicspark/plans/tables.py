@@ -154,12 +154,12 @@ class Tables:
         later steps see one row per election, area and party (and candidate and line
         status), however many ballots there are.
         """
-        if self._counted is not None:
+        if self._counted is not None and (not candidates or "candidate" in self._counted.columns):
             return self
         detail = ["candidate", "l_linestatus"] if candidates else []
         by = ["election_id", "region_id", "constituency_id", "party", *detail]
         twin = Tables(self.spark, self.sf_dir)
-        sums = self.ballots().groupBy(*by).agg(F.sum("l_quantity").alias("l_quantity"))
+        sums = twin.ballots().groupBy(*by).agg(F.sum("l_quantity").alias("l_quantity"))
         twin._counted = materialize(sums)
         return twin
 

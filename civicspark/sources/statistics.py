@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLE_INFO_SCHEMA = (
     "id STRING, variables ARRAY<STRUCT<id: STRING, text: STRING, time: BOOLEAN, "
     "values: ARRAY<STRUCT<id: STRING, text: STRING>>>>"
 )
-POINT = "ARRAY<DOUBLE>"
+POLYGON = "ARRAY<ARRAY<ARRAY<DOUBLE>>>"
 FEATURE_SCHEMA = (
     "type STRING, features ARRAY<STRUCT<type: STRING, properties: MAP<STRING, STRING>, "
-    f"geometry: STRUCT<type: STRING, coordinates: ARRAY<ARRAY<{POINT}>>>>>"
+    "geometry: STRUCT<type: STRING, coordinates: STRING>>>"
 )
 
 
@@ -40,20 +40,36 @@ def read_decimal_comma(spark: SparkSession, path: str, schema: str) -> DataFrame
 
 
 def read_features(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Polygon features: properties and rings. ``multi_line=False`` reads one collection
-    per line, which splits large files."""
+    """Features with their properties and polygons, each an array of rings.
+
+    A ``Polygon`` is one polygon, a ``MultiPolygon`` any number; a feature without geometry
+    has none (null), other geometries raise an error. ``multi_line=False`` reads one
+    collection per line, which splits large files.
+    """
     collections = (
         spark.read.schema(FEATURE_SCHEMA).option("multiLine", str(multi_line).lower()).json(path)
     )
     return collections.select(F.explode("features").alias("f")).select(
-        F.col("f.properties").alias("properties"), F.col("f.geometry.coordinates").alias("rings")
+        F.col("f.properties").alias("properties"), _polygons(F.col("f.geometry")).alias("polygons")
+    )
+
+
+def _polygons(geometry: Column) -> Column:
+    """Polygons of a geometry, whose coordinates nest three or four levels deep by its type."""
+    kind, coordinates = geometry["type"], geometry["coordinates"]
+    unknown = F.raise_error(F.concat(F.lit("unsupported geometry: "), F.coalesce(kind, F.lit("no type"))))
+    return (
+        F.when(kind == "Polygon", F.array(F.from_json(coordinates, POLYGON)))
+        .when(kind == "MultiPolygon", F.from_json(coordinates, f"ARRAY<{POLYGON}>"))
+        .when(geometry.isNotNull(), unknown)
     )
 
 
 def ring_points(features: DataFrame, key: str) -> DataFrame:
-    """One row per point with its ring and position."""
+    """One row per point with its polygon, ring and position."""
     return (
-        features.select(key, F.posexplode("rings").alias("ring", "points"))
-        .select(key, "ring", F.posexplode("points").alias("i", "point"))
-        .select(key, "ring", "i", F.col("point")[0].alias("lon"), F.col("point")[1].alias("lat"))
+        features.select(key, F.posexplode("polygons").alias("polygon", "rings"))
+        .select(key, "polygon", F.posexplode("rings").alias("ring", "points"))
+        .select(key, "polygon", "ring", F.posexplode("points").alias("i", "point"))
+        .select(key, "polygon", "ring", "i", F.col("point")[0].alias("lon"), F.col("point")[1].alias("lat"))
     )

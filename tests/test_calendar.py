@@ -102,3 +102,9 @@ def test_label(spark):
     df = days(spark, dt.date(2024, 7, 1))
     label = cal.match_label(F.lit("A - B"), F.col("day"), F.lit("TBA"), "<br/>")
     assert df.select(label).first()[0] == "A - B<br/>01/07-2024 TBA"
+
+
+def test_calendar_of_a_source_without_status(spark):
+    df = spark.createDataFrame([(1, dt.datetime(2024, 7, 6, 18, 30))], "match_id INT, kickoff TIMESTAMP")
+    row = cal.derive_calendar(df).first()
+    assert (row.kickoff_text, row.derived_round) == ("20:30", 1)

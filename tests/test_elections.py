@@ -122,3 +122,13 @@ def test_european_election_with_published_alliances(spark):
     assert sorted(r.overall_rank for r in elected if r.party != "Ø") == sorted(
         r.overall_rank for r in election.seat_ranking.where("won AND party <> 'Ø'").collect()
     )
+
+
+def test_persons_of_a_party_without_votes_and_of_unknown_list_type_stay(spark):
+    votes = spark.createDataFrame([(1, "A", 100, None)], "election_id INT, party STRING, votes BIGINT, alliance STRING")
+    persons = spark.createDataFrame(
+        [(1, "A", "a1", 1, 9, None), (1, "A", "a2", 2, 5, None), (1, "B", "b1", 1, 7, False)],
+        "election_id INT, party STRING, candidate STRING, list_pos INT, personal_votes BIGINT, ordered_list BOOLEAN",
+    )
+    ranking = EuropeanElection(votes, 1, persons).ranking
+    assert {r.candidate: bool(r.elected) for r in ranking.collect()} == {"a1": True, "a2": False, "b1": False}

@@ -43,6 +43,27 @@ def test_area_and_centroid_whatever_the_direction(spark):
     assert [r.c.y for r in out] == pytest.approx([51, 51, (4 * 51 - 51.5) / 3, (4 * 51 - 51.5) / 3])
 
 
+def test_area_and_centroid_of_several_polygons(spark):
+    places = [(1, [[box(0, 50, 2, 2), box(1, 51, 1, 1)], [box(4, 50, 1, 1, clockwise=True)]]), (2, []), (3, None)]
+    df = spark.createDataFrame(places, "id INT, polygons ARRAY<ARRAY<ARRAY<ARRAY<DOUBLE>>>>")
+    whole = F.col("polygons")
+    out = df.select(
+        "id", geo.multi_polygon_area_km2(whole).alias("area"), geo.multi_polygon_centroid(whole).alias("c")
+    ).orderBy("id").collect()
+    area = sphere(0, 50, 2, 2) - sphere(1, 51, 1, 1) + sphere(4, 50, 1, 1)
+    assert out[0].area == pytest.approx(area)
+    assert (out[0].c.x, out[0].c.y) == pytest.approx(((4 * 1 - 1.5 + 4.5) / 4, (4 * 51 - 51.5 + 50.5) / 4))
+    assert (out[1].area, out[1].c.x, out[2].area) == (0, None, None)
+
+
+def test_namesakes_in_a_group(spark):
+    df = spark.createDataFrame([("A", "x"), ("A", "x"), ("A", "b")], "party STRING, name STRING")
+    every = reshape.member_text(df, ["party"], "name", distinct=False).first()
+    once = reshape.member_text(df, ["party"], "name").first()
+    assert (every.members, every.n_members) == ("b, x, x", 3)
+    assert (once.members, once.n_members) == ("b, x", 2)
+
+
 def test_area_needs_no_shuffle(spark):
     df = spark.createDataFrame([(1, [box(0, 50, 2, 2)])], POLYGON)
     plan = df.select(geo.polygon_area_km2(F.col("rings")))._jdf.queryExecution().executedPlan()

@@ -159,6 +159,28 @@ def test_multi_line_geojson(spark, tmp_path):
     assert [(r.lon, r.lat) for r in points] == [(0, 0), (1, 0), (1, 1), (0, 0)]
 
 
+def geometry(kind, coordinates):
+    return {"type": "Feature", "properties": {"name": kind}, "geometry": {"type": kind, "coordinates": coordinates}}
+
+
+def test_multi_polygons_and_unknown_geometries(spark, tmp_path):
+    triangle = [[0.5, 0], [1, 0], [1, 1], [0.5, 0]]
+    doc = [geometry("MultiPolygon", [[triangle, triangle[::-1]], [triangle]]), geometry("Polygon", [triangle]),
+           {"type": "Feature", "properties": {"name": "none"}, "geometry": None}]
+    (tmp_path / "a.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": doc}))
+    features = statistics.read_features(spark, str(tmp_path)).withColumn("name", F.col("properties")["name"])
+    assert {r["name"]: r.polygons and [len(p) for p in r.polygons] for r in features.collect()} == {
+        "MultiPolygon": [2, 1], "Polygon": [1], "none": None,
+    }
+    points = statistics.ring_points(features, "name").where("i = 0").orderBy("name", "polygon", "ring")
+    assert [(r["name"], r.polygon, r.ring, r.lon) for r in points.collect()] == [
+        ("MultiPolygon", 0, 0, 0.5), ("MultiPolygon", 0, 1, 0.5), ("MultiPolygon", 1, 0, 0.5), ("Polygon", 0, 0, 0.5),
+    ]
+    (tmp_path / "b.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [geometry("Point", [1, 2])]}))
+    with pytest.raises(Exception, match="unsupported geometry: Point"):
+        statistics.read_features(spark, str(tmp_path)).collect()
+
+
 def test_widened_records(spark):
     df = spark.createDataFrame([((1, "x"), 5)], "league STRUCT<id: INT, name: STRING>, n INT")
     assert matches.widen(df, ["league"]).columns == ["league_id", "league_name", "n"]
