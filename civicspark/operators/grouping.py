@@ -75,141 +75,81 @@ def topk_per_group(
     return df.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
-#: Rows of one key from which a group is ranked in pieces.
-HOT_ROWS = 5_000_000
-#: Value ranges a hot group is cut into.
-PIECES = 256
+def _ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """``df`` cut into ranges of keys and ``order``, numbered by ``__part`` and written.
+
+    The ranges hold about equally many rows whatever the values, so a hot key spans as many
+    of them as it needs. The written table fixes which row is in which range.
+    """
+    by = [*(ordered(k, ascending=True) for k in keys), *order]
+    return materialize(df.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()))
 
 
-def hot_groups(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], rows: int = HOT_ROWS
+def _sums_before(
+    placed: DataFrame, keys: Sequence[str], order: Sequence[Column], **values: Column
 ) -> DataFrame:
-    """Keys with more than ``rows`` rows and the range of each numeric column, written once.
+    """Adds the sums over all rows of the group that come before the row.
 
-    There are fewer of them than total / ``rows``, and since they are read from files
-    their size is known: joins with them are planned as broadcasts only while small, so
-    the rows of a hot key are not shuffled to be told apart.
-    """
-    ranges = [
-        side(c).alias(f"__{name}_{c}")
-        for c in columns
-        for name, side in (("lo", F.min), ("hi", F.max))
-    ]
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), *ranges)
-    return materialize(counts.where(F.col("__rows") > rows).drop("__rows"))
-
-
-def _piece(column: str, ascending: bool) -> Column:
-    """Which of the equal value ranges of its group a value falls in, in rank order."""
-    lo, hi, value = F.col(f"__lo_{column}"), F.col(f"__hi_{column}"), F.col(column)
-    distance = (value - lo) if ascending else (hi - value)
-    share = F.try_divide(distance.cast("double"), (hi - lo).cast("double"))
-    piece = F.floor(F.coalesce(share, F.lit(0.0)) * PIECES)
-    # NULL values come last, in a piece of their own
-    return F.when(value.isNull(), PIECES).otherwise(F.least(piece, F.lit(PIECES - 1)))
-
-
-def _placed(cells: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Rows and values before each cell (a value, or a part of one) of a hot group.
-
-    The cells of a piece are summed up by one task and shifted by the totals of the
-    pieces before it, of which a group has at most ``PIECES`` + 1.
+    Each range is summed up by itself and shifted by the totals of the ranges before it, of
+    which a group has at most as many as there are partitions.
     """
+    keys = list(keys)
     before = (Window.unboundedPreceding, -1)
-    inside = Window.partitionBy(*keys, "__piece").orderBy(*order).rowsBetween(*before)
-    pieces = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(*before)
-    totals = cells.groupBy(*keys, "__piece").agg(
-        F.sum("__n").alias("__rows"), F.count(F.lit(1)).alias("__values")
+    inside = Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(*before)
+    ranges = Window.partitionBy(*keys).orderBy("__part").rowsBetween(*before)
+    zero = F.lit(0).cast("bigint")
+    totals = placed.groupBy("__part", *keys).agg(
+        *[F.sum(value).alias(f"__all_{name}") for name, value in values.items()]
     )
-    offsets = totals.select(
+    shifts = totals.select(
+        "__part",
         *keys,
-        "__piece",
-        F.coalesce(F.sum("__rows").over(pieces), F.lit(0)).alias("__rows"),
-        F.coalesce(F.sum("__values").over(pieces), F.lit(0)).alias("__values"),
+        *[F.coalesce(F.sum(f"__all_{n}").over(ranges), zero).alias(f"__shift_{n}") for n in values],
+    )
+    local = placed.withColumns(
+        {n: F.coalesce(F.sum(value).over(inside), zero) for n, value in values.items()}
+    )
+    shifted = null_safe_join(local, shifts, ["__part", *keys])
+    return shifted.withColumns({n: F.col(n) + F.col(f"__shift_{n}") for n in values}).drop(
+        "__part", *[f"__shift_{n}" for n in values]
     )
-    local = cells.withColumn(
-        "__rows_in", F.coalesce(F.sum("__n").over(inside), F.lit(0))
-    ).withColumn("__values_in", F.count(F.lit(1)).over(inside))
-    return null_safe_join(local, offsets, [*keys, "__piece"]).withColumns(
-        {
-            "__rows_before": F.col("__rows") + F.col("__rows_in"),
-            "__values_before": F.col("__values") + F.col("__values_in"),
-        }
-    ).drop("__rows", "__values", "__rows_in", "__values_in", "__piece")
 
 
 def split_rank(
-    df: DataFrame,
-    keys: Sequence[str],
-    column: str,
-    prefix: str = "rank",
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], column: str, prefix: str = "rank"
 ) -> DataFrame:
-    """Exact descending ranks by a numeric column for groups of any size.
+    """Exact descending ranks by a column for groups of any size.
 
     Adds ``<prefix>_min``, ``<prefix>_avg`` and ``<prefix>_dense``; NULL values rank NULL.
-    Ordinary groups use one window. In a group with more than ``hot_rows`` rows equal
-    values are counted first (map-side combine), and the counts are placed in pieces.
+    Equal values are counted first (map-side combine), so a hot value is one row; the counts
+    are summed up in ranges, and the ranks joined back on key and value.
     """
     keys = list(keys)
-    names = [f"{prefix}_min", f"{prefix}_avg", f"{prefix}_dense"]
-    hot = hot_groups(df, keys, [column], hot_rows)
-    known = F.col(column).isNotNull()
-    window = Window.partitionBy(*keys).orderBy(ordered(column))
-    upto = window.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ordinary = null_safe_join(df, hot, keys, "left_anti").withColumns(
-        {
-            names[0]: F.when(known, F.rank().over(window).cast("bigint")),
-            names[1]: F.when(known, (F.rank().over(window) + F.count(F.lit(1)).over(upto)) / 2),
-            names[2]: F.when(known, F.dense_rank().over(window).cast("bigint")),
-        }
-    )
-    large = null_safe_join(df, hot, keys, "inner").withColumn("__piece", _piece(column, False))
-    cells = large.where(known).groupBy(*keys, "__piece", column).agg(
+    order = [ordered(column)]
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(
         F.count(F.lit(1)).alias("__n")
     )
-    low = F.col("__rows_before") + 1
-    ranks = _placed(cells, keys, [ordered(column)]).select(
+    one = F.lit(1).cast("bigint")
+    summed = _sums_before(_ranges(counts, keys, order), keys, order, __rows=F.col("__n"), __values=one)
+    low = F.col("__rows") + 1
+    ranks = summed.select(
         *keys,
         column,
-        low.alias(names[0]),
-        (low + (F.col("__n") - 1) / 2).alias(names[1]),
-        (F.col("__values_before") + 1).alias(names[2]),
+        low.alias(f"{prefix}_min"),
+        (low + (F.col("__n") - 1) / 2).alias(f"{prefix}_avg"),
+        (F.col("__values") + 1).alias(f"{prefix}_dense"),
     )
-    ranked = null_safe_join(large, ranks, [*keys, column])
-    return ordinary.unionByName(ranked.select(*df.columns, *names))
+    return null_safe_join(df, ranks, [*keys, column])
 
 
 def split_row_number(
-    df: DataFrame,
-    keys: Sequence[str],
-    column: str,
-    row_id: str,
-    out: str,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], column: str, row_id: str, out: str
 ) -> DataFrame:
     """Exact row numbers for groups of any size: largest value first, then ``row_id``.
 
-    ``row_id`` is a unique number. In a hot group the rows of one value are cut by id
-    ranges as well, so neither a hot key nor a hot value ends up in one task.
+    ``row_id`` is unique, so the ranges cut through a hot key and through a hot value too.
     """
-    keys = list(keys)
-    hot = hot_groups(df, keys, [column, row_id], hot_rows)
-    window = Window.partitionBy(*keys).orderBy(ordered(column), row_id)
-    ordinary = null_safe_join(df, hot, keys, "left_anti").withColumn(
-        out, F.row_number().over(window).cast("bigint")
-    )
-    large = null_safe_join(df, hot, keys, "inner").withColumns(
-        {"__piece": _piece(column, False), "__part": _piece(row_id, True)}
-    )
-    cells = large.groupBy(*keys, "__piece", column, "__part").agg(
-        F.count(F.lit(1)).alias("__n")
-    )
-    placed = _placed(cells, keys, [ordered(column), F.col("__part")]).select(
-        *keys, column, "__part", "__rows_before"
-    )
-    same = Window.partitionBy(*keys, column, "__part").orderBy(row_id)
-    numbered = null_safe_join(large, placed, [*keys, column, "__part"]).withColumn(
-        out, F.col("__rows_before") + F.row_number().over(same)
-    )
-    return ordinary.unionByName(numbered.select(*df.columns, out))
+    order = [ordered(column), ordered(row_id, ascending=True)]
+    one = F.lit(1).cast("bigint")
+    numbered = _sums_before(_ranges(df, keys, order), keys, order, **{out: one})
+    return numbered.withColumn(out, F.col(out) + 1)

@@ -32,44 +32,49 @@ def groups_of(data):
     return groups
 
 
-@pytest.fixture(params=[7, 256])
-def pieces(request, monkeypatch):
-    monkeypatch.setattr(grouping, "PIECES", request.param)
-
-
-@pytest.mark.parametrize("hot_rows", [0, 200, 10**6])
-def test_split_rank_is_exact(spark, skewed, pieces, hot_rows):
-    df = spark.createDataFrame(skewed, ROWS)
-    out = grouping.split_rank(df, ["k"], "v", hot_rows=hot_rows)
-    got = {r.id: (r.rank_min, r.rank_avg, r.rank_dense) for r in out.collect()}
-    assert len(got) == len(skewed)
-    for rows in groups_of(skewed).values():
+@pytest.fixture(params=["true", "false"])
+def ranges(request, spark):
+    """One range for all rows, or as many as there are shuffle partitions."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, request.param)
+    yield
+    spark.conf.set(name, before)
+
+
+def ranks_of(data):
+    expected = {}
+    for rows in groups_of(data).values():
         values = [v for _, _, v in rows if v is not None]
         for i, _, v in rows:
-            if v is None:
-                assert got[i] == (None, None, None)
-                continue
-            low = 1 + sum(w > v for w in values)
-            ties = values.count(v)
-            assert got[i] == (low, low + (ties - 1) / 2, 1 + len({w for w in values if w > v}))
+            low, ties = 1 + sum(w > v for w in values) if v is not None else 0, values.count(v)
+            dense = 1 + len({w for w in values if v is not None and w > v})
+            expected[i] = (low, low + (ties - 1) / 2, dense) if v is not None else (None,) * 3
+    return expected
 
 
-@pytest.mark.parametrize("hot_rows", [0, 200, 10**6])
-def test_split_row_number_is_exact(spark, skewed, pieces, hot_rows):
-    df = spark.createDataFrame(skewed, ROWS)
-    out = grouping.split_row_number(df, ["k"], "v", "id", "n", hot_rows=hot_rows)
+EXTREME = [(i, "k", v) for i, v in enumerate([*range(40), 2**63 - 1, -(2**63), 0, 0, None, None])]
+
+
+@pytest.mark.parametrize("case", ["skewed", "extreme", "repeated", "empty"])
+def test_split_rank_is_exact(spark, skewed, ranges, case):
+    data = {"skewed": skewed, "extreme": EXTREME, "repeated": [(i, "k", 5) for i in range(40)], "empty": []}[case]
+    out = grouping.split_rank(spark.createDataFrame(data, ROWS), ["k"], "v").collect()
+    assert len(out) == len(data)
+    assert {r.id: (r.rank_min, r.rank_avg, r.rank_dense) for r in out} == ranks_of(data)
+
+
+@pytest.mark.parametrize("case", ["skewed", "extreme", "repeated", "empty"])
+def test_split_row_number_is_exact(spark, skewed, ranges, case):
+    data = {"skewed": skewed, "extreme": EXTREME, "repeated": [(i, "k", 5) for i in range(40)], "empty": []}[case]
+    out = grouping.split_row_number(spark.createDataFrame(data, ROWS), ["k"], "v", "id", "n")
     got = {r.id: r.n for r in out.collect()}
-    for rows in groups_of(skewed).values():
+    assert len(got) == len(data)
+    for rows in groups_of(data).values():
         order = sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
         assert [got[r[0]] for r in order] == list(range(1, len(order) + 1))
 
 
-def test_split_rank_of_one_repeated_value(spark):
-    df = spark.createDataFrame([(i, "k", 5) for i in range(40)], ROWS)
-    out = grouping.split_rank(df, ["k"], "v", hot_rows=0)
-    assert {(r.rank_min, r.rank_avg, r.rank_dense) for r in out.collect()} == {(1, 20.5, 1)}
-
-
 def test_group_stats_keep_null_keys(spark, skewed):
     df = spark.createDataFrame(skewed, ROWS)
     out = grouping.with_group_stats(df, ["k"], n=F.count(F.lit(1)), top=F.max("v")).collect()
