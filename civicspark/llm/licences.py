@@ -87,14 +87,14 @@ def scan(files: DataFrame, notices: DataFrame, least: float = LEAST) -> DataFram
     wanted = notices.select("licence", _terms(F.col("notice")).alias("terms")).collect()
     vocabulary = sorted({t for r in wanted for t in r.terms})
     words = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
-    counted = rows.select(
-        F.explode(F.array_append(F.array_intersect(_terms(F.col("text")), words), "")).alias("term")
-    ).groupBy("term").agg(F.count("*").alias("df"))
-    df = {r.term: r.df for r in counted.collect()}  # the catalogue's terms, and '' once a file
+    term = F.col("term")
+    every = rows.select(F.explode(F.array_append(_terms(F.col("text")), "")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    # Terms of one file are not written: a term of a line that is not listed has a frequency of 1.
+    counted = materialize(every.filter((F.col("df") > 1) | F.array_contains(words, term) | (term == "")))
+    df = {r.term: r.df for r in counted.filter(F.array_contains(words, term) | (term == "")).collect()}  # '' comes once a file
 
     n = df.get("", 0)
     weight = {t: 1 + log((n + 1) / (df.get(t, 0) + 1)) for t in vocabulary}
-    unknown = 1 + log(n + 1)
     squares = F.array(*(F.lit(weight[t] ** 2) for t in vocabulary)) if vocabulary else F.array().cast("array<double>")
     zero = F.lit(0.0)
 
@@ -103,51 +103,79 @@ def scan(files: DataFrame, notices: DataFrame, least: float = LEAST) -> DataFram
 
     lists = sorted({(r.licence, tuple(sorted(r.terms))) for r in wanted if r.terms})
 
-    def cosine(known: Column, length: Column) -> Column:
-        """The best (cosine, licence) of a line with these known terms."""
+    def nearest_notice(known: Column) -> Column:
+        """The best (share, licence) of a line with these known terms; its cosine is the share over its length."""
         options = [
             F.struct(
-                (mass(F.array_intersect(known, F.array(*map(F.lit, terms)))) / (length * F.lit(sqrt(sum(weight[t] ** 2 for t in terms))))).alias("cosine"),
+                (mass(F.array_intersect(known, F.array(*map(F.lit, terms)))) / F.lit(sqrt(sum(weight[t] ** 2 for t in terms)))).alias("share"),
                 F.lit(licence).alias("licence"),
             )
             for licence, terms in lists
         ]
-        return F.array_max(F.array(*options)) if options else F.lit(None).cast("struct<cosine:double,licence:string>")
+        return F.array_max(F.array(*options)) if options else F.lit(None).cast("struct<share:double,licence:string>")
 
     def judge(line: Column) -> Column:
+        """What is known of a line without the frequencies of its other terms, null where no cosine can reach ``least``."""
+
         def by_terms(terms: Column) -> Column:
             known = F.filter(terms, lambda t: F.array_contains(words, t))
 
             def scored(k: Column) -> Column:
-                length = F.sqrt(mass(k) + (F.size(terms) - F.size(k)) * F.lit(unknown**2))
-                # No cosine exceeds the length of the known part over the whole length.
-                hopeless = (F.size(k) == 0) | (mass(k) < F.lit(least**2) * length * length)
-                return F.when(~hopeless, F.struct(cosine(k, length).alias("best"), F.size(terms).alias("words")))
+                # A term weighs 1 at least, and no cosine exceeds the length of the known part over the whole length.
+                shortest = mass(k) + F.size(terms) - F.size(k)
+                hopeless = (F.size(k) == 0) | (mass(k) < F.lit(least**2 * (1 - 1e-9)) * shortest)
+
+                def with_notice(best: Column) -> Column:
+                    near = best["share"] * best["share"] >= F.lit(least**2 * (1 - 1e-9)) * shortest
+                    return F.when(near, F.struct(
+                        best["share"].alias("share"), best["licence"].alias("licence"), mass(k).alias("mass"),
+                        F.size(terms).alias("words"), F.array_except(terms, k).alias("others"),
+                    ))
+
+                return F.when(~hopeless, F.get(F.transform(F.array(nearest_notice(k)), with_notice), F.lit(0)))
 
             return F.get(F.transform(F.array(known), scored), F.lit(0))
 
         return F.get(F.transform(F.array(_terms(line)), by_terms), F.lit(0))
 
-    def verdict(lines: Column) -> Column:
-        hits = F.filter(F.transform(lines, judge), lambda h: h["best"]["cosine"] >= least)
-
-        def summed(found: Column) -> Column:
+    def candidates(lines: Column) -> Column:
+        def counted_words(found: Column) -> Column:
             n_words = F.aggregate(lines, F.lit(0), lambda s, x: s + F.size(_terms(x)))
-            n_found = F.aggregate(found, F.lit(0), lambda s, h: s + h["words"])
-            best = F.array_max(F.transform(found, lambda h: F.struct(h["best"]["cosine"].alias("cosine"), h["best"]["licence"].alias("licence"))))
-            whole = F.col("path").rlike(LICENCE_NAME) | (n_found >= n_words * F.lit(LICENCE_SHARE))
-            return F.when(F.size(found) > 0, F.struct(best.alias("best"), F.coalesce(whole, F.lit(False)).alias("whole")))
+            return F.when(F.size(found) > 0, F.struct(found.alias("lines"), n_words.alias("n_words")))
 
-        return F.get(F.transform(F.array(hits), summed), F.lit(0))
+        found = F.filter(F.transform(lines, judge), lambda h: h.isNotNull())
+        return F.get(F.transform(F.array(found), counted_words), F.lit(0))
 
     lines = F.split("text", r"\r?\n")
     low = F.lower("text")
     suspect = F.lit(False)
     for term in _telling(lists, weight, least):
         suspect = suspect | F.contains(low, F.lit(term))
+    judged = materialize(
+        rows.select("file_id", "path", F.when(suspect, F.get(F.transform(F.array(lines), candidates), F.lit(0))).alias("v"))
+        .withColumn("row_no", F.monotonically_increasing_id())
+    )
+    near = judged.select("row_no", "path", "v.n_words", F.posexplode("v.lines").alias("line_no", "line"))
+    # Only terms of the lines left are looked up. Sorted, so that sums do not depend on the order of rows.
+    squared = F.pow(1 + F.log(F.lit(n + 1.0) / (F.coalesce("df", F.lit(1)) + 1)), F.lit(2.0))
+    others = (
+        near.select("row_no", "line_no", F.explode("line.others").alias("term"))
+        .join(counted, "term", "left")
+        .groupBy("row_no", "line_no")
+        .agg(F.aggregate(F.sort_array(F.collect_list(squared)), zero, lambda s, x: s + x).alias("rest"))
+    )
+    hits = (
+        near.join(others, ["row_no", "line_no"], "left")
+        .withColumn("cosine", F.col("line.share") / F.sqrt(F.col("line.mass") + F.coalesce("rest", zero)))
+        .filter(F.col("cosine") >= least)
+    )
+    whole = F.col("path").rlike(LICENCE_NAME) | (F.sum("line.words") >= F.col("n_words") * F.lit(LICENCE_SHARE))
+    verdicts = hits.groupBy("row_no", "path", "n_words").agg(
+        F.max(F.struct("cosine", F.col("line.licence").alias("licence"))).alias("best"), F.coalesce(whole, F.lit(False)).alias("whole")
+    )
     own = materialize(
-        rows.select("file_id", "path", F.when(suspect, F.get(F.transform(F.array(lines), verdict), F.lit(0))).alias("v")).select(
-            "file_id", "path", "v.best", "v.whole", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir")
+        judged.join(verdicts.drop("path", "n_words"), "row_no", "left").select(
+            "file_id", "path", "best", "whole", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir")
         )
     )
     order = F.struct(F.col("best.cosine").alias("cosine"), F.col("best.licence").alias("licence"))
