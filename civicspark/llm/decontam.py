@@ -113,7 +113,11 @@ def contained_items(
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the documents that hold an item; all their columns and other rows stay."""
-    held = contained_items(docs, items, percent=percent).select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(held, docs["doc_id"].eqNullSafe(held["_held"]), "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, percent: int = PERCENT, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the documents that hold an item; all their columns and other rows stay.
+
+    Rows that share ``id_col`` (or have none) are one document: a key of each row and its text
+    decides on each text alone.
+    """
+    held = contained_items(docs, items, id_col, percent=percent).select(F.col("doc_id").alias("_held")).distinct()
+    return docs.join(held, docs[id_col].eqNullSafe(held["_held"]), "left_anti")

@@ -19,6 +19,7 @@ BANDS, ROWS, WIDTH = 32, 6, 5
 SIGNATURE = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
+        T.StructField("text_hash", T.LongType()),
         T.StructField("n_shingles", T.LongType()),
         T.StructField("node", T.LongType()),
         T.StructField("bands", T.ArrayType(T.LongType())),
@@ -37,7 +38,7 @@ def _sign(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.Re
     keys = keys[sizes > 0]
     cuts = np.r_[0, np.cumsum((sizes > 0) * BANDS)].astype(np.int32)
     return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id"), pa.array(sizes), pa.array(node),
+        [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes), pa.array(node),
          pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys.ravel()))],
         schema=_arrow(SIGNATURE),
     )
@@ -62,16 +63,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sequence; without words or with a null text it is empty and linked with nothing. Texts are
     linked if 100 * intersection >= percent * union; ``component_id`` is the least doc_id
     reachable and ``kept`` marks its rows. Rows repeating a doc_id and text get the same
-    result each. A row without doc_id takes part in links, is kept if it is linked with
-    nothing, and has no component of its own (null). Other columns are ignored.
+    result each. A row without doc_id takes part in links and has no component of its own (null).
+    It is kept if it is linked with nothing, or only with others without doc_id of which its
+    text has the least hash. Other columns are ignored.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialize(arrow_rows(docs, SIGNATURE, "text", _sign))
+    signed = materialize(arrow_rows(docs.withColumn("text_hash", F.xxhash64("text")), SIGNATURE, "text", _sign))
     # Equal sets are one node; its first document stands for it.
     nodes = materialize(
         signed.filter("n_shingles > 0")
         .groupBy("node")
-        .agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"))
+        .agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("least_hash"), F.first("bands").alias("bands"))
     )
 
     def content(asked: DataFrame) -> DataFrame:
@@ -85,10 +87,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return contents.withColumnRenamed("content", "items")
 
     labels = linked_components(nodes.select("node", "bands"), content, compare_sets, items, percent)
-    least = nodes.select("node", "first").join(labels, "node", "left").withColumn("class", F.coalesce("component", "node"))
-    ids = least.groupBy("class").agg(F.min("first").alias("component_id"))
-    named = materialize(least.join(ids, "class").select("node", "component_id"))
+    classed = nodes.select("node", "first", "least_hash").join(labels, "node", "left")
+    least = classed.withColumn("class", F.coalesce("component", "node"))
+    ids = least.groupBy("class").agg(F.min("first").alias("component_id"), F.min("least_hash").alias("class_hash"))
+    named = materialize(least.join(ids, "class").select("node", "component_id", "class_hash"))
     own = F.coalesce("component_id", "doc_id")
+    # Where no row of the class has a doc_id, the least text stands for it.
+    lone = own.isNull() & (F.col("class_hash").isNull() | (F.col("text_hash") == F.col("class_hash")))
     return signed.join(named, "node", "left").select(
-        "doc_id", "n_shingles", own.alias("component_id"), (own.isNull() | own.eqNullSafe(F.col("doc_id"))).alias("kept")
+        "doc_id", "n_shingles", own.alias("component_id"), (lone | (own.isNotNull() & own.eqNullSafe(F.col("doc_id")))).alias("kept")
     )

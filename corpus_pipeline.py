@@ -1,7 +1,8 @@
 """The corpus pipeline: from raw documents to the place of each copy in the training shards.
 
 Each stage takes the documents its predecessor kept and decides on them alone. The stages use
-the operators of ``civicspark.llm``; between two stages the documents are written and read
+the operators of ``civicspark.llm``, with a hash of each row in place of its doc_id where their
+decisions are joined back; between two stages the documents are written and read
 again, so a lost executor costs one stage at most.
 """
 
@@ -26,28 +27,35 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter("_predicted = 1").select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, by which decisions find their rows: null and repeated doc_ids do not."""
+    return docs.withColumn("_row", F.xxhash64("doc_id", "text", "source"))
+
+
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the least doc_id.
+    """One document of each group of near duplicates, that with the least doc_id, none being last.
 
-    Of rows equal in doc_id and text one stays. Rows without doc_id stay if one of them does.
+    Of rows equal in doc_id and text one stays, of texts without words all others.
     """
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    return stay.dropDuplicates(["doc_id", "text"])
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    groups = near_duplicates(rows, "_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    ids = rows.select("_row", F.col("doc_id").alias("_id")).distinct()
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first")
+    kept = groups.distinct().join(ids, "_row").groupBy("_group").agg(first).select("first._row")
+    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no benchmark item."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate(keyed(docs), table(spark, sf_dir, "benchmark"), id_col="_row").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, none to two times."""
-    copies = mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    taken = docs.join(copies.filter("_copies > 0"), docs["doc_id"].eqNullSafe(copies["_id"]))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(
-        *(docs[c] for c in docs.columns)
-    )
+    """Each document as often as the mix takes it, none to two times; equal rows equally often."""
+    rows = keyed(docs)
+    copies = mix(rows.withColumn("doc_id", F.col("_row"))).groupBy(F.col("doc_id").alias("_row")).agg(F.max("copies").alias("_copies"))
+    taken = rows.join(copies.filter("_copies > 0"), "_row")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
