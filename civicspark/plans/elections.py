@@ -25,9 +25,13 @@ LIST = ["election_id", "constituency_id", "party"]
 
 
 def constituency_seats(votes: DataFrame, seats: DataFrame) -> DataFrame:
-    """Seats per constituency and party from rounded quotients."""
+    """Seats per constituency and party from rounded quotients.
+
+    A constituency without a seat row has no seats; its votes stay.
+    """
+    known = votes.join(seats.select("constituency_id", "seats"), "constituency_id", "left")
     return ap.highest_averages(
-        votes.join(seats.select("constituency_id", "seats"), "constituency_id"),
+        known.withColumn("seats", F.coalesce("seats", F.lit(0))),
         ["election_id", "region_id", "constituency_id"],
         "party",
         "votes",

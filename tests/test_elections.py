@@ -132,3 +132,20 @@ def test_persons_of_a_party_without_votes_and_of_unknown_list_type_stay(spark):
     )
     ranking = EuropeanElection(votes, 1, persons).ranking
     assert {r.candidate: bool(r.elected) for r in ranking.collect()} == {"a1": True, "a2": False, "b1": False}
+
+
+def test_votes_of_a_constituency_without_seats_count(spark):
+    votes = spark.createDataFrame(
+        [(1, "r", "c1", "A", 1000), (1, "r", "c1", "B", 50), (1, "r", "c2", "B", 500), (1, "r", "c2", "A", 10)],
+        "election_id INT, region_id STRING, constituency_id STRING, party STRING, votes LONG",
+    )
+    seats = spark.createDataFrame([("c1", "r", 3)], "constituency_id STRING, region_id STRING, seats INT")
+    pool = spark.createDataFrame([("r", 2)], "region_id STRING, pool INT")
+    election = NationalElection(votes, seats, pool, 5, 2, share=30.0)
+    rules = {r.party: r for r in election.rules.collect()}
+    assert {p: r.votes for p, r in rules.items()} == {"A": 1010, "B": 550}
+    assert rules["B"].share_pct == pytest.approx(550 / 1560 * 100) and rules["B"].qualified
+    won = {(r.constituency_id, r.party): r.won for r in election.won.collect()}
+    assert won == {("c1", "A"): 3, ("c1", "B"): 0, ("c2", "A"): 0, ("c2", "B"): 0}
+    assert election.regional_votes.agg({"votes": "sum"}).first()[0] == 1560
+    assert election.awards.count() == 2
