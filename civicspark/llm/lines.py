@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,6 +18,9 @@ from civicspark.session import materialize
 #: 12 bands of 4 coordinates find a pair of similarity 0.9 but for a chance of 3 in 10^6, one
 #: of 0.85 but for 1 in 10^4, one of just 0.8 but for 2 in 10^3.
 BANDS, ROWS = 12, 4
+#: For runs of three code points, which unlike lines share more often: a pair of just 0.8 but
+#: for a chance of 4 in 10^4, one of 0.85 but for 3 in 10^6; one of 0.3 in a band with one of 3 in 10^2.
+POINT_BANDS, POINT_ROWS = 26, 6
 
 LINES = T.StructType(
     [
@@ -59,17 +64,23 @@ def plain_lines(data: np.ndarray, offsets: np.ndarray):
     return kept, borders, owner, number
 
 
-def _sign(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+def _shingles(data: np.ndarray, offsets: np.ndarray, points: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``points`` code points, or of eight bytes without it."""
+    return shingles.point_shingles(data, offsets, points) if points else shingles.char_shingles(data, offsets)
+
+
+def _sign(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, points: int | None) -> pa.RecordBatch:
+    bands, rows = (POINT_BANDS, POINT_ROWS) if points else (BANDS, ROWS)
     text, borders, owner, number = plain_lines(data, offsets)
     node = shingles.span_hashes(text, borders[:-1], borders[1:])
     full = np.flatnonzero(np.diff(borders) > 0)
     # A line that comes again in this slice is signed once.
     _, once = np.unique(node[full], return_index=True)
     once = np.sort(full[once])
-    hashes, cuts = shingles.char_shingles(*_pick(text, borders, once))
-    keys = shingles.bands(shingles.linear_minhash(hashes, cuts, BANDS * ROWS), ROWS)
+    hashes, cuts = _shingles(*_pick(text, borders, once), points)
+    keys = shingles.bands(shingles.linear_minhash(hashes, cuts, bands * rows), rows)
     signed = np.zeros(len(node), np.int64)
-    signed[once] = BANDS
+    signed[once] = bands
     lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(signed)].astype(np.int32)), pa.array(keys.ravel()))
     empty = np.diff(borders) == 0
     return pa.RecordBatch.from_arrays(
@@ -91,17 +102,17 @@ def _pick(text: np.ndarray, borders: np.ndarray, rows: np.ndarray) -> tuple[np.n
     return text[at], cuts
 
 
-def _line_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return shingles.sets(*shingles.char_shingles(*utf8(column)))
+def _line_sets(column: pa.Array, points: int | None) -> tuple[np.ndarray, np.ndarray]:
+    return shingles.sets(*_shingles(*utf8(column), points))
 
 
-def compare_lines(pairs: DataFrame, percent: int) -> DataFrame:
+def compare_lines(pairs: DataFrame, percent: int, points: int | None = None) -> DataFrame:
     """(a, b, linked) of pairs (a, b, x, y) of lines, by the exact similarity of their shingle sets."""
 
     def run(batches):
         for batch in batches:
             for part in _slices(batch, "x"):
-                (x, xs), (y, ys) = _line_sets(part.column("x")), _line_sets(part.column("y"))
+                (x, xs), (y, ys) = _line_sets(part.column("x"), points), _line_sets(part.column("y"), points)
                 linked = []
                 for i in range(part.num_rows):
                     a, b = x[xs[i] : xs[i + 1]], y[ys[i] : ys[i + 1]]
@@ -116,30 +127,32 @@ def compare_lines(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
 
 
-def _line_items(contents: DataFrame) -> DataFrame:
+def _line_items(contents: DataFrame, points: int | None = None) -> DataFrame:
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("items", T.ArrayType(T.LongType()))])
 
     def build(batch, data, offsets):
-        hashes, borders = shingles.sets(*shingles.char_shingles(data, offsets))
+        hashes, borders = shingles.sets(*_shingles(data, offsets, points))
         lists = pa.ListArray.from_arrays(pa.array(borders.astype(np.int32)), pa.array(hashes.view(np.int64)))
         return pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "items"])
 
     return arrow_rows(contents.select("node", "content"), schema, "content", build)
 
 
-def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+def duplicate_lines(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, points: int | None = None
+) -> DataFrame:
     """(doc_id, line_no, class_doc, class_line, kept) of every line of every text.
 
     Lines are told apart by line feeds and numbered from 0. They are compared with A-Z lowered
-    and white space collapsed, as sets of runs of eight bytes (a shorter line is one run);
-    two are linked if 100 * intersection >= percent * union. The least (doc_id, line_no) of
+    and white space collapsed, as sets of runs of ``points`` code points, or of eight bytes without
+    it (a shorter line is one run); two are linked if 100 * intersection >= percent * union. The least (doc_id, line_no) of
     a linked component names its class and is kept, all its other lines are not. Empty lines
     are linked with nothing and kept. A null text has one empty line. Null ids come first in
     the order; a row that repeats id and text is kept or dropped like the other one. Other
     columns are ignored.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    lines = materialize(arrow_rows(docs, LINES, "text", _sign))
+    lines = materialize(arrow_rows(docs, LINES, "text", partial(_sign, points=points)))
 
     def content(asked: DataFrame) -> DataFrame:
         likely = sieve(asked, "node")
@@ -160,7 +173,9 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return found.join(asked, "node", "left_semi").groupBy("node").agg(F.first("content").alias("content"))
 
     signatures = lines.filter("size(bands) > 0").select("node", "bands")
-    labels = linked_components(signatures, content, compare_lines, _line_items, percent)
+    labels = linked_components(
+        signatures, content, partial(compare_lines, points=points), partial(_line_items, points=points), percent
+    )
     place = F.struct("doc_id", "line_no")
     first = lines.filter("node is not null").groupBy("node").agg(F.min(place).alias("first"))
     named = first.join(labels, "node", "left").withColumn("class", F.coalesce("component", "node"))
@@ -176,9 +191,11 @@ def duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def drop_duplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+def drop_duplicate_lines(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, points: int | None = None
+) -> DataFrame:
     """(doc_id, text) with the lines left that ``duplicate_lines`` keeps, in their order."""
-    kept = duplicate_lines(df, id_col, text_col, percent).filter("kept").select("doc_id", F.col("line_no"))
+    kept = duplicate_lines(df, id_col, text_col, percent, points).filter("kept").select("doc_id", F.col("line_no"))
     raw = df.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("line_no", "line"))
     joined = raw.join(kept, raw["doc_id"].eqNullSafe(kept["doc_id"]) & (raw["line_no"] == kept["line_no"]), "left_semi")
     return joined.groupBy("doc_id").agg(

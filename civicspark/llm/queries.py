@@ -88,8 +88,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Code points of a shingle of a line: one changed letter leaves lines of 29 and more linked.
+LINE_POINTS = 3
+
+
 def op9_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicate_lines(table(spark, sf_dir, "documents"))
+    return duplicate_lines(table(spark, sf_dir, "documents"), points=LINE_POINTS)
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

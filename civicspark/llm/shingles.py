@@ -96,6 +96,22 @@ def char_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return mix(out), borders
 
 
+def point_shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``width`` code points of each UTF-8 text, and the texts' borders.
+
+    A text with fewer code points is one shingle; an empty one has none.
+    """
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    at = np.searchsorted(starts, offsets)
+    counts = np.diff(at)
+    made = np.where((counts > 0) & (counts < width), 1, np.maximum(counts - width + 1, 0))
+    borders = np.r_[0, np.cumsum(made)]
+    first = np.repeat(at[:-1] - borders[:-1], made) + np.arange(borders[-1])
+    last = np.minimum(first + width, np.repeat(at[1:], made))
+    points = np.r_[starts, len(data)]
+    return span_hashes(data, points[first], points[last]), borders
+
+
 def _runs(hashes: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     counts = np.diff(at)
     short = (counts > 0) & (counts < width)
