@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
+from civicspark.llm import oracles
 from civicspark.llm.common import held_out, table
 from civicspark.llm.decontam import contained_items
 from civicspark.llm.gam import quality_scores
@@ -17,6 +18,7 @@ from civicspark.llm.licences import scan, templates
 from civicspark.llm.lines import duplicate_lines
 from civicspark.llm.mixing import mix
 from civicspark.llm.neardup import near_duplicates
+from civicspark.llm.secrets import BASE_RULES, FORM_RULES, scan_history, spans_text
 from civicspark.llm.sharding import shard
 from civicspark.llm.tokens import token_counts
 from civicspark.llm.toxicity import toxicity
@@ -104,6 +106,22 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report, _ = scan_history(table(spark, sf_dir, "documents"))
+
+    def of(*names: str):
+        return F.filter("spans", lambda s: s["rule"].isin(*names))
+
+    base = spans_text(of(*(r.name for r in BASE_RULES)))
+    return report.select(
+        "doc_id",
+        *(F.size(of(r.name)).cast("long").alias(f"n_{r.name}") for r in BASE_RULES),
+        F.sha2(base, 256).alias("base_sha256"),
+        spans_text(F.col("spans")).alias("spans"),
+        "blob",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_imatch_fingerprints": op2_imatch_fingerprints,
@@ -115,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_fuzzy_line_dedup": op9_fuzzy_line_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op13_secret_ledger": op13_secret_ledger,
 }
 
 ORACLES: dict[str, str] = {
@@ -134,4 +153,5 @@ FROM items JOIN shingles d ON d.kind = 0 AND d.s = items.s
 GROUP BY d.id, item_id, n_item
 HAVING count(*) * 100 >= n_item * 80
 """,
+    "op13_secret_ledger": oracles.secret_spans(BASE_RULES, FORM_RULES),
 }
