@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from civicspark.llm.common import sieve
@@ -50,7 +50,7 @@ RULES = BASE_RULES + FORM_RULES
 
 @dataclass(frozen=True)
 class Ledger:
-    """What has been scanned and found: written tables that the next scan takes up.
+    """What has been scanned and found, for the next scan to take up.
 
     ``scanned``: (blob, rule, version) of every pair done, with findings or without.
     ``findings``: (blob, rule, version, start, end) in code points, ``end`` exclusive.
@@ -59,6 +59,16 @@ class Ledger:
     scanned: DataFrame
     findings: DataFrame
 
+    def save(self, folder: str) -> Ledger:
+        """Written to a folder that is new; findings first, so that no pair counts as done without them."""
+        self.findings.write.parquet(f"{folder}/findings")
+        self.scanned.write.parquet(f"{folder}/scanned")
+        return Ledger.load(self.scanned.sparkSession, folder)
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> Ledger:
+        return cls(spark.read.parquet(f"{folder}/scanned"), spark.read.parquet(f"{folder}/findings"))
+
 
 def _matches(text: Column, rule: Rule) -> Column:
     """All matches of a rule in their order, each with the gap before it."""
@@ -109,7 +119,7 @@ def scan_history(
     rules: Sequence[Rule] = RULES,
     ledger: Ledger | None = None,
 ) -> tuple[DataFrame, Ledger]:
-    """The secrets of every version of every path, and the ledger with this scan in it.
+    """The secrets of every version of every path, and the ledger to save with this scan in it.
 
     ``versions`` has one row per version, named by ``id_cols`` (a path, a commit). Its text is
     addressed by its SHA-256; only pairs of a blob and a rule's version that ``ledger`` does not
@@ -120,7 +130,8 @@ def scan_history(
     columns are ignored, whatever their names.
 
     Texts are shuffled only where their blob comes more than once or is in the ledger (or a
-    sieve of fixed size takes it for such); the others are scanned where they are read.
+    sieve of fixed size takes it for such); the others are scanned where they are read. The
+    ledger's ``scanned`` is counted up when it is saved.
     """
     ids = [F.col(c).alias(f"_id{i}") for i, c in enumerate(id_cols)]
     named = [F.col(f"_id{i}").alias(c) for i, c in enumerate(id_cols)]
@@ -138,7 +149,7 @@ def scan_history(
     if ledger:
         known = materialize(ledger.scanned.filter(order > 0).groupBy("blob").agg(F.collect_set("rule").alias("known")))
         meet_again = meet_again.unionByName(known.select("blob"))
-    shared = sieve(materialize(meet_again.distinct()), "blob")
+    shared = sieve(meet_again, "blob")
     texts = rows.select("blob", "text")
     alone = texts.filter(~shared(F.col("blob"))).withColumn("known", none)
     rest = texts.filter(shared(F.col("blob"))).groupBy("blob").agg(F.first("text").alias("text"))
@@ -154,18 +165,17 @@ def scan_history(
     if ledger:
         scanned = scanned.unionByName(ledger.scanned.select("blob", "rule", "version")).distinct()
         findings = ledger.findings.select("blob", "rule", "version", "start", "end").unionByName(new)
-    after = Ledger(materialize(scanned), materialize(findings) if ledger else new)
 
     span = F.struct("start", "order", "rule", "end")
     by_blob = (
-        after.findings.withColumn("order", order)
+        findings.withColumn("order", order)
         .filter("order > 0")
         .groupBy("blob")
         .agg(F.sort_array(F.collect_list(span)).alias("spans"))
     )
     empty = F.array().cast("array<struct<start:bigint,order:int,rule:string,end:bigint>>")
     report = paths.join(by_blob, "blob", "left").select(*named, "blob", F.coalesce("spans", empty).alias("spans"))
-    return report, after
+    return report, Ledger(scanned, findings)
 
 
 def spans_text(spans: Column) -> Column:

@@ -73,9 +73,9 @@ def test_whole_table_against_python(spark):
     assert any(r.n_assign or r.n_access or r.n_hex for r in rows)
 
 
-def test_only_unseen_pairs_are_scanned(spark, docs):
+def test_only_unseen_pairs_are_scanned(spark, docs, tmp_path):
     first = docs.filter("doc_id <= 8")
-    _, ledger = scan_history(first)
+    ledger = scan_history(first)[1].save(str(tmp_path / "one"))
     blobs = first.select(F.sha2(F.coalesce("text", F.lit("")), 256)).distinct().count()
     assert ledger.scanned.count() == blobs * len(RULES)
     # A false finding in the ledger comes back for its blob: the blob was not scanned again.
@@ -83,6 +83,7 @@ def test_only_unseen_pairs_are_scanned(spark, docs):
     planted = spark.createDataFrame([(mark, "hex", 1, 7, 9)], "blob string, rule string, version int, start long, end long")
     marked = Ledger(ledger.scanned, planted)
     report, after = scan_history(docs, ledger=marked)
+    after = after.save(str(tmp_path / "two"))
     got = {r.blob: [(s.rule, s.start, s.end) for s in r.spans] for r in report.collect()}
     seen = {r.blob for r in ledger.scanned.collect()}
     assert all(s == ([("hex", 7, 9)] if b == mark else []) for b, s in got.items() if b in seen)
