@@ -7,6 +7,25 @@ from collections.abc import Sequence
 from civicspark.llm.secrets import Rule
 
 
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+RANKED = f"""
+WITH docs AS (SELECT row_number() OVER () AS row_id, doc_id, {_TERMS} AS t FROM documents),
+items AS (SELECT row_number() OVER () AS no, item_id, {_TERMS} AS t FROM benchmark),
+total AS (SELECT count(*) FILTER (len(t) > 0) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM docs),
+tf AS (SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest(t) AS term FROM docs) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+wanted AS (SELECT no, item_id, term, count(*) AS times FROM (SELECT no, item_id, unnest(t) AS term FROM items) GROUP BY ALL),
+weight AS (SELECT no, item_id, term, times * CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+           FROM wanted JOIN df USING (term), total),
+scored AS (SELECT no, item_id, doc_id, row_id,
+                  CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(t) * n_docs) // n_terms)))) AS BIGINT) AS score
+           FROM weight JOIN tf USING (term) JOIN docs USING (row_id), total GROUP BY no, item_id, doc_id, row_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY no ORDER BY score DESC, doc_id) AS INT) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+
 def secret_spans(base: Sequence[Rule], more: Sequence[Rule]) -> str:
     """Spans by splitting each text at the matches of each rule and adding up the lengths."""
 

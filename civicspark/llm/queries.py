@@ -18,6 +18,7 @@ from civicspark.llm.licences import scan, templates
 from civicspark.llm.lines import duplicate_lines
 from civicspark.llm.mixing import mix
 from civicspark.llm.neardup import near_duplicates
+from civicspark.llm.ranked import ranked_search
 from civicspark.llm.secrets import BASE_RULES, FORM_RULES, scan_history, spans_text
 from civicspark.llm.sharding import shard
 from civicspark.llm.tokens import token_counts
@@ -106,6 +107,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     report, _ = scan_history(table(spark, sf_dir, "documents"))
 
@@ -133,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_fuzzy_line_dedup": op9_fuzzy_line_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op12_ranked_search": op12_ranked_search,
     "op13_secret_ledger": op13_secret_ledger,
 }
 
@@ -153,5 +159,6 @@ FROM items JOIN shingles d ON d.kind = 0 AND d.s = items.s
 GROUP BY d.id, item_id, n_item
 HAVING count(*) * 100 >= n_item * 80
 """,
+    "op12_ranked_search": oracles.RANKED,
     "op13_secret_ledger": oracles.secret_spans(BASE_RULES, FORM_RULES),
 }
