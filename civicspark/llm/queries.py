@@ -23,6 +23,7 @@ from civicspark.llm.secrets import BASE_RULES, FORM_RULES, scan_history, spans_t
 from civicspark.llm.sharding import shard
 from civicspark.llm.tokens import token_counts
 from civicspark.llm.toxicity import toxicity
+from civicspark.llm.trie import branched, prefix_trie, sequences
 
 
 #: Documents with more tokens than this are flagged.
@@ -107,6 +108,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(branched(sequences(table(spark, sf_dir, "conversations"))))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -138,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_fuzzy_line_dedup": op9_fuzzy_line_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_ranked_search": op12_ranked_search,
     "op13_secret_ledger": op13_secret_ledger,
 }
@@ -159,6 +165,7 @@ FROM items JOIN shingles d ON d.kind = 0 AND d.s = items.s
 GROUP BY d.id, item_id, n_item
 HAVING count(*) * 100 >= n_item * 80
 """,
+    "op11_prefix_trie": oracles.TRIE,
     "op12_ranked_search": oracles.RANKED,
     "op13_secret_ledger": oracles.secret_spans(BASE_RULES, FORM_RULES),
 }
