@@ -94,24 +94,30 @@ def substitute_order(
 
 
 def list_waterfall(
-    df: DataFrame, keys: Sequence[str], position: str, need: str, pool: str
+    df: DataFrame, keys: Sequence[str], position: str, need: str, pool: str, tiebreak: Sequence[str] = ()
 ) -> DataFrame:
     """Hand a party's list votes down its list until the pool is empty.
 
     Each candidate is topped up to the quota; what is left after the needs above is the
     pool minus their running sum, so no step-by-step pass is needed. A surplus over the
-    total need stays unallocated.
+    total need stays unallocated. ``tiebreak`` orders candidates who share a position.
     """
-    above = Window.partitionBy(*keys).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.partitionBy(*keys).orderBy(position, *tiebreak).rowsBetween(Window.unboundedPreceding, -1)
     left = F.col(pool) - F.coalesce(F.sum(need).over(above), F.lit(0))
     return df.withColumn("allotted", F.least(F.col(need), F.greatest(left, F.lit(0))))
 
 
 def list_winners(
-    df: DataFrame, keys: Sequence[str], position: str, personal: str, quota: str, seats: str
+    df: DataFrame,
+    keys: Sequence[str],
+    position: str,
+    personal: str,
+    quota: str,
+    seats: str,
+    tiebreak: Sequence[str] = (),
 ) -> DataFrame:
     """Ordered-list winners: those who reach the quota, then the largest totals."""
-    by_total = Window.partitionBy(*keys).orderBy(F.col("total").desc(), position)
+    by_total = Window.partitionBy(*keys).orderBy(F.col("total").desc(), position, *tiebreak)
     return (
         df.withColumn("total", F.col(personal) + F.col("allotted"))
         .withColumn("rank", F.row_number().over(by_total))
@@ -128,6 +134,7 @@ def ordered_list(
     personal: str,
     party_votes: str,
     seats: str,
+    tiebreak: Sequence[str] = (),
 ) -> DataFrame:
     """Quota, waterfall and winners of ordered lists in one go.
 
@@ -140,12 +147,17 @@ def ordered_list(
         .withColumn("quota", droop_quota(F.col(party_votes), F.col(seats)))
         .withColumn("need", F.greatest(F.col("quota") - F.col(personal), F.lit(0)))
     )
-    topped = list_waterfall(prepared, keys, position, "need", "pool")
-    return list_winners(topped, keys, position, personal, "quota", seats)
+    topped = list_waterfall(prepared, keys, position, "need", "pool", tiebreak)
+    return list_winners(topped, keys, position, personal, "quota", seats, tiebreak)
 
 
 def list_order_interleaved(
-    candidates: DataFrame, keys: Sequence[str], position: str, votes: str, seats: str
+    candidates: DataFrame,
+    keys: Sequence[str],
+    position: str,
+    votes: str,
+    seats: str,
+    tiebreak: Sequence[str] = (),
 ) -> DataFrame:
     """National ordered lists: number those over the quota and the rest separately by
     list position, then interleave the two numberings, over-quota first."""
@@ -153,7 +165,7 @@ def list_order_interleaved(
     flagged = candidates.withColumn(
         "quota", droop_quota(total, F.col(seats), "national")
     ).withColumn("over_quota", F.col(votes) > F.col("quota"))
-    nth = F.row_number().over(Window.partitionBy(*keys, "over_quota").orderBy(position))
+    nth = F.row_number().over(Window.partitionBy(*keys, "over_quota").orderBy(position, *tiebreak))
     order = Window.partitionBy(*keys).orderBy("__nth", F.col("over_quota").desc())
     return (
         flagged.withColumn("__nth", nth)
@@ -237,3 +249,26 @@ def candidate_enrich(
             {c: F.coalesce(c, F.lit(0)) for c in seats.columns if c not in on}
         )
     )
+
+
+def elected_table(
+    labelled: DataFrame, keys: Sequence[str], area: str, candidate: str, votes: str, out: str = "elected"
+) -> DataFrame:
+    """The elected of each party as a nested table, from the rows of ``seat_labels``.
+
+    One row per key with ``n_<out>`` and ``<out>``, an array of (area, candidate, votes, label): by
+    area, then most votes, then name. Namesakes stay, each with an area and label of their own. A key
+    without an elected candidate has no row; a party's seats bound the array.
+    """
+    label = F.coalesce("constituency_seat", "levelling_seat")
+    entry = F.struct(
+        F.col(area).alias("area"), (-F.col(votes)).alias("order"), F.col(candidate).alias("candidate"), label.alias("label")
+    )
+    grouped = labelled.where("elected").groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("__rows"))
+    rows = F.transform(
+        "__rows",
+        lambda x: F.struct(
+            x["area"].alias(area), x["candidate"].alias(candidate), (-x["order"]).alias(votes), x["label"].alias("label")
+        ),
+    )
+    return grouped.select(*keys, F.size("__rows").alias(f"n_{out}"), rows.alias(out))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicspark.operators.grouping import group_max_rows, null_safe_join
+from civicspark.operators.grouping import carry_last, group_max_rows, placed_rows
 
 
 def _lookup(df: DataFrame, lookup: DataFrame, on: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -58,41 +58,14 @@ def locf(
     tiebreak: Sequence[str] = (),
     bucket: Column | None = None,
 ) -> DataFrame:
-    """Carry the last non-NULL value forward within each key.
+    """Carry the last non-NULL value forward within each key, NULL keys being one key.
 
-    With ``bucket`` (a non-decreasing function of ``order``, such as its day) a key is
-    split: each (key, bucket) is filled on its own and the value that enters a bucket
-    comes from a table with one row per (key, bucket).
+    The table is cut into ranges of key and ``order``, so a hot key spans as many tasks as its
+    rows need. ``bucket`` was the way to split a key by hand; it is no longer needed, changes nothing
+    and is taken for the sake of older calls only.
     """
-    keys = list(keys)
-    sort = [order, *tiebreak]
-    if bucket is None:
-        window = Window.partitionBy(*keys).orderBy(*sort)
-        upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumns({c: F.last(c, ignorenulls=True).over(upto) for c in columns})
-    split = df.withColumn("__bucket", bucket)
-    key = F.struct(*sort)
-    latest = split.groupBy(*keys, "__bucket").agg(
-        *[
-            F.max_by(c, F.when(F.col(c).isNotNull(), key)).alias(f"__last_{c}")
-            for c in columns
-        ]
-    )
-    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    carry = latest.select(
-        *keys,
-        "__bucket",
-        *[F.last(f"__last_{c}", ignorenulls=True).over(before).alias(f"__in_{c}") for c in columns],
-    )
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(*sort)
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = split.withColumns({c: F.last(c, ignorenulls=True).over(upto) for c in columns})
-    joined = null_safe_join(filled, carry, [*keys, "__bucket"])
-    return joined.withColumns(
-        {c: F.coalesce(F.col(c), F.col(f"__in_{c}")) for c in columns}
-    ).select(*df.columns)
+    placed = placed_rows(df, keys, [F.col(c).asc_nulls_first() for c in (order, *tiebreak)])
+    return carry_last(placed, keys, columns).select(*df.columns)
 
 
 def asof_join(
@@ -106,58 +79,36 @@ def asof_join(
 ) -> DataFrame:
     """For each left row the closest right row of the same key in time.
 
-    ``forward`` takes the earliest right time at or after the left time, ``backward``
-    the latest at or before it. No pairs are built: the distinct left times are merged
-    with the right rows per key and filled from the nearest right row, then joined back.
-    Days of a key are few, however many rows share them. For finer times give
-    ``bucket``, a function of the time column such as its day: a key is then filled per
-    bucket, and the row that enters a bucket comes from a one-row-per-bucket table. Of
-    several right rows with one key and time the smallest is taken.
+    ``forward`` takes the earliest right time at or after the left time, ``backward`` the
+    latest at or before it. Both sides are merged into ranges of key and time, running
+    towards the wanted direction; a left row takes the last right row before it in its range, or
+    the one carried over from the ranges before. No pairs are built, each side is read once
+    and no key or time is held by one task. NULL keys match NULL keys, a NULL time matches
+    nothing. Of several right rows with one key and time the smallest is taken. ``bucket``
+    changes nothing and is taken for the sake of older calls only.
     """
     on = list(on)
-    forward = direction == "forward"
     payload = [c for c in right.columns if c not in on]
-    best = right.groupBy(*on, F.col(right_time).alias("__t")).agg(
-        F.min(F.struct(*payload)).alias("__row")
+    rest = [c for c in left.columns if c not in on]
+    best = (
+        right.where(F.col(right_time).isNotNull())
+        .groupBy(*on, F.col(right_time).alias("__t"))
+        .agg(F.min(F.struct(*payload)).alias("__row"))
     )
-    empty = F.lit(None).cast(best.schema["__row"].dataType)
-    times = left.select(*on, F.col(left_time).alias("__t")).distinct()
-    merged = (
-        times.select("*", empty.alias("__row"), F.lit(1).alias("__left"))
-        .unionByName(best.withColumn("__left", F.lit(0)))
-        .where(F.col("__t").isNotNull())
+    own = left.select(*on, F.col(left_time).alias("__t"), F.struct(*rest).alias("__own"))
+    none = F.lit(None)
+    merged = own.withColumn("__row", none.cast(best.schema["__row"].dataType)).unionByName(
+        best.withColumn("__own", none.cast(own.schema["__own"].dataType))
     )
-
-    def towards(column: str) -> Column:
-        return F.col(column).desc() if forward else F.col(column).asc()
-
-    by = on if bucket is None else [*on, "__bucket"]
-    if bucket is not None:
-        merged = merged.withColumn("__bucket", bucket(F.col("__t")))
+    time = F.col("__t").desc_nulls_last() if direction == "forward" else F.col("__t").asc_nulls_first()
     # a right row comes before a left row of the same time, whichever way the time runs
-    inside = (
-        Window.partitionBy(*by)
-        .orderBy(towards("__t"), "__left")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    found = merged.withColumn("__row", F.last("__row", ignorenulls=True).over(inside)).where(
-        F.col("__left") == 1
+    placed = placed_rows(merged, on, [time, F.col("__own").isNotNull().asc()])
+    found = carry_last(placed, on, ["__row"]).where(F.col("__own").isNotNull())
+    row = F.when(F.col("__t").isNotNull(), F.col("__row"))
+    return found.select(
+        *[F.col(c) if c in on else F.col("__own")[c].alias(c) for c in left.columns],
+        *[row[c].alias(c) for c in payload],
     )
-    if bucket is not None:
-        time = F.when(F.col("__row").isNotNull(), F.col("__t"))
-        edge = F.min_by("__row", time) if forward else F.max_by("__row", time)
-        before = Window.partitionBy(*on).orderBy(towards("__bucket")).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        edges = merged.groupBy(*by).agg(edge.alias("__edge")).withColumn(
-            "__edge", F.last("__edge", ignorenulls=True).over(before)
-        )
-        found = null_safe_join(found, edges, by).withColumn(
-            "__row", F.coalesce("__row", "__edge")
-        )
-    found = found.select(*on, F.col("__t").alias(left_time), "__row")
-    joined = null_safe_join(left, found, [*on, left_time])
-    return joined.select(*left.columns, *[F.col("__row")[c].alias(c) for c in payload])
 
 
 def dedup_gazetteer(

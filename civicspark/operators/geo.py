@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,21 +14,34 @@ EARTH_RADIUS_KM = 6371.01
 def hierarchy(levels: Sequence[DataFrame]) -> DataFrame:
     """Join levels top-down on their shared id, keeping areas without children.
 
-    Neighbouring levels share exactly one column, the parent's id. Areas with children
-    are inner-joined and childless ones appended: an outer join that keeps the small
-    side could neither broadcast it nor split a hot parent.
+    Neighbouring levels share exactly one column, the parent's id. Which areas have
+    children is known from the ids alone: the distinct parent ids of the next level. The others
+    share a placeholder, a row without ids that the next level is given, so each level is one
+    inner join: a small side can be broadcast and a hot parent split, which an outer join that
+    keeps the areas would not allow. Rows of a level without a parent id drop out.
     """
-    chain, childless = levels[0], []
+    chain = levels[0]
     for lower in levels[1:]:
         shared = [c for c in lower.columns if c in chain.columns]
         if len(shared) != 1:
             raise ValueError(f"levels must share one id column, found {shared}")
-        parents = lower.select(*shared).distinct()
-        childless.append(chain.join(parents, shared, "left_anti"))
-        chain = chain.join(lower, shared)
-    return reduce(
-        lambda a, b: a.unionByName(b, allowMissingColumns=True), childless, chain
-    )
+        (parent,) = shared
+        own = [c for c in lower.columns if c != parent]
+        parents = lower.select(F.col(parent).alias("__parent")).distinct()
+        keyed = chain.join(parents, chain[parent] == parents["__parent"], "left")
+        placeholder = lower.sparkSession.range(1).select(
+            F.lit(None).cast(lower.schema[parent].dataType).alias("__child_of"),
+            *[F.lit(None).cast(lower.schema[c].dataType).alias(c) for c in own],
+        )
+        children = (
+            lower.where(F.col(parent).isNotNull())
+            .select(F.col(parent).alias("__child_of"), *own)
+            .unionByName(placeholder)
+        )
+        chain = keyed.join(children, keyed["__parent"].eqNullSafe(children["__child_of"])).drop(
+            "__parent", "__child_of"
+        )
+    return chain
 
 
 def level_pairs(table: DataFrame, *columns: str) -> DataFrame:

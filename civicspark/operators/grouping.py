@@ -153,3 +153,48 @@ def split_row_number(
     one = F.lit(1).cast("bigint")
     numbered = _sums_before(_ranges(df, keys, order), keys, order, **{out: one})
     return numbered.withColumn(out, F.col(out) + 1)
+
+
+def split_row_order(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """Row numbers of a whole table in a total order, such as a collation with a tiebreak."""
+    placed = _ranges(df, [], order)
+    one = F.lit(1).cast("bigint")
+    return _sums_before(placed, [], order, **{out: one}).withColumn(out, F.col(out) + 1)
+
+
+def placed_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """``df`` in ranges of keys and ``order``, with ``__pos``, a number that rises with both, and
+    the range ``__part``; written, so that later readers agree. Rows alike in all of them are
+    spread over ranges too."""
+    by = [*(F.col(k).asc_nulls_first() for k in keys), *order, F.col("__spread")]
+    return materialize(
+        df.withColumn("__spread", F.monotonically_increasing_id())
+        .repartitionByRange(*by)
+        .sortWithinPartitions(*by)
+        .drop("__spread")
+        .withColumn("__pos", F.monotonically_increasing_id())
+        .withColumn("__part", F.shiftright("__pos", 33))
+    )
+
+
+def carry_last(placed: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Fills NULLs of ``columns`` with the last value before them in their key, over ``placed_rows``.
+
+    Each range is filled by itself; what enters a range comes from a summary with one row per
+    range and key, of which a key has at most as many as there are ranges.
+    """
+    keys = list(keys)
+    summary = placed.groupBy("__part", *keys).agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__pos"))).alias(f"__last_{c}") for c in columns]
+    )
+    ranges = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    entering = summary.select(
+        "__part", *keys, *[F.last(f"__last_{c}", ignorenulls=True).over(ranges).alias(f"__in_{c}") for c in columns]
+    )
+    inside = Window.partitionBy("__part", *keys).orderBy("__pos")
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = placed.withColumns({c: F.last(c, ignorenulls=True).over(upto) for c in columns})
+    joined = null_safe_join(filled, entering, ["__part", *keys])
+    return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"__in_{c}")) for c in columns}).drop(
+        "__part", "__pos", *[f"__in_{c}" for c in columns]
+    )

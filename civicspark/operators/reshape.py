@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,24 @@ def marked_quotient(won: Column, rank: Column, quotient: Column) -> Column:
     return F.when(won, F.concat(F.lit("("), rank, F.lit(") "), quotient)).otherwise(quotient)
 
 
+def nested_matrix(
+    cells: DataFrame, keys: Sequence[str], row: str, column: str, value: str, out: str = "rows"
+) -> DataFrame:
+    """One row per key with its own table: ``out`` is an array of (row, cells) in row order.
+
+    ``cells`` maps the key's columns to values, in column order, so that each key has only the
+    columns it uses. Meant for keys whose table a ballot bounds, such as a constituency.
+    """
+    pair = F.sort_array(F.collect_list(F.struct(column, value)))
+    lines = cells.groupBy(*keys, row).agg(F.map_from_entries(pair).alias("cells"))
+    return lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(row, "cells")), _by_first(row)).alias(out))
+
+
+def _by_first(name: str):
+    """Structs in the order of one field; maps beside it cannot be compared."""
+    return lambda a, b: F.when(a[name] < b[name], -1).when(a[name] > b[name], 1).otherwise(0)
+
+
 def totals_row(
     df: DataFrame, group: str, label: str, sums: Mapping[str, str], keys: Sequence[str] = ()
 ) -> DataFrame:
@@ -80,6 +98,13 @@ def danish_order(column: Column) -> Column:
     return F.collate(column, "da")
 
 
+def danish_rank(column: str, keys: Sequence[str]) -> Column:
+    """Place in Danish alphabetical order within a key whose size a catalogue bounds, such as a
+    ballot; names that collate alike go by their code points. For whole tables see
+    ``grouping.split_row_order``."""
+    return F.row_number().over(Window.partitionBy(*keys).orderBy(danish_order(F.col(column)), column))
+
+
 def scalar_column(df: DataFrame, name: str, scalar: DataFrame) -> DataFrame:
     """Attach a one-row, one-column aggregate to every row as a scalar subquery."""
     return df.withColumn(name, scalar.scalar())

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from civicspark.operators import candidates as cd
 from civicspark.operators import geo
 from civicspark.operators.grouping import with_group_stats
-from civicspark.operators.reshape import member_text
-from civicspark.plans.apportionment import CONSTITUENCY_WON, PARTIES_IN_ALLIANCE, european
-from civicspark.plans.elections import constituency_seats, rank_lists
+from civicspark.operators.reshape import danish_rank, member_text
+from civicspark.plans.apportionment import PARTIES_IN_ALLIANCE, european
+from civicspark.plans.elections import rank_lists
+from civicspark.plans.levelling import PLACED, election
 from civicspark.plans.registry import query
 from civicspark.session import materialize
 
@@ -133,9 +134,19 @@ person_order AS (SELECT ranking.*, overall_rank FROM ranking LEFT JOIN nth
                     AND nth.n = ranking.elected_rank)
 """
 
-@query("candidate_ranking", f"WITH {RANKING} SELECT * FROM ranking")
+HEADS = ("Aa", "Å", "Æ", "Ø", "Z")
+
+
+@query("candidate_ranking", f"""
+WITH {RANKING},
+named AS (SELECT *, {list(HEADS)}[length(candidate) % 5 + 1] || candidate AS name FROM ranking)
+SELECT *, row_number() OVER (PARTITION BY election_id, party ORDER BY name COLLATE da, name)::INT AS name_order FROM named""")
 def candidate_ranking(t):
-    return european(t, candidates=True).ranking
+    """Both list types in one table; ``name_order`` is a candidate's place in Danish name order."""
+    heads = F.array(*[F.lit(h) for h in HEADS])
+    name = F.concat(F.element_at(heads, F.length("candidate") % 5 + 1), "candidate")
+    ranking = european(t, candidates=True).ranking.withColumn("name", name)
+    return ranking.withColumn("name_order", danish_rank("name", LIST))
 
 
 @query("person_seat_order", f"WITH {RANKING} SELECT * FROM person_order")
@@ -158,11 +169,11 @@ def report_elected(t):
     )
 
 
-@query("elected_by_party", f"""
+@query("elected_names", f"""
 WITH {RANKING}
 SELECT election_id, party, count(*)::INT AS n_elected, string_agg(candidate, ', ' ORDER BY candidate) AS elected
 FROM ranking WHERE elected GROUP BY 1, 2""")
-def elected_by_party(t):
+def elected_names(t):
     chosen = european(t, candidates=True).ranking.where(F.col("elected")).select("election_id", "party", "candidate")
     return member_text(chosen, LIST, "candidate", "elected", distinct=False)
 
@@ -205,14 +216,23 @@ def list_type_catalogue(t):
     )
 
 
-LOCAL_LISTS = CONSTITUENCY_WON.format(votes="fx_party_votes") + """,
+LOCAL_LISTS = PLACED + """,
+lp AS (SELECT election_id, constituency_id, party, sum((rk <= awards)::INT)::INT AS levelling
+       FROM ck GROUP BY 1, 2, 3),
+final_seats AS (SELECT election_id, constituency_id, party, used AS won, coalesce(levelling, 0)::INT AS levelling
+                FROM cells LEFT JOIN lp USING (election_id, constituency_id, party)),
+whole AS (SELECT *, sum(list_votes) OVER (PARTITION BY election_id, constituency_id, party) AS party_list
+          FROM fx_skewed_candidates),
+types AS (SELECT election_id, region_id, party, bool_or(party_list = list_votes AND party_list > 0) AS ordered_list
+          FROM whole JOIN fx_seats USING (constituency_id) GROUP BY 1, 2, 3),
 lc AS (SELECT c.election_id, c.constituency_id, c.party, candidate, list_pos,
-              personal_votes + list_votes AS total_votes, ordered_list,
-              won, CASE WHEN (party_no + c.constituency_id) % 9 = 0 THEN 1 ELSE 0 END AS levelling,
-              won + CASE WHEN (party_no + c.constituency_id) % 9 = 0 THEN 1 ELSE 0 END AS seats
-       FROM fx_candidates c JOIN fx_party p ON c.party = p.party
-            JOIN cwon ON cwon.election_id = c.election_id AND cwon.party = c.party
-                     AND cwon.constituency_id = c.constituency_id),
+              personal_votes + list_votes AS total_votes, coalesce(ordered_list, false) AS ordered_list,
+              coalesce(won, 0) AS won, coalesce(levelling, 0) AS levelling,
+              coalesce(won, 0) + coalesce(levelling, 0) AS seats
+       FROM fx_skewed_candidates c JOIN fx_seats s ON s.constituency_id = c.constituency_id
+            LEFT JOIN final_seats f ON f.election_id = c.election_id AND f.party = c.party
+                                   AND f.constituency_id = c.constituency_id
+            LEFT JOIN types t ON t.election_id = c.election_id AND t.party = c.party AND t.region_id = s.region_id),
 lq AS (SELECT *, floor(sum(total_votes) OVER (PARTITION BY election_id, constituency_id, party)
                        / (seats + 1)::DOUBLE + 1)::BIGINT AS quota FROM lc WHERE ordered_list),
 lq2 AS (SELECT *, total_votes > quota AS over_quota FROM lq),
@@ -231,28 +251,28 @@ merged AS (SELECT election_id, constituency_id, party, candidate, ordered_list,
 """
 
 
-def local_seats(t):
-    """Constituency and compensatory seats per list."""
-    won = constituency_seats(t.party_votes(), t.seats()).select(*LOCAL, "won")
-    extra = ((F.col("party_no") + F.col("constituency_id")) % 9 == 0).cast("int")
-    return (
-        won.join(t.parties().select("party", "party_no"), "party")
-        .withColumn("levelling", extra)
-        .withColumn("seats", F.col("won") + F.col("levelling"))
-        .drop("party_no")
+def local_persons(t):
+    persons = t.skewed_candidates()
+    return persons.withColumn("total_votes", F.col("personal_votes") + F.col("list_votes"))
+
+
+def local_types(t):
+    """List types by region, from the votes: the constituencies are its districts."""
+    allotted = with_group_stats(t.skewed_candidates(), LOCAL, party_list=F.sum("list_votes"))
+    pairs = geo.level_pairs(t.seats(), "region_id", "constituency_id")
+    return cd.list_type(
+        allotted, pairs, KEYS, "constituency_id", "region_id", "party", "party_list", "list_votes"
     )
 
 
 def local_lists(t):
+    """Candidates with the constituency and the compensatory seats of their lists."""
     t = t.counted(candidates=True)
-    lists = cd.candidate_enrich(
-        t.candidates(), local_seats(t), t.parties().select("party", "ordered_list"), LOCAL, ["party"]
-    )
-    return lists.withColumn("total_votes", F.col("personal_votes") + F.col("list_votes"))
+    return election(t).lists(local_persons(t), local_types(t))
 
 
 @query("candidate_enrich", f"""
-WITH {LOCAL_LISTS}
+WITH RECURSIVE {LOCAL_LISTS}
 SELECT election_id, constituency_id, party, candidate, total_votes, won, levelling, seats, ordered_list
 FROM lc""")
 def candidate_enrich(t):
@@ -264,12 +284,12 @@ def candidate_enrich(t):
 
 def interleaved(lists):
     return cd.list_order_interleaved(
-        lists.where("ordered_list"), LOCAL, "list_pos", "total_votes", "seats"
+        lists.where("ordered_list"), LOCAL, "list_pos", "total_votes", "seats", ["candidate"]
     )
 
 
 @query("list_order_interleaved", f"""
-WITH {LOCAL_LISTS}
+WITH RECURSIVE {LOCAL_LISTS}
 SELECT election_id, constituency_id, party, candidate, quota, over_quota, rank FROM li""")
 def list_order_interleaved(t):
     return interleaved(local_lists(t)).select(
@@ -291,13 +311,12 @@ def merged_lists(t):
     return cd.merge_list_types(opened, interleaved(lists)).select(*MERGED)
 
 
-@query("merge_list_types", f"WITH {LOCAL_LISTS} SELECT * FROM merged")
+@query("merge_list_types", f"WITH RECURSIVE {LOCAL_LISTS} SELECT * FROM merged")
 def merge_list_types(t):
     return merged_lists(t)
 
 
-@query("seat_labels", f"""
-WITH {LOCAL_LISTS},
+LABELS = LOCAL_LISTS.rstrip() + """,
 m1 AS (SELECT *, rank <= seats AS elected FROM merged),
 m2 AS (SELECT *, (rank() OVER w + (count(*) OVER t - 1) / 2.0)::DOUBLE AS seat_rank FROM m1
        WINDOW w AS (PARTITION BY election_id, constituency_id, party, elected ORDER BY rank),
@@ -305,14 +324,35 @@ m2 AS (SELECT *, (rank() OVER w + (count(*) OVER t - 1) / 2.0)::DOUBLE AS seat_r
 m3 AS (SELECT *, elected AND seat_rank <= won AS direct, elected AND seat_rank > won AS lev FROM m2),
 m4 AS (SELECT *, (rank() OVER w + (count(*) OVER t - 1) / 2.0)::DOUBLE AS lrank FROM m3
        WINDOW w AS (PARTITION BY election_id, constituency_id, party, lev ORDER BY total_votes),
-              t AS (PARTITION BY election_id, constituency_id, party, lev, total_votes))
-SELECT election_id, constituency_id, party, candidate, elected,
-       CASE WHEN direct THEN replace(seat_rank::VARCHAR, '.0', '') || 'K' END AS constituency_seat,
-       CASE WHEN lev THEN replace(lrank::VARCHAR, '.0', '') || 'T' END AS levelling_seat,
-       CASE WHEN NOT elected THEN seat_rank END AS substitute_rank
-FROM m4""")
+              t AS (PARTITION BY election_id, constituency_id, party, lev, total_votes)),
+labels AS (SELECT election_id, constituency_id, party, candidate, total_votes, elected,
+                  CASE WHEN direct THEN replace(seat_rank::VARCHAR, '.0', '') || 'K' END AS constituency_seat,
+                  CASE WHEN lev THEN replace(lrank::VARCHAR, '.0', '') || 'T' END AS levelling_seat,
+                  CASE WHEN NOT elected THEN seat_rank END AS substitute_rank
+           FROM m4)
+"""
+
+
+@query("seat_labels", f"""
+WITH RECURSIVE {LABELS}
+SELECT election_id, constituency_id, party, candidate, elected, constituency_seat, levelling_seat, substitute_rank
+FROM labels""")
 def seat_labels(t):
     return rank_lists(materialize(local_lists(t))).select(
         "election_id", "constituency_id", "party", "candidate", "elected", "constituency_seat",
         "levelling_seat", "substitute_rank",
     )
+
+
+@query("elected_by_party", f"""
+WITH RECURSIVE {LABELS}
+SELECT election_id, party, count(*)::INT AS n_elected,
+       CAST(to_json(list({{'constituency_id': constituency_id, 'candidate': candidate, 'total_votes': total_votes,
+                           'label': coalesce(constituency_seat, levelling_seat)}}
+                         ORDER BY constituency_id, total_votes DESC, candidate)) AS VARCHAR) AS elected
+FROM labels WHERE elected GROUP BY 1, 2""")
+def elected_by_party(t):
+    """Nested tables of the elected, as JSON text to be compared with their order."""
+    t = t.counted(candidates=True)
+    nested = election(t).elected(local_persons(t), local_types(t))
+    return nested.withColumn("elected", F.to_json("elected"))

@@ -169,20 +169,35 @@ class NationalElection:
             F.coalesce("levelling_seats", F.lit(0)).alias("levelling_seats"),
         )
 
-    def candidates(self, persons: DataFrame, list_types: DataFrame) -> DataFrame:
-        """All candidates with rank, seat label or substitute number.
+    def lists(self, persons: DataFrame, list_types: DataFrame) -> DataFrame:
+        """Candidates with the constituency and compensatory seats of their list and its type.
 
-        ``persons`` (election_id, constituency_id, party, candidate, list_pos,
-        total_votes); ``list_types`` (any of its key columns, party, ordered_list).
+        ``persons`` (election_id, constituency_id, party, candidate, list_pos, total_votes);
+        ``list_types`` (any of its key columns or region_id, party, ordered_list). A list without
+        seats has 0, one of unknown type is an open one.
         """
         seats = self.seats_by_constituency.select(
             *LIST,
             F.col("constituency_seats").alias("won"),
             F.col("levelling_seats").alias("levelling"),
         )
+        if "region_id" in list_types.columns:
+            areas = self.seats.select("constituency_id", "region_id")
+            list_types = list_types.join(areas, "region_id").drop("region_id")
         on = [c for c in LIST if c in list_types.columns]
         lists = cd.candidate_enrich(persons, seats, list_types, LIST, on)
-        return rank_lists(materialize(lists.withColumn("seats", F.col("won") + F.col("levelling"))))
+        return lists.withColumn("seats", F.col("won") + F.col("levelling")).withColumn(
+            "ordered_list", F.coalesce("ordered_list", F.lit(False))
+        )
+
+    def candidates(self, persons: DataFrame, list_types: DataFrame) -> DataFrame:
+        """All candidates with rank, seat label or substitute number, from ``lists``."""
+        return rank_lists(materialize(self.lists(persons, list_types)))
+
+    def elected(self, persons: DataFrame, list_types: DataFrame) -> DataFrame:
+        """Per party a nested table of the elected with constituency, votes and seat label."""
+        labelled = self.candidates(persons, list_types)
+        return cd.elected_table(labelled, PARTY, "constituency_id", "candidate", "total_votes")
 
 
 def rank_lists(lists: DataFrame) -> DataFrame:
@@ -190,7 +205,7 @@ def rank_lists(lists: DataFrame) -> DataFrame:
     ordered = F.coalesce("ordered_list", F.lit(False))
     opened = cd.open_list(lists.where(~ordered), LIST, "candidate", "total_votes", "seats", "average")
     numbered = cd.list_order_interleaved(
-        lists.where(ordered), LIST, "list_pos", "total_votes", "seats"
+        lists.where(ordered), LIST, "list_pos", "total_votes", "seats", ["candidate"]
     )
     merged = cd.merge_list_types(opened.drop("elected"), numbered)
     return cd.seat_labels(merged, LIST, "total_votes", "won", "seats")
@@ -255,7 +270,7 @@ class EuropeanElection:
     def ordered_lists(self) -> DataFrame:
         return cd.ordered_list(
             self.lists.where("ordered_list"), PARTY, "list_pos", "personal_votes", "party_votes",
-            "seats",
+            "seats", ["candidate"],
         )
 
     @property

@@ -12,22 +12,20 @@ from civicspark.plans.elections import constituency_seats
 from civicspark.plans.registry import query
 
 
-def areas(t):
-    """Region, constituency, district (customer) and polling area (order)."""
-    return geo.hierarchy(
-        [
-            t("region").select(F.col("r_regionkey").alias("region_id")),
-            t("nation").select(
-                F.col("n_regionkey").alias("region_id"), F.col("n_nationkey").alias("constituency_id")
-            ),
-            t("customer").select(
-                F.col("c_nationkey").alias("constituency_id"), F.col("c_custkey").alias("district_id")
-            ),
-            t("orders").select(
-                F.col("o_custkey").alias("district_id"), F.col("o_orderkey").alias("polling_area_id")
-            ),
-        ]
-    )
+def area_levels(t):
+    """Region, constituency, district (customer) and polling area (order), each with its parent."""
+    return [
+        t("region").select(F.col("r_regionkey").alias("region_id")),
+        t("nation").select(
+            F.col("n_regionkey").alias("region_id"), F.col("n_nationkey").alias("constituency_id")
+        ),
+        t("customer").select(
+            F.col("c_nationkey").alias("constituency_id"), F.col("c_custkey").alias("district_id")
+        ),
+        t("orders").select(
+            F.col("o_custkey").alias("district_id"), F.col("o_orderkey").alias("polling_area_id")
+        ),
+    ]
 
 
 HIERARCHY = """
@@ -39,12 +37,14 @@ FROM region LEFT JOIN nation ON n_regionkey = r_regionkey
 
 @query("geo_hierarchy", HIERARCHY)
 def geo_hierarchy(t):
-    return areas(t)
+    return geo.hierarchy(area_levels(t))
 
 
 @query("geo_pairs", f"SELECT DISTINCT constituency_id, district_id FROM ({HIERARCHY}) h")
 def geo_pairs(t):
-    return geo.level_pairs(areas(t), "constituency_id", "district_id")
+    _, constituencies, districts, _ = area_levels(t)
+    two = geo.hierarchy([constituencies.select("constituency_id"), districts])
+    return geo.level_pairs(two, "constituency_id", "district_id")
 
 
 def districts(t):

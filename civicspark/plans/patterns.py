@@ -13,6 +13,7 @@ from civicspark.operators import candidates as cd
 from civicspark.operators import enrich, grouping, reshape
 from civicspark.plans.apportionment import AVG_RANK, CONSTITUENCY_WON
 from civicspark.plans.elections import constituency_seats
+from civicspark.plans.levelling import TOTALS, election
 from civicspark.plans.registry import query
 from civicspark.plans.tables import EP_SEATS
 
@@ -129,10 +130,7 @@ SELECT match_id, last_value(city IGNORE NULLS) OVER (PARTITION BY league ORDER B
 FROM (SELECT *  REPLACE (CASE WHEN match_id % 5 = 0 THEN city END AS city) FROM fx_matches)""")
 def locf(t):
     sparse = t.matches().withColumn("city", F.when(F.col("match_id") % 5 == 0, F.col("city")))
-    filled = enrich.locf(
-        sparse, ["league"], "kickoff", ["city"], ["match_id"],
-        bucket=F.date_trunc("minute", "kickoff"),
-    )
+    filled = enrich.locf(sparse, ["league"], "kickoff", ["city"], ["match_id"])
     return filled.select("match_id", "city")
 
 
@@ -203,6 +201,22 @@ def marked_quotients(t):
     return cells.select("election_id", "constituency_id", "party", "divisor", text.alias("cell"))
 
 
+@query("quotient_tables", f"""
+WITH {CONSTITUENCY_WON.format(votes="fx_party_votes")},
+c AS (SELECT election_id, constituency_id, party, d::INT AS divisor,
+             CASE WHEN rk <= seats THEN '(' || replace(rk::DOUBLE::VARCHAR, '.0', '') || ') ' ELSE '' END
+               || quotient::BIGINT::VARCHAR AS cell FROM cr),
+l AS (SELECT election_id, constituency_id, divisor, map(list(party ORDER BY party), list(cell ORDER BY party)) AS cells
+      FROM c GROUP BY 1, 2, 3)
+SELECT election_id, constituency_id, count(*)::INT AS n_rows,
+       CAST(to_json(list({{'divisor': divisor, 'cells': cells}} ORDER BY divisor)) AS VARCHAR) AS rows
+FROM l GROUP BY 1, 2""")
+def quotient_tables(t):
+    """One quotient table per constituency with the parties that stand there, as JSON text."""
+    nested = reshape.nested_matrix(marked_quotients(t), ["election_id", "constituency_id"], "divisor", "party", "cell")
+    return nested.withColumn("n_rows", F.size("rows")).withColumn("rows", F.to_json("rows"))
+
+
 @query("nest_unnest", """
 SELECT election_id, constituency_id, party, votes, count(*) OVER (PARTITION BY election_id, constituency_id)::INT AS n
 FROM fx_party_votes""")
@@ -221,6 +235,16 @@ def totals_row(t):
     return reshape.totals_row(won, "party", "I alt", {"votes": "votes", "seats": "won"}, KEYS)
 
 
+@query("report_totals", f"""
+WITH {TOTALS}
+SELECT election_id, coalesce(party, 'I alt') AS party, sum(levelling_seats + constituency_seats)::BIGINT AS total_seats,
+       sum(constituency_seats)::BIGINT AS constituency_seats, sum(levelling_seats)::BIGINT AS levelling_seats
+FROM tot GROUP BY GROUPING SETS ((election_id, party), (election_id))""")
+def report_totals(t):
+    """Seats in all, in constituencies and to level out per party, and one line for all of them."""
+    return election(t).result_table.select(*KEYS, "party", "total_seats", "constituency_seats", "levelling_seats")
+
+
 @query("alliance_members", """
 SELECT coalesce(alliance, 'none') AS alliance, string_agg(party, ', ' ORDER BY party) AS members,
        count(*)::INT AS n_members,
@@ -266,12 +290,14 @@ DANISH_HEADS = ("Aa", "Å", "Æ", "Ø", "Z")
 
 
 @query("danish_sort", f"""
-SELECT {list(DANISH_HEADS)}[c_custkey % 5 + 1] || c_name AS name FROM customer""")
+WITH n AS (SELECT {list(DANISH_HEADS)}[c_custkey % 5 + 1] || c_name AS name FROM customer)
+SELECT name, row_number() OVER (ORDER BY name COLLATE da, name) AS place FROM n""")
 def danish_sort(t):
     heads = F.array(*[F.lit(h) for h in DANISH_HEADS])
     head = F.element_at(heads, (F.col("c_custkey") % 5 + 1).cast("int"))
     named = t("customer").select(F.concat(head, "c_name").alias("name"))
-    return named.orderBy(reshape.danish_order(F.col("name")))
+    order = [reshape.danish_order(F.col("name")), F.col("name")]
+    return grouping.split_row_order(named, order, "place").orderBy("place")
 
 
 @query("stacked_grains", """

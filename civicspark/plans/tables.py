@@ -46,6 +46,10 @@ SCHEMAS = {
     ),
 }
 
+#: How many votes a counted one stands for, so that parties fall on both sides of the thresholds.
+SKEW = """CASE WHEN party_no <= 3 THEN 40 WHEN party_no <= 8 THEN 12 WHEN party_no <= 14 THEN 4
+     WHEN party_no <= 18 AND constituency_id = party_no THEN 60 ELSE 1 END"""
+
 FIXTURES = {
     "fx_ballots": """
 SELECT CAST(year(o_orderdate) AS INT) AS election_id, n_regionkey AS region_id,
@@ -65,12 +69,8 @@ SELECT DISTINCT p_brand AS party, CAST(substr(p_brand, 7) AS INT) AS party_no,
             ELSE concat('L', CAST(CAST(substr(p_brand, 7) AS INT) % 4 AS VARCHAR)) END AS alliance,
        CAST(substr(p_brand, 7) AS INT) % 3 = 0 AS ordered_list
 FROM part""",
-    "fx_skewed_votes": """
-SELECT election_id, region_id, constituency_id, v.party,
-       CAST(votes * CASE WHEN party_no <= 3 THEN 40 WHEN party_no <= 8 THEN 12
-                         WHEN party_no <= 14 THEN 4
-                         WHEN party_no <= 18 AND constituency_id = party_no THEN 60
-                         ELSE 1 END AS BIGINT) AS votes
+    "fx_skewed_votes": f"""
+SELECT election_id, region_id, constituency_id, v.party, CAST(votes * {SKEW} AS BIGINT) AS votes
 FROM fx_party_votes v JOIN fx_party p ON v.party = p.party""",
     "fx_seats": """
 SELECT n_nationkey AS constituency_id, n_regionkey AS region_id,
@@ -90,6 +90,10 @@ SELECT c.election_id, c.party, p.ordered_list, candidate, list_pos,
        CAST(sum(personal_votes) AS BIGINT) AS personal_votes,
        CAST(sum(list_votes) AS BIGINT) AS list_votes
 FROM fx_candidates c JOIN fx_party p ON c.party = p.party GROUP BY 1, 2, 3, 4, 5""",
+    "fx_skewed_candidates": f"""
+SELECT election_id, constituency_id, c.party, candidate, list_pos,
+       CAST(personal_votes * {SKEW} AS BIGINT) AS personal_votes, CAST(list_votes * {SKEW} AS BIGINT) AS list_votes
+FROM fx_candidates c JOIN fx_party p ON c.party = p.party""",
     "fx_weights": """
 SELECT CAST(year(o_orderdate) AS INT) AS election_id, n_nationkey AS constituency_id,
        n_regionkey AS region_id, CAST(count(DISTINCT c_custkey) * 1000 AS BIGINT) AS population,
@@ -222,22 +226,26 @@ class Tables:
             .withColumn("ordered_list", F.col("party_no") % 3 == 0)
         )
 
-    def skewed_votes(self) -> DataFrame:
-        """Party votes scaled so that parties fall on both sides of the thresholds."""
+    def _skewed(self, votes: DataFrame, *columns: str) -> DataFrame:
         number = F.col("party_no")
         local = F.when((number <= 18) & (F.col("constituency_id") == number), 60).otherwise(1)
         factor = F.when(number <= 14, by_number(number, [(3, 40), (8, 12), (14, 4)], 1)).otherwise(
             local
         )
         return (
-            self.party_votes()
-            .join(self.parties().select("party", "party_no"), "party")
-            .select(
-                "election_id", "region_id", "constituency_id", "party",
-                (F.col("votes") * factor).cast("bigint").alias("votes"),
-            )
+            votes.join(self.parties().select("party", "party_no"), "party")
+            .withColumns({c: (F.col(c) * factor).cast("bigint") for c in columns})
+            .select(*votes.columns)
         )
 
+    def skewed_votes(self) -> DataFrame:
+        """Party votes scaled so that parties fall on both sides of the thresholds."""
+        return self._skewed(self.party_votes(), "votes")
+
+    def skewed_candidates(self) -> DataFrame:
+        """Candidates scaled like their parties, whose votes they add up to."""
+        return self._skewed(self.candidates(), "personal_votes", "list_votes")
+
     def seats(self) -> DataFrame:
         return self("nation").select(
             F.col("n_nationkey").alias("constituency_id"),
