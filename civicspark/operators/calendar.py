@@ -32,14 +32,15 @@ def season_year(day: Column) -> Column:
 
 
 def kickoff_text(
-    kickoff: Column, status: Column, tz: str = "Europe/Berlin", undecided: str = "TBD"
+    kickoff: Column, status: Column, tz: str | Column = "Europe/Berlin", undecided: str = "TBD"
 ) -> Column:
     """Local kick-off ``HH:mm``, ``TBA`` while undecided.
 
-    ``kickoff`` is UTC: a timestamp without zone, or an instant in a session set to UTC.
+    ``kickoff`` is UTC: a timestamp without zone, or an instant in a session set to UTC. ``tz``
+    is one zone, or a column with the zone of each row.
     """
     utc = kickoff.cast("timestamp_ntz")
-    local = F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)
+    local = F.convert_timezone(F.lit("UTC"), F.lit(tz) if isinstance(tz, str) else tz, utc)
     return F.when(status == undecided, "TBA").otherwise(F.date_format(local, "HH:mm"))
 
 
@@ -68,7 +69,8 @@ def derive_calendar(
 ) -> DataFrame:
     """Day, weekday, kick-off text, week, weekend, derived round and round start.
 
-    A source without a ``status`` column has no undecided kick-offs.
+    A source without a ``status`` column has no undecided kick-offs. One with a ``timezone`` column
+    also gets ``venue_text``, the kick-off where it is played.
     """
     status = F.col("status") if "status" in matches.columns else F.lit(None).cast("string")
     dated = matches.withColumn("match_day", F.to_date(kickoff)).withColumns(
@@ -77,6 +79,8 @@ def derive_calendar(
             "weekday": weekday_name(F.to_date(kickoff)),
         }
     )
+    if "timezone" in matches.columns:
+        dated = dated.withColumn("venue_text", kickoff_text(F.col(kickoff), status, F.col("timezone")))
     return derive_rounds(dated, "match_day", by_year)
 
 
@@ -112,6 +116,20 @@ def next_rounds(rounds: DataFrame, round_no: str, day: str, as_of: Column) -> Da
     )
 
 
+def round_programme(
+    matches: DataFrame, round_no: str, day: str, as_of: Column, order: Sequence[str] = ()
+) -> DataFrame:
+    """Every match with its round's place, upcoming rounds first, nearest first.
+
+    The rounds of a calendar are few, so one task numbers them; the matches stay rows of their own, in
+    the order of the rounds and then of ``order``.
+    """
+    rounds = next_rounds(matches, round_no, day, as_of)
+    place = F.row_number().over(Window.orderBy("past", "days_away", round_no))
+    numbered = rounds.select(round_no, "first_day", "days_away", "past", place.alias("place"))
+    return null_safe_join(matches, numbered, [round_no]).orderBy("place", *order)
+
+
 def home_away(competitors: Column) -> tuple[Column, Column]:
     """Home and away names out of an array of ``struct(name, qualifier)``."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from civicspark.operators import apportion as ap
@@ -290,6 +291,38 @@ def seat_distribution(t):
     )
 
 
+@query("seat_distribution_table", f"""
+WITH {REGION_WEIGHTS}, {remainder_sql("lr", "rw", ["election_id"], "region_id", "region_weight", NATIONAL_SEATS, AVG_RANK)},
+{nested_sql("nr", "fx_weights", str(CONSTITUENCY_SEATS))},
+u AS (SELECT election_id, region_id, sum(nr_seats)::INT AS unit_seats FROM nr GROUP BY 1, 2),
+stacked AS (
+  SELECT election_id, region_id, NULL::INT AS constituency_id, NULL::INT AS current_seats, NULL::INT AS recomputed_seats,
+         pool AS current_levelling, (lr_seats - unit_seats)::INT AS recomputed_levelling
+  FROM lr JOIN u USING (election_id, region_id) JOIN fx_region_pool USING (region_id)
+  UNION ALL
+  SELECT election_id, nr.region_id, constituency_id, s.seats, nr_seats, NULL, NULL
+  FROM nr JOIN fx_seats s USING (constituency_id))
+SELECT *, row_number() OVER (PARTITION BY election_id ORDER BY region_id, constituency_id NULLS FIRST)::INT AS place FROM stacked""")
+def seat_distribution_table(t):
+    """Regions with their compensatory seats, each followed by its constituencies with theirs."""
+    table = weights(t).select("election_id", "region_id", "constituency_id", "weight")
+    counted = materialize(table)
+    pools = ap.levelling_pool(
+        counted, KEYS, "region_id", "constituency_id", "weight", NATIONAL_SEATS, CONSTITUENCY_SEATS
+    ).join(t.region_pool().withColumnRenamed("pool", "current_levelling"), "region_id")
+    regions = pools.select(
+        "election_id", "region_id", "current_levelling", F.col("pool").cast("int").alias("recomputed_levelling")
+    )
+    units = ap.nested_remainder(counted, KEYS, "region_id", "constituency_id", "weight", CONSTITUENCY_SEATS)
+    units = units.select("election_id", "region_id", "constituency_id", F.col("seats").alias("recomputed_seats")).join(
+        t.seats().select("constituency_id", F.col("seats").alias("current_seats")), "constituency_id"
+    )
+    # an election has a handful of areas
+    order = Window.partitionBy(*KEYS).orderBy("region_id", F.col("constituency_id").asc_nulls_first())
+    stacked = regions.unionByName(units, allowMissingColumns=True)
+    return stacked.withColumn("place", F.row_number().over(order)).orderBy("election_id", "place")
+
+
 @query("all_elections", f"""
 WITH {PARTIES_IN_ALLIANCE}
 SELECT election_id, party, votes, sum(won::INT)::INT AS seats,

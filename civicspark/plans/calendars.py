@@ -10,6 +10,8 @@ from civicspark.functions import text as tx
 from civicspark.operators import calendar as cal
 from civicspark.operators import enrich
 from civicspark.plans.registry import query
+from civicspark.session import shared_dir
+from civicspark.sources import matches as match_feeds
 
 AS_OF = dt.date(2024, 1, 15)
 
@@ -23,7 +25,8 @@ wk AS (SELECT *, CAST(kickoff AS DATE) AS match_day, {WEEK} AS match_week, {WEEK
 rounds AS (SELECT *, (dense_rank() OVER (ORDER BY match_week, weekend))::INT AS derived_round,
                   min(match_day) OVER (PARTITION BY match_week, weekend) AS round_start FROM wk)
 """
-GERMAN_TIME = "CASE WHEN status = 'TBD' THEN 'TBA' ELSE strftime(kickoff + INTERVAL 1 HOUR, '%H:%M') END"
+LOCAL_TIME = "strftime(timezone({zone}, timezone('UTC', kickoff)), '%H:%M')"
+GERMAN_TIME = f"CASE WHEN status = 'TBD' THEN 'TBA' ELSE {LOCAL_TIME.format(zone=repr('Europe/Berlin'))} END"
 
 
 @query("round_stage", """
@@ -87,18 +90,26 @@ def derive_calendar(t):
     )
 
 
+#: Even rounds kick off at one instant, as rounds without a schedule do.
+ONE_INSTANT = dt.datetime(2024, 7, 6, 13, 30)
+
+
 @query("unscheduled_round", f"""
-WITH k AS (SELECT *, {GERMAN_TIME} AS kt,
-                  min(kickoff) OVER g = max(kickoff) OVER g AS one_instant FROM fx_matches
-           WINDOW g AS (PARTITION BY round_no, league))
-SELECT match_id, CASE WHEN one_instant AND round_no <> '38' THEN 'TBA' ELSE kt END AS kickoff_text FROM k""")
+WITH m AS (SELECT * REPLACE (CASE WHEN CAST(round_no AS INT) % 2 = 0 THEN TIMESTAMP '{ONE_INSTANT}' ELSE kickoff END AS kickoff)
+           FROM fx_matches),
+k AS (SELECT *, {GERMAN_TIME} AS kt, min(kickoff) OVER g = max(kickoff) OVER g AS one_instant FROM m
+      WINDOW g AS (PARTITION BY round_no, league))
+SELECT match_id, kickoff_text, kickoff_text <> kt AS changed
+FROM (SELECT *, CASE WHEN one_instant AND round_no <> '38' THEN 'TBA' ELSE kt END AS kickoff_text FROM k)""")
 def unscheduled_round(t):
-    timed = t.matches().withColumn(
-        "kickoff_text", cal.kickoff_text(F.col("kickoff"), F.col("status"))
-    )
+    even = F.col("round_no").cast("int") % 2 == 0
+    kickoff = F.when(even, F.lit(ONE_INSTANT).cast("timestamp_ntz")).otherwise(F.col("kickoff"))
+    timed = t.matches().withColumn("kickoff", kickoff)
+    text = cal.kickoff_text(F.col("kickoff"), F.col("status"))
+    timed = timed.withColumn("kickoff_text", text).withColumn("before", text)
     return cal.unscheduled_rounds(
         timed, ["round_no", "league"], "kickoff", "kickoff_text", "round_no", "38"
-    ).select("match_id", "kickoff_text")
+    ).select("match_id", "kickoff_text", (F.col("kickoff_text") != F.col("before")).alias("changed"))
 
 
 @query("home_away", """
@@ -129,6 +140,60 @@ def next_rounds(t):
     )
 
 
+@query("round_programme", f"""
+WITH {ROUNDS},
+f AS (SELECT derived_round, min(match_day) AS first_day FROM rounds GROUP BY 1),
+p AS (SELECT *, date_diff('day', DATE '{AS_OF}', first_day)::INT AS days_away, first_day < DATE '{AS_OF}' AS past FROM f),
+n AS (SELECT *, row_number() OVER (ORDER BY past, days_away, derived_round)::INT AS place FROM p)
+SELECT place, derived_round, days_away, past, match_day, match_id, home || ' - ' || away AS title
+FROM rounds JOIN n USING (derived_round)""")
+def round_programme(t):
+    """The matches of each round, the next round first."""
+    rounds = cal.derive_rounds(dated(t), "match_day").withColumn("title", cal.match_title(F.col("home"), F.col("away")))
+    return cal.round_programme(rounds, "derived_round", "match_day", F.lit(AS_OF), ["match_day", "match_id"]).select(
+        "place", "derived_round", "days_away", "past", "match_day", "match_id", "title"
+    )
+
+
+ZONES = ("Europe/Berlin", "America/New_York", "Europe/Lisbon", "Asia/Tokyo")
+#: Every other match is half a year later, and every third is told in its venue's local time.
+SECOND_FEED = f"""
+feed AS (SELECT match_id, home, away, {list(ZONES)}[(match_id % 4)::INT + 1] AS zone,
+                CASE WHEN match_id % 2 = 0 THEN kickoff ELSE kickoff + INTERVAL 182 DAY END AS kickoff FROM fx_matches),
+dated AS (SELECT *, CAST(kickoff AS DATE) AS match_day, {WEEK} AS match_week, {WEEKEND} AS weekend FROM feed),
+numbered AS (SELECT *, (dense_rank() OVER (ORDER BY match_week, weekend))::INT AS derived_round,
+                    min(match_day) OVER (PARTITION BY match_week, weekend) AS round_start FROM dated)
+"""
+
+
+@query("second_calendar", f"""
+WITH {SECOND_FEED}
+SELECT 'sr:match:' || match_id AS match_id, home || ' - ' || away AS title, zone AS timezone, match_day,
+       {LOCAL_TIME.format(zone="'Europe/Berlin'")} AS kickoff_text, {LOCAL_TIME.format(zone="zone")} AS venue_text,
+       match_week, weekend, derived_round, round_start
+FROM numbered""")
+def second_calendar(t):
+    """The calendar of the second feed, which has a time zone per venue."""
+    match_id = F.col("match_id")
+    zone = F.element_at(F.array(*[F.lit(z) for z in ZONES]), (match_id % 4 + 1).cast("int"))
+    start = F.when(match_id % 2 == 0, F.col("kickoff")).otherwise(F.col("kickoff") + F.expr("INTERVAL 182 DAY"))
+    form = "yyyy-MM-dd'T'HH:mm:ss"
+    told = F.when(
+        match_id % 3 == 0, F.date_format(F.convert_timezone(F.lit("UTC"), zone, start), form)
+    ).otherwise(F.date_format(start, form + "'+00:00'"))
+    sides = F.array(*[F.struct(F.col(s).alias("name"), F.lit(s).alias("qualifier")) for s in ("away", "home")])
+    event = F.struct(
+        F.concat(F.lit("sr:match:"), match_id.cast("string")).alias("id"), told.alias("start_time"),
+        sides.alias("competitors"), F.struct(F.col("city").alias("city_name"), zone.alias("timezone")).alias("venue"),
+    )
+    path = shared_dir(t.spark)
+    t.matches().select(event.alias("sport_event")).write.json(path)
+    return cal.derive_calendar(match_feeds.read_schedules(t.spark, path)).select(
+        "match_id", "title", "timezone", "match_day", "kickoff_text", "venue_text", "match_week", "weekend",
+        "derived_round", "round_start",
+    )
+
+
 def order_days(t):
     """Orders as dated events of a competition (region)."""
     return (

@@ -15,6 +15,7 @@ from civicspark.plans.geography import BOXES, boundaries
 from civicspark.plans.registry import query
 from civicspark.session import shared_dir
 from civicspark.sources import catalogue, counts, headers, matches, sinks, statistics
+from civicspark.sources import fixed_values as fixed
 from civicspark.sources.fixed_values import INDEPENDENT, NOT_READY
 
 DONE = "Optællingen er afsluttet."
@@ -161,8 +162,7 @@ FROM areas
 UNION ALL SELECT 2022, '1', NULL, 'Land', 'land.xml' FROM (SELECT DISTINCT r FROM b)""")
 def src_manifest(t):
     path = landed(t, manifest_documents(t))
-    levels = ("land", "landsdele", "storkredse", "opstillingskredse", "afstemningsomraader")
-    return matches.union_loads([counts.read_manifest(t.spark, path, level) for level in levels])
+    return counts.read_manifest(t.spark, path, list(fixed.LEVELS))
 
 
 PARTY_ROWS = f"""

@@ -7,6 +7,8 @@ element is still a list. Reading is per document; no step shuffles.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,31 +67,42 @@ def is_ready(documents: DataFrame) -> bool:
 
 
 def read_manifest(
-    spark: SparkSession, path: str, level: str, nth: int | None = None
+    spark: SparkSession, path: str, level: str | Sequence[str], nth: int | None = None
 ) -> DataFrame:
-    """Areas of one level: id, parent id, name and the file of their result.
+    """Areas of one level or several: id, parent id, name and the file of their result.
 
-    ``nth`` keeps one entry per document (from 0): manifests of election night list the
-    country more than once, and the second entry names its result.
+    All levels come out of one parse of the documents. ``nth`` keeps one entry per document and
+    level (from 0): manifests of election night list the country more than once, and the second
+    entry names its result.
     """
-    container, element, area, parent = fixed.LEVELS[check_request(level)]
-    attributes = [f"_{area}: STRING", "_filnavn: STRING", "_VALUE: STRING"]
-    if parent:
-        attributes.append(f"_{parent}: STRING")
-    node = f"ARRAY<STRUCT<{', '.join(attributes)}>>"
-    fields = f"{container} STRUCT<{element}: {node}>" if container else f"{element} {node}"
-    documents = read_documents(spark, path, f"election_id INT, ValgDato STRING, {fields}")
-    nodes = F.col(f"{container}.{element}" if container else element)
-    if nth is not None:
-        nodes = F.slice(nodes, nth + 1, 1)
-    areas = documents.select("election_id", F.explode(nodes).alias("a"))
-    return areas.select(
-        "election_id",
-        F.col(f"a._{area}").alias("area_id"),
-        (F.col(f"a._{parent}") if parent else F.lit(None).cast("string")).alias("parent_id"),
-        F.trim("a._VALUE").alias("name"),
-        F.col("a._filnavn").alias("file"),
+    asked = [check_request(name) for name in ([level] if isinstance(level, str) else level)]
+    fields, entries = [], []
+    for container, element, area, parent in (fixed.LEVELS[name] for name in asked):
+        attributes = [f"_{area}: STRING", "_filnavn: STRING", "_VALUE: STRING"]
+        if parent:
+            attributes.append(f"_{parent}: STRING")
+        node = f"ARRAY<STRUCT<{', '.join(attributes)}>>"
+        fields.append(f"{container} STRUCT<{element}: {node}>" if container else f"{element} {node}")
+        nodes = F.col(f"{container}.{element}" if container else element)
+        nodes = F.slice(nodes, nth + 1, 1) if nth is not None else nodes
+        entries.append(_manifest_entries(nodes, area, parent))
+    documents = read_documents(spark, path, f"election_id INT, ValgDato STRING, {', '.join(fields)}")
+    return documents.select("election_id", F.inline(F.concat(*entries)))
+
+
+def _manifest_entries(nodes: Column, area: str, parent: str | None) -> Column:
+    """A level's nodes in the common form; none where a document lacks the level."""
+    form = "array<struct<area_id:string,parent_id:string,name:string,file:string>>"
+    found = F.transform(
+        nodes,
+        lambda a: F.struct(
+            a[f"_{area}"].alias("area_id"),
+            (a[f"_{parent}"] if parent else F.lit(None).cast("string")).alias("parent_id"),
+            F.trim(a["_VALUE"]).alias("name"),
+            a["_filnavn"].alias("file"),
+        ),
     )
+    return F.coalesce(found, F.array()).cast(form)
 
 
 def flatten_party_votes(documents: DataFrame) -> DataFrame:

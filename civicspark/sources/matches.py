@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicspark.functions import text as tx
@@ -70,8 +70,18 @@ def widen(records: DataFrame, columns: Sequence[str]) -> DataFrame:
     return records.select(*fields)
 
 
+def zoned_instant(text: Column, zone: Column) -> Column:
+    """The instant of a time text: by its own offset, or else as the local time of its row's zone.
+
+    A row without a zone is in UTC. Meant for a session whose time zone is UTC.
+    """
+    own = F.try_to_timestamp(text)
+    local = F.to_utc_timestamp(own, F.coalesce(zone, F.lit("UTC")))
+    return F.when(text.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), own).otherwise(local)
+
+
 def read_schedules(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Flat matches of the second source: competitors array and coordinate text."""
+    """Flat matches of the second source: competitors array, coordinate text, a time zone per venue."""
     raw = spark.read.schema(SCHEDULE_SCHEMA).json(
         paths if isinstance(paths, str) else list(paths)
     ).select("sport_event.*")
@@ -85,7 +95,8 @@ def read_schedules(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
         F.to_date("sport_event_context.season.start_date").alias("season_start"),
         F.to_date("sport_event_context.season.end_date").alias("season_end"),
         F.col("sport_event_context.round.number").alias("round"),
-        F.to_timestamp("start_time").alias("kickoff"),
+        zoned_instant(F.col("start_time"), F.col("venue.timezone")).alias("kickoff"),
+        F.col("venue.timezone").alias("timezone"),
         home.alias("home"),
         away.alias("away"),
         cal.match_title(home, away).alias("title"),

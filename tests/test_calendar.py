@@ -108,3 +108,34 @@ def test_calendar_of_a_source_without_status(spark):
     df = spark.createDataFrame([(1, dt.datetime(2024, 7, 6, 18, 30))], "match_id INT, kickoff TIMESTAMP")
     row = cal.derive_calendar(df).first()
     assert (row.kickoff_text, row.derived_round) == ("20:30", 1)
+
+
+def test_times_of_each_rows_own_zone(spark):
+    from civicspark.sources.matches import zoned_instant
+
+    told = [
+        (1, "2024-07-06T18:30:00+00:00", "America/New_York", "20:30", "14:30"),
+        (2, "2024-07-06T14:30:00", "America/New_York", "20:30", "14:30"),
+        (3, "2024-01-06T14:30:00", "America/New_York", "20:30", "14:30"),
+        (4, "2024-07-06T20:30:00", "Asia/Tokyo", "13:30", "20:30"),
+        (5, "2024-01-06T20:30:00Z", None, "21:30", None),
+        (6, "2024-01-06T20:30:00", None, "21:30", None),
+        (7, "soon", "Asia/Tokyo", None, None),
+    ]
+    df = spark.createDataFrame([t[:3] for t in told], "id INT, start STRING, timezone STRING")
+    out = cal.derive_calendar(df.withColumn("kickoff", zoned_instant(F.col("start"), F.col("timezone"))))
+    assert sorted((r.id, r.kickoff_text, r.venue_text) for r in out.collect()) == [(i, a, b) for i, _, _, a, b in told]
+
+
+def test_programme_starts_with_the_next_round(spark):
+    days = ["2024-01-01", "2024-01-20", "2024-01-21", "2024-02-10"]
+    df = spark.createDataFrame([(i, d, n) for i, (d, n) in enumerate(zip(days, [1, 3, 3, 2]))], "id INT, d STRING, n INT")
+    out = cal.round_programme(df.withColumn("d", F.to_date("d")), "n", "d", F.lit("2024-01-15").cast("date"), ["id"])
+    assert [(r.place, r.n, r.id, r.past) for r in out.collect()] == [(1, 3, 1, False), (1, 3, 2, False), (2, 2, 3, False), (3, 1, 0, True)]
+
+
+def test_both_outcomes_of_the_unscheduled_rule(spark):
+    from civicspark.plans import load_all
+
+    rows = load_all().QUERIES["unscheduled_round"](spark, "/root/testdata/sf0.001").groupBy("changed").count().collect()
+    assert {r.changed for r in rows} == {True, False}

@@ -135,3 +135,25 @@ def test_list_type_is_one_row_a_list(spark):
     places = spark.createDataFrame([(10, 1), (11, 1), (12, 1)], "district int, area int")
     found = list_type(lists, places, ["e"], "district", "area", "party", "whole", "got")
     assert {tuple(r) for r in found.collect()} == {(1, 1, "A", True), (1, 1, "B", False)}
+
+
+def test_elected_table_keeps_namesakes(spark):
+    rows = [
+        (1, "A", 10, "Ib", 50, True, "1K", None), (1, "A", 11, "Ib", 70, True, None, "1T"),
+        (1, "A", 11, "Bo", 90, True, "1K", None), (1, "A", 11, "Al", 90, True, "2K", None),
+        (1, "A", 11, "Eva", 5, False, None, None), (1, "B", 10, "Ub", 4, False, None, None),
+    ]
+    labelled = spark.createDataFrame(
+        rows, "g INT, party STRING, area INT, candidate STRING, votes BIGINT, elected BOOLEAN, "
+        "constituency_seat STRING, levelling_seat STRING",
+    )
+    got = cd.elected_table(labelled, ["g", "party"], "area", "candidate", "votes").collect()
+    assert [(r.g, r.party, r.n_elected, [tuple(x) for x in r.elected]) for r in got] == [
+        (1, "A", 4, [(10, "Ib", 50, "1K"), (11, "Al", 90, "2K"), (11, "Bo", 90, "1K"), (11, "Ib", 70, "1T")])
+    ]
+
+
+def test_equal_list_positions_go_by_the_tiebreak(spark):
+    df = spark.createDataFrame([(1, "b", 6, 5, 1), (1, "a", 6, 5, 1)], "g INT, candidate STRING, pos INT, votes INT, seats INT")
+    out = cd.list_order_interleaved(df, ["g"], "pos", "votes", "seats", ["candidate"])
+    assert {r.candidate: r["rank"] for r in out.collect()} == {"a": 1.0, "b": 2.0}

@@ -149,3 +149,29 @@ def test_votes_of_a_constituency_without_seats_count(spark):
     assert won == {("c1", "A"): 3, ("c1", "B"): 0, ("c2", "A"): 0, ("c2", "B"): 0}
     assert election.regional_votes.agg({"votes": "sum"}).first()[0] == 1560
     assert election.awards.count() == 2
+
+
+def test_seat_labels_from_votes_to_the_elected(spark):
+    """Votes to compensatory seats to labels, with list types by region and a party below all thresholds."""
+    votes = spark.createDataFrame(
+        [(1, "r", "c1", "A", 900), (1, "r", "c1", "B", 500), (1, "r", "c2", "A", 300), (1, "r", "c2", "B", 400), (1, "r", "c2", "C", 3)],
+        "election_id INT, region_id STRING, constituency_id STRING, party STRING, votes LONG",
+    )
+    seats = spark.createDataFrame([("c1", "r", 1), ("c2", "r", 1)], "constituency_id STRING, region_id STRING, seats INT")
+    pool = spark.createDataFrame([("r", 2)], "region_id STRING, pool INT")
+    election = NationalElection(votes, seats, pool, 4, 2)
+    persons = spark.createDataFrame(
+        [(1, c, p, f"{p}{i}", i, 100 * i) for c in ("c1", "c2") for p in "ABC" for i in (1, 2, 3)],
+        "election_id INT, constituency_id STRING, party STRING, candidate STRING, list_pos INT, total_votes LONG",
+    )
+    types = spark.createDataFrame([(1, "r", "A", True)], "election_id INT, region_id STRING, party STRING, ordered_list BOOLEAN")
+    lists = {(r.constituency_id, r.party): (r.won, r.levelling, r.seats, r.ordered_list) for r in election.lists(persons, types).collect()}
+    assert lists["c1", "C"] == lists["c2", "C"] == (0, 0, 0, False)
+    assert sum(x[0] for x in lists.values()) == 2 and sum(x[1] for x in lists.values()) == 2
+    assert lists["c1", "A"][3] and not lists["c1", "B"][3]
+    elected = {r.party: [tuple(x) for x in r.elected] for r in election.elected(persons, types).collect()}
+    assert sum(map(len, elected.values())) == 4 and set(elected) == {"A", "B"}
+    labels = [label for party in elected.values() for *_, label in party]
+    assert sorted(x[-1] for x in labels) == ["K", "K", "T", "T"]
+    # B's open list goes by votes, A's by the list
+    assert all(name == "B3" for area, name, *_ in elected["B"] if len([x for x in elected["B"] if x[0] == area]) == 1)

@@ -54,3 +54,45 @@ def test_incremental_equals_batch(spark, tmp_path):
     log = live.document_rows(documents).withColumn("batch", F.lit(0))
     batch = highest_averages(live.latest_votes(log), ["election_id"], "party", "votes", 7)
     assert second == sorted((r.election_id, r.party, r.votes, r.won) for r in batch.collect())
+
+
+def versions_on_disk(out):
+    return sorted(str(p.relative_to(out)) for p in out.glob("documents/batch=*/election_id=*"))
+
+
+def test_a_batch_reads_the_areas_it_touches_only(spark, tmp_path):
+    landing, out, progress = tmp_path / "landing", tmp_path / "out", str(tmp_path / "progress")
+    for n in range(8):
+        put(landing, 1, f"{n}.xml", document(n % 3, n, {"A": 10 + n, "B": 20}))
+        if n == 0:
+            put(landing, 2, "other.xml", document(1, 1, {"A": 1, "C": 3}))
+        live.live_tally(spark, str(landing), str(out), progress, 7).awaitTermination()
+        # No more than the current version of each election and the one before it is kept.
+        assert len(versions_on_disk(out)) <= 3
+    tally = live.TallyState(spark, str(out))
+    versions = tally.versions(tally.last_batch())
+    assert versions == {1: 7, 2: 0}
+    assert tally.paths("documents", versions, [1]) == [f"{out}/documents/batch=7/election_id=1"]
+    documents = tally.read("documents", live.STATE_SCHEMA, versions)
+    assert sorted((r.election_id, r.area_id, r.edition) for r in documents.collect()) == [
+        (1, "0", 6), (1, "1", 7), (1, "2", 5), (2, "1", 1)
+    ]
+    assert [(e, p, v) for e, p, v, _ in state(spark, str(out)) if e == 1] == [(1, "A", 48), (1, "B", 60)]
+
+
+def test_a_batch_run_again_leaves_the_same_state(spark, tmp_path):
+    landing, out, progress = tmp_path / "landing", tmp_path / "out", tmp_path / "progress"
+
+    def run():
+        live.live_tally(spark, str(landing), str(out), str(progress), 7).awaitTermination()
+        return state(spark, str(out))
+
+    put(landing, 1, "a.xml", document(1, 1, {"A": 50, "B": 20}))
+    run()
+    put(landing, 1, "b.xml", document(2, 1, {"A": 5, "B": 9}))
+    second = run()
+    # The second batch failed after its writes: it comes again.
+    for commit in (progress / "commits").glob("*1*"):
+        commit.unlink()
+    assert run() == second
+    assert live.current_seats(spark, str(tmp_path / "nothing")).isEmpty()
