@@ -234,6 +234,12 @@ def person_seat_order(
     return null_safe_join(persons, numbered, [*keys, party, "elected_rank"])
 
 
+def nth_place(places: str, rank: str) -> Column:
+    """The place at a rank (from 1) of a nested list of places; NULL for shared ranks and beyond its end."""
+    nth = F.floor(rank)
+    return F.when(F.col(rank) == nth, F.get(F.col(places), (nth - 1).cast("int")))
+
+
 def candidate_enrich(
     candidates: DataFrame,
     seats: DataFrame,

@@ -12,6 +12,7 @@ from civicspark.operators import enrich
 from civicspark.plans.registry import query
 from civicspark.session import shared_dir
 from civicspark.sources import matches as match_feeds
+from civicspark.sources.fixed_values import POPULATION_TARGET
 
 AS_OF = dt.date(2024, 1, 15)
 
@@ -332,17 +333,18 @@ def geo_enrich(t):
 
 
 STADIUMS = """
-stadiums AS (SELECT 'Stadium' || (s_suppkey % 60) AS stadium, max(s_suppkey % 50 + 5)::DOUBLE AS lon,
-                    max(s_suppkey % 40 + 45)::DOUBLE AS lat FROM supplier WHERE s_suppkey % 4 <> 1 GROUP BY 1)
+stadiums AS (SELECT 'Stadium' || (s_suppkey % 60 + CASE s_suppkey % 4 WHEN 1 THEN 60 ELSE 0 END) AS stadium,
+                    max(s_suppkey % 50 + 5)::DOUBLE AS lon, max(s_suppkey % 40 + 45)::DOUBLE AS lat
+             FROM supplier GROUP BY 1)
 """
 
 
 def stadiums(t):
     key = F.col("s_suppkey")
+    number = key % 60 + F.when(key % 4 == 1, 60).otherwise(0)  # a quarter of the matches' stadiums has no place
     return (
         t("supplier")
-        .where(key % 4 != 1)
-        .groupBy(F.concat(F.lit("Stadium"), (key % 60).cast("string")).alias("stadium"))
+        .groupBy(F.concat(F.lit("Stadium"), number.cast("string")).alias("stadium"))
         .agg(
             F.max(key % 50 + 5).cast("double").alias("lon"),
             F.max(key % 40 + 45).cast("double").alias("lat"),
@@ -449,7 +451,7 @@ def calendar_ready(t):
 
 @query("league_catalogue", """
 SELECT r_name AS country, comp_id, season_id
-FROM fx_seasons JOIN region ON r_regionkey = comp_id WHERE comp_id <> 3 ORDER BY country, season_id""")
+FROM fx_seasons JOIN region ON r_regionkey = comp_id ORDER BY country, season_id""")
 def league_catalogue(t):
     leagues = (
         t.seasons()
@@ -461,7 +463,7 @@ def league_catalogue(t):
         )
     )
     return (
-        leagues.where(F.col("comp_id") != 3)
+        leagues
         .select("country", "comp_id", F.explode("seasons").alias("season_id"))
         .orderBy("country", "season_id")
     )
@@ -476,11 +478,11 @@ def id_digits(t):
     )
 
 
-@query("countdown", """
+@query("countdown", f"""
 WITH m AS (SELECT n_regionkey AS region_id, strftime(o_orderdate, '%YM%m') AS period, count(*) AS persons
            FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
            GROUP BY 1, 2)
-SELECT region_id, max(period) AS period, 6000000 - max_by(persons, period) AS missing FROM m GROUP BY 1""")
+SELECT region_id, max(period) AS period, {POPULATION_TARGET} - max_by(persons, period) AS missing FROM m GROUP BY 1""")
 def countdown(t):
     monthly = (
         t("orders")
@@ -492,4 +494,4 @@ def countdown(t):
         )
         .agg(F.count(F.lit(1)).alias("persons"))
     )
-    return enrich.countdown(monthly, ["region_id"], "period", "persons", 6_000_000)
+    return enrich.countdown(monthly, ["region_id"], "period", "persons", POPULATION_TARGET)

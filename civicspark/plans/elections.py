@@ -249,16 +249,23 @@ class EuropeanElection:
         """All quotients with the order in which they win; ``won`` marks the seats."""
         return ap.seat_order(self.quotients, KEYS)
 
-    @cached_property
+    @property
+    def seat_orders(self) -> DataFrame:
+        """Votes and seats per party, with the places of its seats in the national order."""
+        places = F.sort_array(F.collect_list(F.when(F.col("won"), F.col("overall_rank"))))
+        return self.seat_ranking.groupBy(*PARTY, F.col("votes").alias("party_votes")).agg(
+            F.sum(F.col("won").cast("int")).cast("int").alias("seats"), places.alias("places")
+        )
+
+    @property
     def lists(self) -> DataFrame:
-        """Persons with their party's seats and votes, written once for both list types.
+        """Persons with their party's seats, votes and seat places.
 
         A party without votes has no seats, and a list of unknown type is an open one.
         """
-        seats = self.party_seats.select(*PARTY, "seats", F.col("votes").alias("party_votes"))
         known = {c: F.coalesce(c, F.lit(0)) for c in ("seats", "party_votes")}
         known["ordered_list"] = F.coalesce("ordered_list", F.lit(False))
-        return materialize(self.persons.join(seats, PARTY, "left").withColumns(known))
+        return self.persons.join(self.seat_orders, PARTY, "left").withColumns(known)
 
     @property
     def open_lists(self) -> DataFrame:
@@ -273,14 +280,22 @@ class EuropeanElection:
             "seats", ["candidate"],
         )
 
+    def _ranked(self, *more: str) -> DataFrame:
+        opened = cd.substitute_order(self.open_lists, PARTY).select(*self.RANKING, *more)
+        ordered = cd.substitute_order(self.ordered_lists, PARTY, "list_pos").select(*self.RANKING, *more)
+        return cd.merge_list_types(opened, ordered)
+
     @property
     def ranking(self) -> DataFrame:
         """Both list types in one table, with elected and substitute order."""
-        opened = cd.substitute_order(self.open_lists, PARTY).select(*self.RANKING)
-        ordered = cd.substitute_order(self.ordered_lists, PARTY, "list_pos").select(*self.RANKING)
-        return cd.merge_list_types(opened, ordered)
+        return self._ranked()
 
     @property
     def person_order(self) -> DataFrame:
-        """The ranking with each elected person's place in the national seat order."""
-        return cd.person_seat_order(self.ranking, self.seat_ranking.where("won"), KEYS, "party")
+        """The ranking with each elected person's place in the national seat order.
+
+        The place is looked up in the party's nested places, so the quotients of an election
+        are computed once.
+        """
+        place = cd.nth_place("places", "elected_rank").alias("overall_rank")
+        return self._ranked("places").select(*self.RANKING, place)

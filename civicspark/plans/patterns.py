@@ -113,13 +113,14 @@ def patch_nulls(t):
 
 @query("update_rows", """
 SELECT match_id, CASE WHEN s.stadium IS NOT NULL THEN s.city ELSE m.city END AS city
-FROM fx_matches m LEFT JOIN (SELECT 'Stadium' || s_suppkey AS stadium,
-  CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_name END AS city FROM supplier WHERE s_suppkey % 2 = 0) s
+FROM fx_matches m LEFT JOIN (SELECT CASE s_suppkey % 2 WHEN 0 THEN 'Stadium' ELSE 'Ground' END || s_suppkey AS stadium,
+  CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_name END AS city FROM supplier) s
   USING (stadium)""")
 def update_rows(t):
     key = F.col("s_suppkey")
-    patch = t("supplier").where(key % 2 == 0).select(
-        F.concat(F.lit("Stadium"), key.cast("string")).alias("stadium"),
+    kind = F.when(key % 2 == 0, "Stadium").otherwise("Ground")
+    patch = t("supplier").select(
+        F.concat(kind, key.cast("string")).alias("stadium"),
         F.when(key % 3 != 0, F.col("s_name")).alias("city"),
     )
     return enrich.update_rows(t.matches(), patch, ["stadium"], ["city"]).select("match_id", "city")

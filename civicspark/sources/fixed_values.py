@@ -9,9 +9,6 @@ CONSTITUENCY_SEATS = {
 }
 REGION_LEVELLING_SEATS = {"7": 11, "8": 15, "9": 14}
 REGION_NAMES = {"7": "Hovedstaden", "8": "Sjælland-Syddanmark", "9": "Midtjylland-Nordjylland"}
-TOTAL_SEATS = 175
-TOTAL_CONSTITUENCY_SEATS = 135
-TOTAL_LEVELLING_SEATS = 40
 
 # Alliances of European elections by year, named by their member letters.
 ALLIANCES = {
@@ -57,10 +54,6 @@ LEVELS = {
 }
 PERSON_LEVELS = ("storkredse", "opstillingskredse", "afstemningsomraader")
 
-# Leagues of the calendars, and of the second source.
-LEAGUE_IDS = [78, 79, 80, 83, 84, 85, 86, 87, 119, 144]
-COMPETITION_IDS = [38, 39, 35, 44, 491, 217]
-
 # Gazetteer names, stadium names and cities that differ between sources.
 CITY_NAMES = {
     "München": "Munich",

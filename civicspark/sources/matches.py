@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from civicspark.functions import text as tx
 from civicspark.operators import calendar as cal
+from civicspark.operators import enrich
+from civicspark.sources import fixed_values as fixed
 
 MATCH_SCHEMA = (
     "league STRUCT<id: BIGINT, name: STRING, country: STRING, season: INT, round: STRING>, "
@@ -111,3 +113,26 @@ def read_schedules(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
 def union_loads(loads: Sequence[DataFrame]) -> DataFrame:
     """Union of separate loads by column name; columns a load lacks are NULL."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), loads)
+
+
+def gazetteer_places(matches: DataFrame) -> DataFrame:
+    """Cities and stadiums of matches as the gazetteer names them.
+
+    A rule on the home team or the city comes first, then the city of a stadium whose match
+    records name another one or none, then the spelling of the city; stadiums get their present names.
+    """
+    rules = [(F.col(column), text, city) for column, text, city in fixed.CITY_RULES]
+    city = enrich.value_recode(F.col("city"), fixed.MATCH_CITY_NAMES)
+    by_stadium = enrich.value_recode(F.col("stadium"), fixed.STADIUM_CITIES)
+    city = F.when(F.col("stadium").isin(list(fixed.STADIUM_CITIES)), by_stadium).otherwise(city)
+    return matches.withColumns(
+        {
+            "city": enrich.rule_recode(rules, city),
+            "stadium": enrich.value_recode(F.col("stadium"), fixed.STADIUM_NAMES),
+        }
+    )
+
+
+def gazetteer_names(cities: DataFrame, name: str = "name") -> DataFrame:
+    """Gazetteer rows under the names the match records use."""
+    return cities.withColumn(name, enrich.value_recode(F.col(name), fixed.CITY_NAMES))

@@ -209,3 +209,19 @@ def test_shared_folder_comes_from_the_session(spark):
     written = materialize(spark.range(5))
     assert written.count() == 5
     assert all(root in f for f in written.inputFiles())
+
+
+def test_places_as_the_gazetteer_names_them(spark):
+    from civicspark.sources import matches
+
+    rows = [
+        ("RSC Anderlecht", "Brussels", "Park"), ("Home", "Deurne", "Bosuilstadion"), ("Home", None, "Easi Arena"),
+        ("Home", "Wurzburger", "Parken"), (None, "Aarhus", "Ceres Park"), ("Home", None, None),
+    ]
+    out = matches.gazetteer_places(spark.createDataFrame(rows, "home STRING, city STRING, stadium STRING"))
+    assert [(r.city, r.stadium) for r in out.collect()] == [
+        ("Anderlecht", "Park"), ("Antwerpen", "Bosuilstadion"), ("La Louvière", "Easi Arena"),
+        ("Würzburg", "Parken Stadium"), ("Aarhus", "New Vejlby Stadium"), (None, None),
+    ]
+    names = matches.gazetteer_names(spark.createDataFrame([("Köln",), ("Bonn",), (None,)], "name STRING"))
+    assert [r.name for r in names.collect()] == ["Cologne", "Bonn", None]
