@@ -211,16 +211,20 @@ def _measured(batches):
 def learning_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
     """(text, label) of at most ``rows`` labelled documents outside the held-out fifth.
 
-    The rows are those with the least hash of their id, so the choice is the same each time.
+    The rows are those with the least hash of their id, so the choice is the same each time. Where
+    documents share an id, the text with the least hash stands for them.
     """
     chosen = (
-        labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col(label).cast("int").alias("label"))
-        .filter(F.col("label").isin(0, 1) & ~held_out("label_id"))
-        .orderBy(F.xxhash64("label_id"), "label_id", "label")
+        labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("label"))
+        .filter(F.col("label").isin(0, 1) & ~held_out("_id"))
+        .orderBy(F.xxhash64("_id"), "_id", "label")
         .limit(rows)
     )
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
     # At most ``rows`` pairs of numbers, however many documents there are.
-    return docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["label_id"]).select("text", "label")
+    found = texts.join(F.broadcast(chosen), "_id")
+    one = found.groupBy("_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one"))
+    return one.select("one.text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> AdditiveModel:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from civicspark.llm import shingles
-from civicspark.llm.common import _slices, arrow_rows, share_package, sieve, utf8
+from civicspark.llm.common import _slices, arrow_rows, in_order, share_package, sieve, utf8
 from civicspark.llm.links import linked_components
 from civicspark.session import materialize
 
@@ -194,10 +194,19 @@ def duplicate_lines(
 def drop_duplicate_lines(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, points: int | None = None
 ) -> DataFrame:
-    """(doc_id, text) with the lines left that ``duplicate_lines`` keeps, in their order."""
-    kept = duplicate_lines(df, id_col, text_col, percent, points).filter("kept").select("doc_id", F.col("line_no"))
-    raw = df.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("line_no", "line"))
-    joined = raw.join(kept, raw["doc_id"].eqNullSafe(kept["doc_id"]) & (raw["line_no"] == kept["line_no"]), "left_semi")
-    return joined.groupBy("doc_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text")
+    """(doc_id, text) of every row, with the lines left that ``duplicate_lines`` keeps, in their order.
+
+    Rows are taken one by one, in the order of id and text, null ids first: of rows that share an
+    id, or have none, each keeps its own lines that no earlier row has. A row all of whose lines an
+    earlier one has is left out; empty lines stay, so an empty or null text gives an empty one.
+    """
+    rows, _ = in_order(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
+    kept = duplicate_lines(rows, "row_no", "text", percent, points).filter("kept").select(
+        F.col("doc_id").alias("row_no"), "line_no"
     )
+    line = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line")
+    left = rows.select("row_no", "doc_id", line).join(kept, ["row_no", "line_no"], "left_semi")
+    lines = F.sort_array(F.collect_list(F.struct("line_no", "line")))
+    return left.groupBy("row_no", "doc_id").agg(
+        F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text")
+    ).drop("row_no")

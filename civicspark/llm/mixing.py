@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from civicspark.llm.common import WORD
+from civicspark.llm.common import WORD, share_package
 from civicspark.session import materialize
 
 #: A document is taken this many times at most, and so is a source.
@@ -94,9 +94,10 @@ def mix(df: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (3, 1, 2),
 
     Randomness is a hash of key, doc_id and text, so reruns agree. Null texts and those
     without words have size 0 and are never taken; a null source is a source; null and
-    repeated ids are documents like others, those equal in id and text being alike. The ranking
-    is by ranges and partial sums: no source is gathered in one task.
+    repeated ids are documents like others, rows equal in id and text being drawn one by one. The
+    ranking is by ranges and partial sums: no source is gathered in one task.
     """
+    share_package(df.sparkSession)
     docs = materialize(
         df.select(
             F.col("doc_id").cast("long").alias("doc_id"),
@@ -146,7 +147,12 @@ def mix(df: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (3, 1, 2),
     keys = ["_s", "_rank", "doc_id", "_crc"]
     sorted_rows = ranked.repartitionByRange(*keys).sortWithinPartitions(*keys)
     schema = T.StructType([*sorted_rows.schema.fields, T.StructField("_before", T.LongType())])
-    placed = materialize(sorted_rows.mapInPandas(_running, schema).withColumn("_part", F.spark_partition_id()))
+    # The written number tells rows apart that are equal in everything else.
+    placed = materialize(
+        sorted_rows.mapInPandas(_running, schema)
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_row", F.monotonically_increasing_id())
+    )
     parts = placed.groupBy(F.col("_part").alias("part"), F.col("_s").alias("ps")).agg(F.sum("size").alias("_sum"))
     earlier = Window.partitionBy("ps").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("part", "ps", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
@@ -154,7 +160,7 @@ def mix(df: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (3, 1, 2),
         placed.join(offsets, (F.col("_part") == F.col("part")) & (F.col("_s") == F.col("ps")))
         .join(left, F.col("source").eqNullSafe(F.col("s")))
         .withColumn("_in", (F.col("_p") > 1e-9) & (F.col("_offset") + F.col("_before") + F.col("size") <= F.col("_left")))
-        .select("doc_id", "source", "size", "_crc", "_whole", "_p", "_rank", "_left", "_in")
+        .select("doc_id", "source", "size", "_crc", "_whole", "_p", "_rank", "_left", "_in", "_row")
     )
     # The words still missing are less than the next document has; the one that fits best follows.
     gap = drawn.groupBy(F.col("source").alias("s")).agg(
@@ -166,12 +172,12 @@ def mix(df: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (3, 1, 2),
         .join(gap, F.col("source").eqNullSafe(F.col("s")))
         .filter(off < F.col("_gap"))
         .groupBy("s")
-        .agg(F.min(F.struct(off.alias("off"), "_rank", "doc_id", "_crc")).alias("one"))
-        .select("s", F.col("one.doc_id").alias("last_id"), F.col("one._crc").alias("last_crc"))
+        .agg(F.min(F.struct(off.alias("off"), "_rank", "doc_id", "_crc", "_row")).alias("one"))
+        .select("s", F.col("one._row").alias("last_row"))
     )
-    is_last = F.col("last_crc").isNotNull() & F.col("doc_id").eqNullSafe(F.col("last_id")) & (F.col("_crc") == F.col("last_crc"))
+    is_last = F.coalesce(F.col("_row") == F.col("last_row"), F.lit(False))
     drawn = drawn.join(last, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        "doc_id", "source", "size", (F.col("_whole").cast("int") + (F.col("_in") | (is_last & (F.col("_p") > 1e-9))).cast("int")).alias("copies")
+        "doc_id", "source", "size", (F.col("_whole").cast("int") + (F.col("_in") | is_last).cast("int")).alias("copies")
     )
     empty = docs.filter("size = 0").select("doc_id", "source", "size", F.lit(0).alias("copies"))
     named = sizes.select(F.col("source").alias("s"), "source_size", "target")

@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-import public_tokenizers
-
 from civicspark.llm import oracles
 from civicspark.llm.common import held_out, table
 from civicspark.llm.decontam import contained_items
@@ -31,7 +29,10 @@ TOKEN_LIMIT = 1024
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    path = path or public_tokenizers.path("byte_bpe_50k.json")
+    if path is None:
+        import public_tokenizers  # only this query needs the vocabularies
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
     counted = token_counts(table(spark, sf_dir, "documents"), path)
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 

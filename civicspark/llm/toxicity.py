@@ -6,14 +6,17 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicspark.llm.common import share_package
 from civicspark.llm.gam import learning_rows
+from civicspark.session import materialize
 
 #: Labelled rows that the model is fitted on, at most.
 TRAIN_ROWS = 12_000
+#: Term hashes of theirs that it may see.
+TRAIN_TERMS = 10_000_000
 #: Terms are known by 32-bit hashes; those in fewer training documents carry no weight.
 LEAST_DOCS, LEAST_G2 = 4, 30.0
 
@@ -118,17 +121,25 @@ def _parsed(batches):
             found = [sorted({_hash(t) for t in terms(text[a:b])}) for a, b in sentences(text)]
             lists.append([h for s in found for h in s])
             sizes.append([len(s) for s in found])
-        yield pd.DataFrame({"label": rows["label"], "terms": lists, "sizes": sizes})
+        yield pd.DataFrame({"label": rows["label"], "terms": lists, "sizes": sizes, "n_terms": list(map(len, lists))})
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS) -> NoisyOr:
-    """A model of ``label`` from a bounded number of documents; their term hashes reach the driver."""
+    """A model of ``label`` from a bounded number of documents; their term hashes reach the driver.
+
+    At most ``TRAIN_TERMS`` hashes do: documents are taken in the order of the hash of their terms as
+    long as the bound holds them, so a very long one may be left out of the learning.
+    """
     share_package(docs.sparkSession)
-    found = (
-        learning_rows(docs, labels, label, rows)
-        .mapInPandas(_parsed, "label int, terms array<long>, sizes array<int>")
-        .toArrow()
+    parsed = materialize(
+        learning_rows(docs, labels, label, rows).mapInPandas(
+            _parsed, "label int, terms array<long>, sizes array<int>, n_terms long"
+        )
     )
+    # One task adds up the sizes of at most ``rows`` documents.
+    order = Window.orderBy(F.xxhash64("terms", "label"))
+    fits = parsed.filter(F.col("n_terms") <= TRAIN_TERMS // 10).withColumn("_upto", F.sum("n_terms").over(order))
+    found = fits.filter(F.col("_upto") <= TRAIN_TERMS).select("label", "terms", "sizes").toArrow()
     y = found.column("label").to_numpy()
     documents = []
     for hashes, sizes in zip(found.column("terms"), found.column("sizes"), strict=True):
