@@ -21,15 +21,24 @@ from civicspark.llm.sharding import shard
 from civicspark.session import materialize
 
 
+#: Near duplicates share this percentage of the five-word shingles of both.
+NEAR_PERCENT = 80
+#: Copies of equal rows that one row of a join stands for.
+CHUNK = 1000
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier accepts."""
     scored = quality_scores(docs, table(spark, sf_dir, "labels"), names=("_score", "_predicted"))
     return scored.filter("_predicted = 1").select(*docs.columns)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``, by which decisions find their rows: null and repeated doc_ids do not."""
-    return docs.withColumn("_row", F.xxhash64("doc_id", "text", "source"))
+def keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """``docs`` with ``_row``, a hash of ``columns`` and of which of them are null.
+
+    Decisions find their rows by it: null and repeated doc_ids do not.
+    """
+    return docs.withColumn("_row", F.xxhash64(*columns, *(F.col(c).isNull() for c in columns)))
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +46,8 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Of rows equal in doc_id and text one stays, of texts without words all others.
     """
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    groups = near_duplicates(rows, "_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    rows = keyed(docs, "doc_id", "text")
+    groups = near_duplicates(rows, "_row", percent=NEAR_PERCENT).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
     ids = rows.select("_row", F.col("doc_id").alias("_id")).distinct()
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first")
     kept = groups.distinct().join(ids, "_row").groupBy("_group").agg(first).select("first._row")
@@ -47,15 +56,22 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no benchmark item."""
-    return decontaminate(keyed(docs), table(spark, sf_dir, "benchmark"), id_col="_row").select(*docs.columns)
+    return decontaminate(keyed(docs, "doc_id", "text"), table(spark, sf_dir, "benchmark"), id_col="_row").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, none to two times; equal rows equally often."""
-    rows = keyed(docs)
-    copies = mix(rows.withColumn("doc_id", F.col("_row"))).groupBy(F.col("doc_id").alias("_row")).agg(F.max("copies").alias("_copies"))
-    taken = rows.join(copies.filter("_copies > 0"), "_row")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Each document as often as the mix takes it, none to two times.
+
+    Rows equal in every column are drawn one by one; as nothing tells them apart, what is taken of
+    them is written out from one of them, in chunks, so that a hot row is not one task's work.
+    """
+    rows = keyed(docs, *docs.columns)
+    drawn = mix(rows.withColumn("doc_id", F.col("_row"))).groupBy(F.col("doc_id").alias("_row")).agg(F.sum("copies").alias("_copies"))
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(CHUNK).cast("long")))
+    chunks = drawn.filter("_copies > 0").select("_row", "_copies", starts.alias("_start"))
+    one = rows.dropDuplicates(["_row"])
+    taken = one.join(chunks, "_row").withColumn("_n", F.least(F.lit(CHUNK), F.col("_copies") - F.col("_start")))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
