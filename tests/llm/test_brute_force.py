@@ -48,10 +48,10 @@ def components(sets, percent):
     return {key: find(key) for key in sets}
 
 
-def near(texts):
+def near(texts, percent=85):
     """doc_id -> (n_shingles, component_id)."""
     sets = {i: runs(WORDS.findall((t or "").translate(LOWER))) for i, t in texts.items()}
-    found = components(sets, 85)
+    found = components(sets, percent)
     return {i: (len(sets[i]), found[i]) for i in texts}
 
 
@@ -148,7 +148,8 @@ def test_pipeline_stages(spark):
     docs, rows = step("quality classifier", docs)
     assert {r["doc_id"] for r in rows} == {i for i, p in predicted.items() if p}
 
-    want = {i for i, (_, c) in near({r["doc_id"]: r["text"] for r in rows}).items() if c == i}
+    # No contract names another likeness for the stage than the 0.8 of all stages on word shingles.
+    want = {i for i, (_, c) in near({r["doc_id"]: r["text"] for r in rows}, 80).items() if c == i}
     docs, rows = step("MinHash near-dedup", docs)
     assert sorted(r["doc_id"] for r in rows) == sorted(want)
 
