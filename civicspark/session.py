@@ -29,14 +29,25 @@ def get_session(app: str = "civicspark", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+#: Folders that sessions of this process have written, by application.
+_written: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder every executor can reach, below ``spark.checkpoint.dir``.
 
-    Where that is unset it lies below the warehouse, which a cluster shares as well.
+    Where that is unset it lies below the warehouse. Its default is a folder of the driver's machine, so
+    a cluster must have set one of the two.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    root = root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    if not root:
+        local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+        if not local and spark.sparkContext.getConf().get("spark.sql.warehouse.dir") is None:
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all machines share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -44,9 +55,23 @@ def materialize(df: DataFrame) -> DataFrame:
 
     Used where a small result of a pass over the raw rows feeds many later steps. It cuts
     the lineage like a checkpoint, and the files also tell Catalyst their size, so joins
-    with them are planned as broadcasts only if they really are small.
+    with them are planned as broadcasts only if they really are small. The table stays until
+    ``drop_written`` removes it.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete every folder ``shared_dir`` has given out to this application; returns their number.
+
+    For the owner of a job, once its results are read or saved: results built before
+    cannot be read any more.
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)

@@ -110,8 +110,8 @@ class TallyState:
         return rows.withColumn("election_id", election)
 
     def write(self, rows: DataFrame, table: str, batch: int) -> None:
-        """A new version of the elections in ``rows``, a folder each."""
-        rows.write.mode("overwrite").partitionBy("election_id").parquet(f"{self.out}/{table}/batch={batch}")
+        """A new version of the elections in ``rows``, a folder each; an election's rows are few."""
+        rows.repartition("election_id").write.mode("overwrite").partitionBy("election_id").parquet(f"{self.out}/{table}/batch={batch}")
 
     def commit(self, versions: dict[int, int], batch: int) -> None:
         rows = self.spark.createDataFrame(sorted(versions.items()), VERSIONS_SCHEMA).coalesce(1)
@@ -146,11 +146,13 @@ def live_tally(
     def apply(batch: DataFrame, batch_id: int) -> None:
         state = TallyState(batch.sparkSession, out)
         before = state.versions(batch_id - 1)
-        arrived = document_rows(batch).withColumn("batch", F.lit(batch_id).cast("bigint"))
+        # the documents are parsed once; a lost executor's share is parsed again
+        arrived = document_rows(batch).withColumn("batch", F.lit(batch_id).cast("bigint")).persist()
         # one id per election, of which a catalogue has a handful
         touched = sorted(r.election_id for r in arrived.select("election_id").distinct().collect())
         known = state.read("documents", STATE_SCHEMA, before, touched)
         state.write(current_documents(known.unionByName(arrived)), "documents", batch_id)
+        arrived.unpersist()
         after = before | {e: batch_id for e in touched}
         current = state.read("documents", STATE_SCHEMA, after, touched)
         state.write(seats_of(current, seats), "seats", batch_id)
