@@ -17,7 +17,7 @@ SAME = "one two three four five six seven eight nine ten"
 
 @pytest.fixture(scope="module")
 def frame(spark):
-    return lambda pairs: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in pairs], SCHEMA)
+    return lambda pairs: spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in pairs], SCHEMA)
 
 
 def test_near_duplicates_without_ids(spark, frame):
@@ -43,3 +43,14 @@ def test_mixture_without_ids(spark, frame):
     words = sum(len(t.split()) for t in texts)
     taken = sum(len(t.split()) * n for t, n in got.items())
     assert set(got.values()) <= {1, 2} and abs(taken - 1.5 * words) <= 8
+
+
+def test_mixture_of_equal_rows(spark, frame, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "CHUNK", 7)
+    same = "one two three four five"
+    docs = frame([(1, same)] * 300 + [(i, f"{i} other words") for i in range(2, 60)] + [(None, None), (None, "")])
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.mixture(spark, docs, SF_DIR).collect())
+    words = 300 * 5 + 58 * 3
+    assert abs(sum(n * len(t.split()) for (_, t), n in got.items()) - 1.5 * words) <= 8
+    assert 300 < got[1, same] <= 600 and all(1 <= n <= 2 for (i, _), n in got.items() if i != 1)
+    assert all(t for _, t in got)
