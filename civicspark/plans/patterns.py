@@ -367,12 +367,14 @@ def agg_family(t):
 
 
 @query("setdiff_parties", """
-SELECT DISTINCT p_brand AS party FROM part WHERE p_size > 25
-EXCEPT SELECT party FROM fx_party WHERE ordered_list""")
+SELECT DISTINCT p_brand AS party FROM part
+EXCEPT SELECT CASE WHEN ordered_list THEN party ELSE party || ' open' END FROM fx_party""")
 def setdiff_parties(t):
-    large = t("part").where("p_size > 25").select(F.col("p_brand").alias("party")).distinct()
-    ordered = t.parties().where("ordered_list").select("party")
-    return large.join(ordered, "party", "left_anti")
+    parties = t("part").select(F.col("p_brand").alias("party")).distinct()
+    # open lists go by a name that no part has
+    name = F.when(F.col("ordered_list"), F.col("party")).otherwise(F.concat("party", F.lit(" open")))
+    ordered = t.parties().select(name.alias("party"))
+    return parties.join(ordered, "party", "left_anti")
 
 
 @query("scalar_as_column", """
@@ -385,14 +387,21 @@ def scalar_as_column(t):
 # ---- joins -----------------------------------------------------------------------------------
 
 
+def customer_key(held):
+    """The customer of orders that hold a condition, and a key that no customer has for the others."""
+    return F.when(held, F.col("o_custkey")).otherwise(-1 - F.col("o_custkey"))
+
+
 @query("join_inner", """
 SELECT l_orderkey AS order_id, l_linenumber AS line, o_custkey AS customer_id
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'""")
+FROM lineitem JOIN orders ON l_orderkey = CASE o_orderstatus WHEN 'F' THEN o_orderkey ELSE -1 - o_orderkey END""")
 def join_inner(t):
-    closed = t("orders").where("o_orderstatus = 'F'")
+    # orders that are not closed have keys that no line has
+    key = F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey")).otherwise(-1 - F.col("o_orderkey"))
+    closed = t("orders").select(key.alias("closed_key"), "o_custkey")
     return (
         t("lineitem")
-        .join(closed, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(closed, F.col("l_orderkey") == F.col("closed_key"))
         .select(
             F.col("l_orderkey").alias("order_id"),
             F.col("l_linenumber").alias("line"),
@@ -403,37 +412,33 @@ def join_inner(t):
 
 @query("join_left", """
 SELECT c_custkey AS customer_id, o_orderkey AS order_id
-FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 200000) o ON o_custkey = c_custkey""")
+FROM customer LEFT JOIN orders ON c_custkey = CASE WHEN o_totalprice > 200000 THEN o_custkey ELSE -1 - o_custkey END""")
 def join_left(t):
-    large = t("orders").where("o_totalprice > 200000")
+    large = t("orders").select(customer_key(F.col("o_totalprice") > 200000).alias("large_key"), "o_orderkey")
     return (
         t("customer")
-        .join(large, F.col("c_custkey") == F.col("o_custkey"), "left")
+        .join(large, F.col("c_custkey") == F.col("large_key"), "left")
         .select(F.col("c_custkey").alias("customer_id"), F.col("o_orderkey").alias("order_id"))
     )
 
 
 @query("join_semi", """
 SELECT c_custkey AS customer_id FROM customer WHERE EXISTS (
-  SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')""")
+  SELECT 1 FROM orders WHERE c_custkey = CASE o_orderpriority WHEN '1-URGENT' THEN o_custkey ELSE -1 - o_custkey END)""")
 def join_semi(t):
     # distinct keys first, so a customer with very many orders sends one row
-    urgent = (
-        t("orders").where("o_orderpriority = '1-URGENT'")
-        .select(F.col("o_custkey").alias("customer_id")).distinct()
-    )
+    key = customer_key(F.col("o_orderpriority") == "1-URGENT")
+    urgent = t("orders").select(key.alias("customer_id")).distinct()
     customers = t("customer").select(F.col("c_custkey").alias("customer_id"))
     return customers.join(urgent, "customer_id", "left_semi")
 
 
 @query("join_anti", """
 SELECT c_custkey AS customer_id FROM customer WHERE c_custkey NOT IN (
-  SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
+  SELECT CASE o_orderpriority WHEN '1-URGENT' THEN o_custkey ELSE -1 - o_custkey END FROM orders)""")
 def join_anti(t):
-    urgent = (
-        t("orders").where("o_orderpriority = '1-URGENT'")
-        .select(F.col("o_custkey").alias("customer_id")).distinct()
-    )
+    key = customer_key(F.col("o_orderpriority") == "1-URGENT")
+    urgent = t("orders").select(key.alias("customer_id")).distinct()
     customers = t("customer").select(F.col("c_custkey").alias("customer_id"))
     return customers.join(urgent, "customer_id", "left_anti")
 
