@@ -44,9 +44,9 @@ class NationalElection:
     """Constituency seats, thresholds, compensatory seats and elected candidates.
 
     ``votes`` (election_id, region_id, constituency_id, party, votes), ``seats``
-    (constituency_id, region_id, seats), ``region_pool`` (region_id, pool). The tally
-    with its seats and the party totals are written once; neither has more than one row
-    per election, constituency and party.
+    (constituency_id, region_id, seats), ``region_pool`` (region_id, pool). Only the tally
+    with its seats is written, once; it has one row per election, constituency and party, and
+    all other results are plans on it.
     """
 
     def __init__(
@@ -99,10 +99,10 @@ class NationalElection:
     def qualified(self) -> DataFrame:
         return self.rules.where("qualified").select(*PARTY, "votes", "constituency_seats")
 
-    @cached_property
+    @property
     def totals(self) -> DataFrame:
         """Compensatory and total seats per qualifying party."""
-        return materialize(lv.levelling_totals(self.qualified, KEYS, self.total_seats))
+        return lv.levelling_totals(self.qualified, KEYS, self.total_seats)
 
     @property
     def result_table(self) -> DataFrame:
