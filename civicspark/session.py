@@ -50,20 +50,39 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write ``df`` once to a fresh shared folder and continue from the files.
 
     Used where a small result of a pass over the raw rows feeds many later steps. It cuts
     the lineage like a checkpoint, and the files also tell Catalyst their size, so joins
     with them are planned as broadcasts only if they really are small. The table stays until
-    ``drop_written`` removes it.
+    ``discard`` or ``drop_written`` removes it. ``codec`` compresses the files.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a table that ``materialize`` returned.
+
+    For the owner of a long job, once everything that reads the table is written itself: then no
+    lost task can ask for it again.
+    """
+    spark = df.sparkSession
+    held = _written.get(spark.sparkContext.applicationId, [])
+    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        for known in [k for k in held if k.rsplit("/", 1)[-1] == path.rsplit("/", 1)[-1]]:
+            _delete(spark, known)
+            held.remove(known)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def drop_written(spark: SparkSession) -> int:
     """Delete every folder ``shared_dir`` has given out to this application; returns their number.
 
@@ -72,6 +91,5 @@ def drop_written(spark: SparkSession) -> int:
     """
     paths = _written.pop(spark.sparkContext.applicationId, [])
     for path in paths:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(spark, path)
     return len(paths)

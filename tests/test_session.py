@@ -35,3 +35,13 @@ def test_a_cluster_must_name_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(Session())
+
+
+def test_discard_deletes_one_table(spark, monkeypatch):
+    monkeypatch.setattr(session, "_written", {})
+    one, other = session.materialize(spark.range(3).toDF("x")), session.materialize(spark.range(4).toDF("x"), codec="zstd")
+    files = [f.removeprefix("file://") for f in one.inputFiles()]
+    session.discard(one)
+    assert not any(Path(f).exists() for f in files)
+    assert other.count() == 4
+    session.drop_written(spark)
