@@ -6,32 +6,49 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from civicspark.llm import shingles
-from civicspark.llm.common import _slices, arrow_rows, in_order, share_package, sieve, utf8
-from civicspark.llm.links import linked_components
-from civicspark.session import materialize
+from civicspark.llm.common import _slices, arrow_rows, in_order, share_package, utf8
+from civicspark.llm.links import components_of_buckets, shared_bands
+from civicspark.session import discard, materialize
 
 #: 12 bands of 4 coordinates find a pair of similarity 0.9 but for a chance of 3 in 10^6, one
 #: of 0.85 but for 1 in 10^4, one of just 0.8 but for 2 in 10^3.
 BANDS, ROWS = 12, 4
-#: For runs of three code points, which unlike lines share more often: a pair of just 0.8 but
-#: for a chance of 4 in 10^4, one of 0.85 but for 3 in 10^6; one of 0.3 in a band with one of 3 in 10^2.
-POINT_BANDS, POINT_ROWS = 26, 6
+#: Slots of ``variety``.
+SLOTS = 512
+#: Lines that are compared by runs of code points are signed by longer runs, which unlike lines share more
+#: rarely, the more the more runs they have: (slots filled from, and up to, code points more than compared,
+#: bands, coordinates a band). Linked lines fill numbers of slots within a fifth of each other or so, so
+#: they have a class in common. With runs of three, a pair of 0.8 is missed with a chance of 7 in 10^5
+#: in the first class and 2 in 10^3 in the second; in the third with 3 in 100 if the changes are spread evenly, fewer if
+#: they lie together, and 2 in 10^3 at 0.85.
+CLASSES = ((0, 40, 0, 24, 5), (28, 110, 1, 24, 5), (75, SLOTS, 4, 16, 3))
+LEAST_COUNTED = CLASSES[1][0]
 
 LINES = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
         T.StructField("line_no", T.IntegerType()),
         T.StructField("node", T.LongType()),
+        T.StructField("slice", T.LongType()),
         T.StructField("bands", T.ArrayType(T.LongType())),
+        T.StructField("content", T.StringType()),
     ]
 )
 LINES_ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("line_no", pa.int32()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))]
+    [
+        ("doc_id", pa.int64()),
+        ("line_no", pa.int32()),
+        ("node", pa.int64()),
+        ("slice", pa.int64()),
+        ("bands", pa.list_(pa.int64())),
+        ("content", pa.string()),
+    ]
 )
 
 
@@ -69,31 +86,92 @@ def _shingles(data: np.ndarray, offsets: np.ndarray, points: int | None) -> tupl
     return shingles.point_shingles(data, offsets, points) if points else shingles.char_shingles(data, offsets)
 
 
-def _sign(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, points: int | None) -> pa.RecordBatch:
-    bands, rows = (POINT_BANDS, POINT_ROWS) if points else (BANDS, ROWS)
-    text, borders, owner, number = plain_lines(data, offsets)
+def variety(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many of ``SLOTS`` slots the runs of three code points of each text fill."""
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    ends = np.r_[starts[1:], len(data)]
+    points = data[starts].astype(np.uint32) * np.uint32(0x9E3779B1) + data[ends - 1]
+    at = np.searchsorted(starts, offsets)
+    counts = np.diff(at)
+    # Texts with fewer code points are in the first class alone, whatever their runs.
+    filled = np.minimum(counts, LEAST_COUNTED - 1)
+    long = np.flatnonzero(counts >= LEAST_COUNTED)
+    if len(long):
+        runs = counts[long] - 2
+        borders = np.r_[0, np.cumsum(runs)]
+        first = np.repeat(at[:-1][long] - borders[:-1], runs) + np.arange(borders[-1])
+        mixed = points[first] * np.uint32(0x85EBCA6B) ^ points[first + 1] * np.uint32(0xC2B2AE35)
+        mixed = (mixed ^ points[first + 2]) * np.uint32(0x27D4EB2F)
+        slots = np.zeros(len(long) * SLOTS, bool)
+        slots[np.repeat(np.arange(len(long)) * SLOTS, runs) + (mixed >> np.uint32(23))] = True
+        filled[long] = slots.reshape(-1, SLOTS).sum(1)
+    return filled
+
+
+def _band_keys(text: np.ndarray, borders: np.ndarray, rows: np.ndarray, points: int | None) -> pa.ListArray:
+    """The band keys of some lines."""
+    if not points:
+        keys = shingles.bands(shingles.linear_minhash(*shingles.char_shingles(*_pick(text, borders, rows)), BANDS * ROWS), ROWS)
+        owner, keys = np.repeat(np.arange(len(rows)), BANDS), keys.ravel()
+    else:
+        filled = variety(*_pick(text, borders, rows))
+        owners, found = [], []
+        for low, high, more, bands, width in CLASSES:
+            which = np.flatnonzero((filled >= low) & (filled <= high))
+            runs = shingles.point_shingles(*_pick(text, borders, rows[which]), points + more)
+            found.append(shingles.bands(shingles.linear_minhash(*runs, bands * width), width).ravel() ^ more)
+            owners.append(np.repeat(which, bands))
+        owner, keys = np.concatenate(owners), np.concatenate(found)
+        order = np.argsort(owner, kind="stable")
+        owner, keys = owner[order], keys[order]
+    cuts = np.searchsorted(owner, np.arange(len(rows) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys))
+
+
+def _sign(batch: pa.RecordBatch, number_of_slice: int, points: int | None) -> pa.RecordBatch:
+    text, borders, owner, number = plain_lines(*utf8(batch.column("text")))
     node = shingles.span_hashes(text, borders[:-1], borders[1:])
-    full = np.flatnonzero(np.diff(borders) > 0)
+    empty = np.diff(borders) == 0
+    full = np.flatnonzero(~empty)
     # A line that comes again in this slice is signed once.
     _, once = np.unique(node[full], return_index=True)
     once = np.sort(full[once])
-    hashes, cuts = _shingles(*_pick(text, borders, once), points)
-    keys = shingles.bands(shingles.linear_minhash(hashes, cuts, bands * rows), rows)
-    signed = np.zeros(len(node), np.int64)
-    signed[once] = bands
-    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(signed)].astype(np.int32)), pa.array(keys.ravel()))
-    empty = np.diff(borders) == 0
+    content, cuts = _pick(text, borders, once)
+    strings = pa.StringArray.from_buffers(
+        len(once), pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(content.tobytes())
+    )
+    place = np.zeros(len(node), np.int64)
+    place[once] = np.arange(len(once))
+    signed = np.zeros(len(node), bool)
+    signed[once] = True
+    take = pa.array(place, mask=~signed)
     return pa.RecordBatch.from_arrays(
         [
             batch.column("doc_id").take(pa.array(owner)),
             pa.array(number.astype(np.int32)),
             pa.array(node.view(np.int64), mask=empty),
-            lists,
+            pa.array(np.full(len(node), number_of_slice)),
+            _band_keys(text, borders, once, points).take(take),
+            strings.take(take),
         ],
         schema=LINES_ARROW,
     )
 
 
+def _signed_lines(docs: DataFrame, points: int | None) -> DataFrame:
+    """Every line; those that are the first of their kind in their slice of the texts with bands and content."""
+
+    def run(batches):
+        task, slices = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for part in _slices(batch, "text"):
+                yield _sign(part, (task << 33) + slices, points)
+                slices += 1
+
+    share_package(docs.sparkSession)
+    return docs.mapInArrow(run, LINES)
+
+
 def _pick(text: np.ndarray, borders: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and borders of some lines."""
     sizes = np.diff(borders)[rows]
@@ -152,37 +230,31 @@ def duplicate_lines(
     columns are ignored.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    lines = materialize(arrow_rows(docs, LINES, "text", partial(_sign, points=points)))
-
-    def content(asked: DataFrame) -> DataFrame:
-        likely = sieve(asked, "node")
-        schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("content", T.StringType())])
-        split = F.explode(F.split("text", "\n")).alias("raw")
-        raw = docs.select(split).filter("raw <> ''")
-
-        def build(batch, data, offsets):
-            # One line a row: the borders of the rows are those of the lines.
-            text, borders, _, _ = plain_lines(data, offsets)
-            node = shingles.span_hashes(text, borders[:-1], borders[1:])
-            strings = pa.StringArray.from_buffers(
-                len(node), pa.py_buffer(borders.astype(np.int32).tobytes()), pa.py_buffer(text.tobytes())
-            )
-            return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), strings], names=["node", "content"])
-
-        found = arrow_rows(raw, schema, "raw", build).filter(likely(F.col("node")))
-        return found.join(asked, "node", "left_semi").groupBy("node").agg(F.first("content").alias("content"))
-
-    signatures = lines.filter("size(bands) > 0").select("node", "bands")
-    labels = linked_components(
-        signatures, content, partial(compare_lines, points=points), partial(_line_items, points=points), percent
+    signed = materialize(_signed_lines(docs, points), codec="zstd")
+    # One row of each distinct line, of its first slice.
+    first_rows = signed.filter("content is not null")
+    repeated = materialize(
+        first_rows.groupBy("node").agg(F.min("slice").alias("keep"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    )
+    distinct = first_rows.join(repeated, "node", "left").filter("keep is null or keep = slice")
+    members = shared_bands(distinct.select("node", "bands"))
+    contents = materialize(
+        distinct.select("node", "content").join(members.select("node").distinct(), "node", "left_semi"), codec="zstd"
+    )
+    lines = materialize(signed.select("doc_id", "line_no", "node"))
+    discard(signed)
+    labels = components_of_buckets(
+        members, contents, partial(compare_lines, points=points), partial(_line_items, points=points), percent
     )
     place = F.struct("doc_id", "line_no")
-    first = lines.filter("node is not null").groupBy("node").agg(F.min(place).alias("first"))
-    named = first.join(labels, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    first = lines.filter("node is not null").groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    # Lines that come once and are linked with nothing stand for themselves.
+    named = first.join(labels, "node", "left").filter("n > 1 or component is not null")
+    named = named.withColumn("class", F.coalesce("component", "node"))
     least = named.groupBy("class").agg(F.min("first").alias("head"))
     heads = materialize(named.join(least, "class").select("node", "head"))
     own = F.coalesce(F.col("head"), place)
-    return lines.select("doc_id", "line_no", "node").join(heads, "node", "left").select(
+    return lines.join(heads, "node", "left").select(
         "doc_id",
         "line_no",
         own["doc_id"].alias("class_doc"),

@@ -188,3 +188,73 @@ def linked_components(
     found = compare(_with_content(more, contents), percent).filter("linked").select("a", "b")
     # The components so far stand for their links.
     return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
+
+
+def shared_bands(signatures: DataFrame) -> DataFrame:
+    """(band, node) of the bands that several nodes have; ``signatures``: (node, bands), one row a node."""
+    keyed = signatures.select("node", F.explode("bands").alias("band"))
+    shared = materialize(keyed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band"))
+    likely = sieve(shared, "band")
+    return materialize(keyed.filter(likely(F.col("band"))).join(shared, "band").select("band", "node"))
+
+
+def components_of_buckets(
+    members: DataFrame,
+    contents: DataFrame,
+    compare: Callable[[DataFrame, int], DataFrame],
+    items: Callable[[DataFrame], DataFrame],
+    percent: int,
+) -> DataFrame:
+    """(node, component) of all nodes linked with another one of a common bucket.
+
+    ``members``: (band, node) of buckets of two nodes and more; ``contents``: (node, content), the
+    others as for ``linked_components``. Every member meets its bucket's hub. Buckets whose
+    members are not one component then get up to four more hubs. In those that are still torn the members
+    that were no hub are searched exactly, each bucket by itself, by the rarest items inside it:
+    no two linked members of a bucket end in different components, and work grows with the members.
+    """
+    turned = F.xxhash64("node", "band")
+    hubs = members.groupBy("band").agg(F.min_by("node", turned).alias("hub"))
+    spokes = materialize(members.join(hubs, "band").filter("node <> hub"))
+    pair = F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")
+    pairs = spokes.select(*pair).distinct()
+    checked = materialize(compare(_with_content(pairs, contents), percent))
+    labels = components(checked.filter("linked").select("a", "b"))
+
+    def torn(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """``rows`` (band, node) of the bands with several components, with the component."""
+        named = rows.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+        several = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        return materialize(named.join(several.filter("low <> high").select("band"), "band"))
+
+    # The hub has met all others, so only its spokes can still be apart.
+    rest = torn(spokes.select("band", "node"), labels)
+    if rest.isEmpty():
+        return labels
+    other, one = F.xxhash64("band", "node"), F.struct("node", "component")
+    picks = [f(one, by) for f in (F.min_by, F.max_by) for by in (turned, other)]
+    hubs = rest.groupBy("band").agg(F.array_distinct(F.array(*picks)).alias("hubs"))
+    hubs = hubs.select("band", F.explode("hubs").alias("h")).select("band", F.col("h.node").alias("hub"), F.col("h.component").alias("hub_component"))
+    hubs = materialize(hubs)
+    pairs = rest.join(hubs, "band").filter("component <> hub_component").select(*pair).distinct()
+    pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    found = compare(_with_content(pairs, contents), percent).filter("linked").select("a", "b")
+    known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    labels = components(known.unionByName(found))
+
+    rest = torn(rest.join(hubs.select("band", F.col("hub").alias("node")), ["band", "node"], "left_anti").select("band", "node"), labels)
+    if rest.isEmpty():
+        return labels
+    # A node stands for itself in each of its torn buckets, and so do its items.
+    rest = rest.withColumn("own", F.xxhash64("band", "node"))
+    sets = items(contents.join(rest.select("node").distinct(), "node", "left_semi"))
+    sets = rest.join(sets, "node").select(
+        F.col("own").alias("node"), F.transform("items", lambda x: F.xxhash64("band", x)).alias("items")
+    )
+    more = _across(sets, rest.select(F.col("own").alias("node"), "component"), percent)
+    left, right = (rest.select(F.col("own").alias(c), F.col("node").alias(f"{c}_node")) for c in "ab")
+    more = more.join(left, "a").join(right, "b").select(
+        F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")
+    )
+    found = compare(_with_content(materialize(more.distinct()), contents), percent).filter("linked").select("a", "b")
+    return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
