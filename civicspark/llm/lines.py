@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from civicspark.llm import shingles
-from civicspark.llm.common import _slices, arrow_rows, in_order, share_package, utf8
+from civicspark.llm.common import _slices, arrow_rows, in_order, share_package, sieve, utf8
 from civicspark.llm.links import components_of_buckets, shared_bands
 from civicspark.session import discard, materialize
 
@@ -25,9 +25,9 @@ SLOTS = 512
 #: rarely, the more the more runs they have: (slots filled from, and up to, code points more than compared,
 #: bands, coordinates a band). Linked lines fill numbers of slots within a fifth of each other or so, so
 #: they have a class in common. With runs of three, a pair of 0.8 is missed with a chance of 7 in 10^5
-#: in the first class and 2 in 10^3 in the second; in the third with 3 in 100 if the changes are spread evenly, fewer if
-#: they lie together, and 2 in 10^3 at 0.85.
-CLASSES = ((0, 40, 0, 24, 5), (28, 110, 1, 24, 5), (75, SLOTS, 4, 16, 3))
+#: in the first class and 2 in 10^3 in the second; in the third with 6 in 100 if single letters change at even distances, fewer
+#: if changes lie together, and 7 in 10^3 at 0.85.
+CLASSES = ((0, 40, 0, 24, 5), (28, 110, 1, 24, 5), (75, SLOTS, 5, 16, 3))
 LEAST_COUNTED = CLASSES[1][0]
 
 LINES = T.StructType(
@@ -89,7 +89,7 @@ def _shingles(data: np.ndarray, offsets: np.ndarray, points: int | None) -> tupl
 def variety(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many of ``SLOTS`` slots the runs of three code points of each text fill."""
     starts = np.flatnonzero((data & 0xC0) != 0x80)
-    ends = np.r_[starts[1:], len(data)]
+    ends = np.r_[starts, len(data)][1:]
     points = data[starts].astype(np.uint32) * np.uint32(0x9E3779B1) + data[ends - 1]
     at = np.searchsorted(starts, offsets)
     counts = np.diff(at)
@@ -180,8 +180,22 @@ def _pick(text: np.ndarray, borders: np.ndarray, rows: np.ndarray) -> tuple[np.n
     return text[at], cuts
 
 
-def _line_sets(column: pa.Array, points: int | None) -> tuple[np.ndarray, np.ndarray]:
-    return shingles.sets(*_shingles(*utf8(column), points))
+#: Slots of the sets of a pair; more would only spare more exact comparisons.
+PAIR_SLOTS = 1024
+
+
+def _slots(hashes: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """Which of ``PAIR_SLOTS`` slots each set fills."""
+    filled = np.zeros((len(borders) - 1) * PAIR_SLOTS, bool)
+    owner = np.repeat(np.arange(len(borders) - 1) * PAIR_SLOTS, np.diff(borders))
+    filled[owner + (hashes >> np.uint64(54)).astype(np.int64)] = True
+    return filled.reshape(-1, PAIR_SLOTS)
+
+
+def _maybe_alike(x: np.ndarray, xs: np.ndarray, y: np.ndarray, ys: np.ndarray, percent: int) -> np.ndarray:
+    """Rows whose sets may be alike: every slot that one of them fills alone holds an element of it alone."""
+    apart = (_slots(x, xs) ^ _slots(y, ys)).sum(1)
+    return np.flatnonzero(apart * (100 + percent) <= (100 - percent) * (np.diff(xs) + np.diff(ys)))
 
 
 def compare_lines(pairs: DataFrame, percent: int, points: int | None = None) -> DataFrame:
@@ -190,13 +204,13 @@ def compare_lines(pairs: DataFrame, percent: int, points: int | None = None) ->
     def run(batches):
         for batch in batches:
             for part in _slices(batch, "x"):
-                (x, xs), (y, ys) = _line_sets(part.column("x"), points), _line_sets(part.column("y"), points)
-                linked = []
-                for i in range(part.num_rows):
-                    a, b = x[xs[i] : xs[i + 1]], y[ys[i] : ys[i + 1]]
+                (x, xs), (y, ys) = (_shingles(*utf8(part.column(c)), points) for c in ("x", "y"))
+                linked = np.zeros(part.num_rows, bool)
+                for i in _maybe_alike(x, xs, y, ys, percent):
+                    a, b = np.unique(x[xs[i] : xs[i + 1]]), np.unique(y[ys[i] : ys[i + 1]])
                     least, most = sorted((len(a), len(b)))
                     shared = len(np.intersect1d(a, b, assume_unique=True)) if least * 100 >= percent * most else 0
-                    linked.append(shared * 100 >= percent * (least + most - shared))
+                    linked[i] = shared * 100 >= percent * (least + most - shared)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("a"), part.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"]
                 )
@@ -236,7 +250,9 @@ def duplicate_lines(
     repeated = materialize(
         first_rows.groupBy("node").agg(F.min("slice").alias("keep"), F.count("*").alias("n")).filter("n > 1").drop("n")
     )
-    distinct = first_rows.join(repeated, "node", "left").filter("keep is null or keep = slice")
+    likely = sieve(repeated, "node")(F.col("node"))
+    again = first_rows.filter(likely).join(repeated, "node", "left").filter("keep is null or keep = slice").drop("keep")
+    distinct = first_rows.filter(~likely).unionByName(again)
     members = shared_bands(distinct.select("node", "bands"))
     contents = materialize(
         distinct.select("node", "content").join(members.select("node").distinct(), "node", "left_semi"), codec="zstd"
