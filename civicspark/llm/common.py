@@ -66,14 +66,14 @@ def arrow_rows(
     return df.mapInArrow(run, schema)
 
 
-def _slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, text: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     if not batch.num_rows:
         return
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
     start = 0
     while start < batch.num_rows:
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + CHUNK_BYTES, "right")))
+        stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
         yield batch.slice(start, stop - start)
         start = stop
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import partial
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from civicspark.llm import shingles
 from civicspark.llm.common import _slices, arrow_rows, in_order, share_package, sieve, utf8
-from civicspark.llm.links import components_of_buckets, shared_bands
+from civicspark.llm.links import components_of_spokes, spokes_of_bands
 from civicspark.session import discard, materialize
 
 #: 12 bands of 4 coordinates find a pair of similarity 0.9 but for a chance of 3 in 10^6, one
@@ -29,6 +30,10 @@ SLOTS = 512
 #: if changes lie together, and 7 in 10^3 at 0.85.
 CLASSES = ((0, 40, 0, 24, 5), (28, 110, 1, 24, 5), (75, SLOTS, 5, 16, 3))
 LEAST_COUNTED = CLASSES[1][0]
+#: Bytes of text that are hashed and signed at a time: what is made of them stays in the processor's cache.
+CACHED_BYTES = 500_000
+#: Bits of the sketch of a line.
+SKETCH_BITS = 512
 
 LINES = T.StructType(
     [
@@ -36,7 +41,6 @@ LINES = T.StructType(
         T.StructField("line_no", T.IntegerType()),
         T.StructField("node", T.LongType()),
         T.StructField("slice", T.LongType()),
-        T.StructField("bands", T.ArrayType(T.LongType())),
         T.StructField("content", T.StringType()),
     ]
 )
@@ -46,39 +50,28 @@ LINES_ARROW = pa.schema(
         ("line_no", pa.int32()),
         ("node", pa.int64()),
         ("slice", pa.int64()),
-        ("bands", pa.list_(pa.int64())),
         ("content", pa.string()),
     ]
 )
+#: A-Z lowered, all white space but line feeds as spaces.
+PLAIN = bytes(32 if c in b"\t\v\f\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def plain_lines(data: np.ndarray, offsets: np.ndarray):
+def plain_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Lines of the texts, A-Z lowered, runs of white space as one space, none at the ends.
 
-    Returns their bytes and borders, the text of each line and its number in it.
+    Returns them with the text of each line and its number in it.
     """
-    breaks = data == 10
-    starts_at = np.zeros(len(data) + 1, bool)
-    starts_at[offsets[:-1]] = True
-    starts_at[1:][breaks] = True
-    # A text that is empty, or ends in a line break, has an empty last line.
-    lines_of = np.add.reduceat(np.r_[breaks, False].astype(np.int64), np.minimum(offsets[:-1], len(data)))
-    lines_of = np.where(np.diff(offsets) > 0, lines_of, 0) + 1
+    raw = data.tobytes()
+    lines_of = np.diff(np.searchsorted(np.flatnonzero(data == 10), offsets)) + 1
+    cuts = offsets.tolist()
+    plain = b"\n".join([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]).translate(PLAIN)
+    while b"  " in plain:
+        plain = plain.replace(b"  ", b" ")
+    plain = plain.replace(b" \n", b"\n").replace(b"\n ", b"\n").strip(b" ")
     owner = np.repeat(np.arange(len(lines_of)), lines_of)
     first = np.r_[0, np.cumsum(lines_of)]
-    number = np.arange(first[-1]) - first[owner]
-    raw_start = np.empty(first[-1], np.int64)
-    raw_start[number == 0] = offsets[:-1]
-    raw_start[number > 0] = np.flatnonzero(breaks) + 1
-    space = shingles.IS_SPACE[data]
-    solid = np.r_[0, np.cumsum(~space)]
-    line_of = np.repeat(np.arange(first[-1]), np.diff(np.r_[raw_start, len(data)]))
-    follows = np.r_[~space[1:], False] & ~np.r_[starts_at[1:-1], True] if len(data) else space
-    inner = space & follows & (solid[:-1] > solid[raw_start[line_of]])
-    keep = ~space | inner
-    kept = np.where(space, np.uint8(32), shingles.LOWER[data])[keep]
-    borders = np.r_[0, np.cumsum(keep)][np.r_[raw_start, len(data)]]
-    return kept, borders, owner, number
+    return plain.split(b"\n"), owner, np.arange(first[-1]) - first[owner]
 
 
 def _shingles(data: np.ndarray, offsets: np.ndarray, points: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -86,98 +79,99 @@ def _shingles(data: np.ndarray, offsets: np.ndarray, points: int | None) -> tupl
     return shingles.point_shingles(data, offsets, points) if points else shingles.char_shingles(data, offsets)
 
 
-def variety(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """How many of ``SLOTS`` slots the runs of three code points of each text fill."""
-    starts = np.flatnonzero((data & 0xC0) != 0x80)
-    ends = np.r_[starts, len(data)][1:]
-    points = data[starts].astype(np.uint32) * np.uint32(0x9E3779B1) + data[ends - 1]
-    at = np.searchsorted(starts, offsets)
+def _filled(points: np.ndarray, at: np.ndarray, slots: int) -> np.ndarray:
+    """Which of the slots the runs of three code points of each text fill."""
+    place = np.repeat(np.arange(len(at) - 1) * slots, np.diff(at))
+    place += shingles.point_marks(points, at, 3) >> np.uint32(33 - slots.bit_length())
+    filled = np.zeros((len(at) - 1) * slots, bool)
+    filled[place] = True
+    return filled.reshape(-1, slots)
+
+
+def _variety(points: np.ndarray, at: np.ndarray) -> np.ndarray:
     counts = np.diff(at)
     # Texts with fewer code points are in the first class alone, whatever their runs.
-    filled = np.minimum(counts, LEAST_COUNTED - 1)
-    long = np.flatnonzero(counts >= LEAST_COUNTED)
-    if len(long):
-        runs = counts[long] - 2
-        borders = np.r_[0, np.cumsum(runs)]
-        first = np.repeat(at[:-1][long] - borders[:-1], runs) + np.arange(borders[-1])
-        mixed = points[first] * np.uint32(0x85EBCA6B) ^ points[first + 1] * np.uint32(0xC2B2AE35)
-        mixed = (mixed ^ points[first + 2]) * np.uint32(0x27D4EB2F)
-        slots = np.zeros(len(long) * SLOTS, bool)
-        slots[np.repeat(np.arange(len(long)) * SLOTS, runs) + (mixed >> np.uint32(23))] = True
-        filled[long] = slots.reshape(-1, SLOTS).sum(1)
-    return filled
-
-
-def _band_keys(text: np.ndarray, borders: np.ndarray, rows: np.ndarray, points: int | None) -> pa.ListArray:
-    """The band keys of some lines."""
+    few = np.minimum(counts, LEAST_COUNTED - 1)
+    return np.where(counts < LEAST_COUNTED, few, np.count_nonzero(_filled(points, at, SLOTS), axis=1))
+
+
+def variety(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many of ``SLOTS`` slots the runs of three code points of each text fill."""
+    return _variety(*shingles.code_points(data, offsets))
+
+
+def _band_keys(data: np.ndarray, offsets: np.ndarray, points: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The band keys of some lines, and the line of each."""
     if not points:
-        keys = shingles.bands(shingles.linear_minhash(*shingles.char_shingles(*_pick(text, borders, rows)), BANDS * ROWS), ROWS)
-        owner, keys = np.repeat(np.arange(len(rows)), BANDS), keys.ravel()
-    else:
-        filled = variety(*_pick(text, borders, rows))
-        owners, found = [], []
-        for low, high, more, bands, width in CLASSES:
-            which = np.flatnonzero((filled >= low) & (filled <= high))
-            runs = shingles.point_shingles(*_pick(text, borders, rows[which]), points + more)
-            found.append(shingles.bands(shingles.linear_minhash(*runs, bands * width), width).ravel() ^ more)
-            owners.append(np.repeat(which, bands))
-        owner, keys = np.concatenate(owners), np.concatenate(found)
-        order = np.argsort(owner, kind="stable")
-        owner, keys = owner[order], keys[order]
-    cuts = np.searchsorted(owner, np.arange(len(rows) + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys))
-
-
-def _sign(batch: pa.RecordBatch, number_of_slice: int, points: int | None) -> pa.RecordBatch:
-    text, borders, owner, number = plain_lines(*utf8(batch.column("text")))
-    node = shingles.span_hashes(text, borders[:-1], borders[1:])
-    empty = np.diff(borders) == 0
+        keys = shingles.bands(shingles.linear_minhash(*shingles.char_shingles(data, offsets), BANDS * ROWS), ROWS)
+        return np.repeat(np.arange(len(keys)), BANDS), keys.ravel()
+    numbers, at = shingles.code_points(data, offsets)
+    counts, filled = np.diff(at), _variety(numbers, at)
+    owners, found = [], []
+    for low, high, more, bands, width in CLASSES:
+        inside = (filled >= low) & (filled <= high)
+        cuts = np.r_[0, np.cumsum(counts[inside])]
+        marks = shingles.point_marks(numbers[np.repeat(inside, counts)], cuts, points + more)
+        found.append(shingles.bands(shingles.minima_of_marks(marks, cuts, bands * width), width).ravel() ^ more)
+        owners.append(np.repeat(np.flatnonzero(inside), bands))
+    return np.concatenate(owners), np.concatenate(found)
+
+
+def _strings(rows: list[bytes]) -> pa.StringArray:
+    cuts = np.r_[0, np.cumsum([len(x) for x in rows])].astype(np.int32)
+    return pa.StringArray.from_buffers(len(rows), pa.py_buffer(cuts.tobytes()), pa.py_buffer(b"".join(rows)))
+
+
+def _split(batch: pa.RecordBatch, number_of_slice: int) -> pa.RecordBatch:
+    plain, owner, number = plain_lines(*utf8(batch.column("text")))
+    node = np.frombuffer(b"".join([blake2b(x, digest_size=8).digest() for x in plain]), np.int64)
+    empty = np.fromiter(map(len, plain), np.int64, len(plain)) == 0
     full = np.flatnonzero(~empty)
-    # A line that comes again in this slice is signed once.
+    # A line that comes again in this slice is kept once.
     _, once = np.unique(node[full], return_index=True)
     once = np.sort(full[once])
-    content, cuts = _pick(text, borders, once)
-    strings = pa.StringArray.from_buffers(
-        len(once), pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(content.tobytes())
-    )
     place = np.zeros(len(node), np.int64)
     place[once] = np.arange(len(once))
-    signed = np.zeros(len(node), bool)
-    signed[once] = True
-    take = pa.array(place, mask=~signed)
+    first = np.zeros(len(node), bool)
+    first[once] = True
     return pa.RecordBatch.from_arrays(
         [
             batch.column("doc_id").take(pa.array(owner)),
             pa.array(number.astype(np.int32)),
-            pa.array(node.view(np.int64), mask=empty),
+            pa.array(node, mask=empty),
             pa.array(np.full(len(node), number_of_slice)),
-            _band_keys(text, borders, once, points).take(take),
-            strings.take(take),
+            _strings([plain[i] for i in once.tolist()]).take(pa.array(place, mask=~first)),
         ],
         schema=LINES_ARROW,
     )
 
 
-def _signed_lines(docs: DataFrame, points: int | None) -> DataFrame:
-    """Every line; those that are the first of their kind in their slice of the texts with bands and content."""
+def _split_lines(docs: DataFrame) -> DataFrame:
+    """Every line; those that are the first of their kind in their slice of the texts with content."""
 
     def run(batches):
         task, slices = TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in _slices(batch, "text"):
-                yield _sign(part, (task << 33) + slices, points)
+                yield _split(part, (task << 33) + slices)
                 slices += 1
 
     share_package(docs.sparkSession)
     return docs.mapInArrow(run, LINES)
 
 
-def _pick(text: np.ndarray, borders: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes and borders of some lines."""
-    sizes = np.diff(borders)[rows]
-    cuts = np.r_[0, np.cumsum(sizes)]
-    at = np.repeat(borders[rows] - cuts[:-1], sizes) + np.arange(cuts[-1])
-    return text[at], cuts
+def line_spokes(contents: DataFrame, points: int | None) -> DataFrame:
+    """(band, hub, node) of the lines (node, content) that have a band in common with others."""
+
+    def sign(batches):
+        for batch in batches:
+            nodes = batch.column("node").to_numpy(zero_copy_only=False)
+            for part in _slices(batch, "content", CACHED_BYTES):
+                owner, keys = _band_keys(*utf8(part.column("content")), points)
+                yield keys, nodes[: part.num_rows][owner]
+                nodes = nodes[part.num_rows :]
+
+    return spokes_of_bands(contents.select("node", "content"), sign)
 
 
 #: Slots of the sets of a pair; more would only spare more exact comparisons.
@@ -198,21 +192,28 @@ def _maybe_alike(x: np.ndarray, xs: np.ndarray, y: np.ndarray, ys: np.ndarray, p
     return np.flatnonzero(apart * (100 + percent) <= (100 - percent) * (np.diff(xs) + np.diff(ys)))
 
 
+def _distinct(hashes: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """The distinct hashes of each set, sorted: the number of the set (less than 2^20) and 44 bits of a hash."""
+    once = np.sort(np.repeat(np.arange(len(borders) - 1, dtype=np.uint64) << np.uint64(44), np.diff(borders)) | hashes >> np.uint64(20))
+    return once[np.r_[True, once[1:] != once[:-1]]] if len(once) else once
+
+
+def _sizes(once: np.ndarray, sets: int) -> np.ndarray:
+    return np.bincount((once >> np.uint64(44)).astype(np.int64), minlength=sets)
+
+
 def compare_lines(pairs: DataFrame, percent: int, points: int | None = None) -> DataFrame:
     """(a, b, linked) of pairs (a, b, x, y) of lines, by the exact similarity of their shingle sets."""
 
     def run(batches):
         for batch in batches:
-            for part in _slices(batch, "x"):
-                (x, xs), (y, ys) = (_shingles(*utf8(part.column(c)), points) for c in ("x", "y"))
-                linked = np.zeros(part.num_rows, bool)
-                for i in _maybe_alike(x, xs, y, ys, percent):
-                    a, b = np.unique(x[xs[i] : xs[i + 1]]), np.unique(y[ys[i] : ys[i + 1]])
-                    least, most = sorted((len(a), len(b)))
-                    shared = len(np.intersect1d(a, b, assume_unique=True)) if least * 100 >= percent * most else 0
-                    linked[i] = shared * 100 >= percent * (least + most - shared)
+            for part in _slices(batch, "x", CACHED_BYTES):
+                x, y = (_distinct(*_shingles(*utf8(part.column(c)), points)) for c in ("x", "y"))
+                both = np.sort(np.concatenate([x, y]))
+                shared = _sizes(both[1:][both[1:] == both[:-1]], part.num_rows)
+                union = _sizes(both, part.num_rows) - shared
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("a"), part.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"]
+                    [part.column("a"), part.column("b"), pa.array(shared * 100 >= percent * union)], names=["a", "b", "linked"]
                 )
 
     share_package(pairs.sparkSession)
@@ -230,6 +231,32 @@ def _line_items(contents: DataFrame, points: int | None = None) -> DataFrame:
     return arrow_rows(contents.select("node", "content"), schema, "content", build)
 
 
+def _sketched(contents: DataFrame, points: int | None) -> DataFrame:
+    """(node, n, sketch, content) of lines: the size of the set, and the slots that it fills as one bit each."""
+    words = SKETCH_BITS // 64
+
+    def build(batch, data, offsets):
+        hashes, borders = _shingles(data, offsets, points)
+        once = _distinct(hashes, borders)
+        lines, slots = (once >> np.uint64(44)).astype(np.int64), (once >> np.uint64(44 - 9)).astype(np.int64) & (SKETCH_BITS - 1)
+        bits = np.zeros(batch.num_rows * SKETCH_BITS, bool)
+        bits[lines * SKETCH_BITS + slots] = True
+        sketch = np.packbits(bits, bitorder="little").view(np.int64)
+        sketch = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * words), pa.array(sketch))
+        return pa.RecordBatch.from_arrays(
+            [batch.column("node"), pa.array(_sizes(once, batch.num_rows)), sketch, batch.column("content")],
+            names=["node", "n", "sketch", "content"],
+        )
+
+    def run(batches):
+        for batch in batches:
+            for part in _slices(batch, "content", CACHED_BYTES):
+                yield build(part, *utf8(part.column("content")))
+
+    share_package(contents.sparkSession)
+    return contents.select("node", "content").mapInArrow(run, "node long, n long, sketch array<long>, content string")
+
+
 def duplicate_lines(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, points: int | None = None
 ) -> DataFrame:
@@ -244,33 +271,38 @@ def duplicate_lines(
     columns are ignored.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialize(_signed_lines(docs, points), codec="zstd")
+    split = materialize(_split_lines(docs), codec="zstd")
     # One row of each distinct line, of its first slice.
-    first_rows = signed.filter("content is not null")
+    first_rows = split.filter("content is not null")
     repeated = materialize(
         first_rows.groupBy("node").agg(F.min("slice").alias("keep"), F.count("*").alias("n")).filter("n > 1").drop("n")
     )
     likely = sieve(repeated, "node")(F.col("node"))
     again = first_rows.filter(likely).join(repeated, "node", "left").filter("keep is null or keep = slice").drop("keep")
     distinct = first_rows.filter(~likely).unionByName(again)
-    members = shared_bands(distinct.select("node", "bands"))
-    contents = materialize(
-        distinct.select("node", "content").join(members.select("node").distinct(), "node", "left_semi"), codec="zstd"
-    )
-    lines = materialize(signed.select("doc_id", "line_no", "node"))
-    discard(signed)
-    labels = components_of_buckets(
-        members, contents, partial(compare_lines, points=points), partial(_line_items, points=points), percent
+    spokes = materialize(line_spokes(distinct, points))
+    members = materialize(spokes.select("node").union(spokes.select("hub")).distinct())
+    asked = sieve(members, "node")(F.col("node"))
+    contents = distinct.select("node", "content").filter(asked).join(members, "node", "left_semi")
+    contents = materialize(_sketched(contents, points), codec="zstd")
+    lines = materialize(split.select("doc_id", "line_no", "node"))
+    again_in_slice = materialize(split.filter("node is not null and content is null").select("node").distinct())
+    discard(split)
+    labels = components_of_spokes(
+        spokes, contents, partial(compare_lines, points=points), partial(_line_items, points=points), percent
     )
     place = F.struct("doc_id", "line_no")
-    first = lines.filter("node is not null").groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     # Lines that come once and are linked with nothing stand for themselves.
-    named = first.join(labels, "node", "left").filter("n > 1 or component is not null")
-    named = named.withColumn("class", F.coalesce("component", "node"))
+    several = materialize(again_in_slice.select("node").union(repeated.select("node")).union(labels.select("node")).distinct())
+    headed = sieve(several, "node")(F.col("node"))
+    some = lines.filter("node is not null").filter(headed).join(several, "node", "left_semi")
+    first = some.groupBy("node").agg(F.min(place).alias("first"))
+    named = first.join(labels, "node", "left").withColumn("class", F.coalesce("component", "node"))
     least = named.groupBy("class").agg(F.min("first").alias("head"))
     heads = materialize(named.join(least, "class").select("node", "head"))
+    alone = lines.filter(~headed).withColumn("head", F.lit(None).cast(heads.schema["head"].dataType))
     own = F.coalesce(F.col("head"), place)
-    return lines.join(heads, "node", "left").select(
+    return lines.filter(headed).join(heads, "node", "left").unionByName(alone).select(
         "doc_id",
         "line_no",
         own["doc_id"].alias("class_doc"),

@@ -11,12 +11,14 @@ items.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicspark.llm.common import sieve
+from civicspark.llm.common import share_package, sieve
 from civicspark.session import materialize
 
 
@@ -190,16 +192,108 @@ def linked_components(
     return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
 
 
-def shared_bands(signatures: DataFrame) -> DataFrame:
-    """(band, node) of the bands that several nodes have; ``signatures``: (node, bands), one row a node."""
-    keyed = signatures.select("node", F.explode("bands").alias("band"))
-    shared = materialize(keyed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band"))
-    likely = sieve(shared, "band")
-    return materialize(keyed.filter(likely(F.col("band"))).join(shared, "band").select("band", "node"))
+#: Bytes of a band's key that are shuffled, the upper ones: two other bands have them in common once in 2^48.
+KEY_BYTES = 6
+#: Keys that a task holds before it looks for equal ones.
+HELD = 1 << 20
+
+
+def _packed(keys: np.ndarray, nodes: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """The keys and nodes of each part, a range of keys: all first bytes of its keys, all second, ..., then the nodes."""
+    keys = keys.view(np.uint64)
+    order = np.argsort(keys)
+    keys, nodes = keys[order], nodes[order]
+    cuts = np.searchsorted(keys >> np.uint64(32), (np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts))
+    upper = (keys >> np.uint64(64 - 8 * KEY_BYTES)).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+    for part in np.flatnonzero(np.diff(cuts)):
+        of = slice(cuts[part], cuts[part + 1])
+        yield int(part), upper[of].T.tobytes() + nodes[of].tobytes()
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // (KEY_BYTES + 8)
+    keys = np.zeros((n, 8), np.uint8)
+    keys[:, :KEY_BYTES] = np.frombuffer(data, np.uint8, n * KEY_BYTES).reshape(KEY_BYTES, n).T
+    return keys.view(np.int64).ravel(), np.frombuffer(data[n * KEY_BYTES :], np.int64)
+
+
+def _spokes(rows: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys, hubs and nodes: every node but the first of its key. Held are the first ones and a part of the others."""
+    keys, hubs = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held, count = [], 0
+
+    def settle():
+        nonlocal keys, hubs
+        all_keys = np.concatenate([keys, *(k for k, _ in held)])
+        all_nodes = np.concatenate([hubs, *(n for _, n in held)])
+        order = np.argsort(all_keys, kind="stable")
+        all_keys, all_nodes = all_keys[order], all_nodes[order]
+        first = np.r_[True, all_keys[1:] != all_keys[:-1]]
+        keys, hubs = all_keys[first], all_nodes[first]
+        spoke = np.flatnonzero(~first)
+        return all_keys[spoke], hubs[np.cumsum(first)[spoke] - 1], all_nodes[spoke]
+
+    for data in rows:
+        held.append(_unpacked(data))
+        count += len(held[-1][0])
+        if count >= max(HELD, len(keys)):
+            yield settle()
+            held, count = [], 0
+    if count:
+        yield settle()
+
+
+def spokes_of_bands(
+    rows: DataFrame, sign: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]]
+) -> DataFrame:
+    """(band, hub, node): of the nodes that have a band in common one is its hub, each other one gives a row.
+
+    ``sign`` makes arrays of band keys, and of the node of each, from ``rows``; a node has a key once.
+    Keys and nodes are shuffled as packed arrays by ranges of the keys, one range a partition.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def pack(batches):
+        def rows_of(signed):
+            keys, nodes = (np.concatenate(x) for x in zip(*signed, strict=True))
+            part, data = zip(*_packed(keys, nodes, parts), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
+
+        signed, count = [], 0
+        for keys, nodes in sign(batches):
+            if len(keys):
+                signed.append((keys, nodes))
+                count += len(keys)
+            if count >= HELD // 2:
+                yield rows_of(signed)
+                signed, count = [], 0
+        if signed:
+            yield rows_of(signed)
+
+    def meet(batches):
+        for found in _spokes(x.as_py() for batch in batches for x in batch.column("data")):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["band", "hub", "node"])
 
+    share_package(spark)
+    packed = rows.mapInArrow(pack, "part int, data binary").repartitionById(parts, F.col("part"))
+    return packed.select("data").mapInArrow(meet, "band long, hub long, node long")
 
-def components_of_buckets(
-    members: DataFrame,
+
+#: Buckets with so many pairs of a node outside the largest component and another one, or fewer, are searched pair by pair.
+PAIRS = 1 << 20
+
+
+def _may_link(percent: int, a: str, b: str) -> Column:
+    """Whether two sets may be linked, by their sizes and sketches: a slot that one of them fills alone holds an element of it alone."""
+    (na, nb), (sa, sb) = (f"n{a}", f"n{b}"), (f"sketch{a}", f"sketch{b}")
+    apart = sum(F.bit_count(F.get(sa, F.lit(i)).bitwiseXOR(F.get(sb, F.lit(i)))) for i in range(8))
+    sizes = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
+    return sizes & (apart * (100 + percent) <= (F.col(na) + F.col(nb)) * (100 - percent))
+
+
+def components_of_spokes(
+    spokes: DataFrame,
     contents: DataFrame,
     compare: Callable[[DataFrame, int], DataFrame],
     items: Callable[[DataFrame], DataFrame],
@@ -207,42 +301,75 @@ def components_of_buckets(
 ) -> DataFrame:
     """(node, component) of all nodes linked with another one of a common bucket.
 
-    ``members``: (band, node) of buckets of two nodes and more; ``contents``: (node, content), the
-    others as for ``linked_components``. Every member meets its bucket's hub. Buckets whose
-    members are not one component then get up to four more hubs. In those that are still torn the members
-    that were no hub are searched exactly, each bucket by itself, by the rarest items inside it:
-    no two linked members of a bucket end in different components, and work grows with the members.
+    ``spokes``: (band, hub, node) of buckets of two nodes and more; ``contents``: (node, n, sketch, content)
+    of their nodes, n the size of the set, sketch 512 slots that it fills or not; the others as for
+    ``linked_components``. Every member meets its bucket's hub. Where the members are not one component
+    then, all outside the largest one meet the members of other components. Buckets where these are more than
+    ``PAIRS`` pairs get up to four more hubs, and if they are still torn the members that were no hub are searched
+    exactly, each bucket by itself, by the rarest items inside it: no two linked members of a bucket end in
+    different components, and work grows with the members.
+    Pairs that cannot be linked by their sketches are left out before any content is fetched.
     """
-    turned = F.xxhash64("node", "band")
-    hubs = members.groupBy("band").agg(F.min_by("node", turned).alias("hub"))
-    spokes = materialize(members.join(hubs, "band").filter("node <> hub"))
+    sketches = contents.select("node", "n", "sketch")
+
+    def sketch(end: str) -> DataFrame:
+        return sketches.select(*(F.col(c).alias(c if c == "node" else c + end) for c in sketches.columns))
+
     pair = F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")
-    pairs = spokes.select(*pair).distinct()
-    checked = materialize(compare(_with_content(pairs, contents), percent))
-    labels = components(checked.filter("linked").select("a", "b"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return compare(_with_content(materialize(pairs), contents), percent).filter("linked").select("a", "b")
+
+    def met(rows: DataFrame) -> DataFrame:
+        """Pairs (a, b) of ``rows`` (node, hub) that may be linked."""
+        both = rows.select(*pair).distinct().join(sketch("_a").withColumnRenamed("node", "a"), "a")
+        both = both.join(sketch("_b").withColumnRenamed("node", "b"), "b")
+        return both.filter(_may_link(percent, "_a", "_b")).select("a", "b")
+
+    labels = components(linked(met(spokes)))
 
     def torn(rows: DataFrame, found: DataFrame) -> DataFrame:
-        """``rows`` (band, node) of the bands with several components, with the component."""
+        """``rows`` (band, node) of the bands with several components, with the component, the largest one and the pairs to search."""
         named = rows.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-        several = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        return materialize(named.join(several.filter("low <> high").select("band"), "band"))
+        parts = named.groupBy("band", "component").agg(F.count("*").alias("c"))
+        several = parts.groupBy("band").agg(
+            F.max_by("component", "c").alias("largest"),
+            F.count("*").alias("parts"),
+            ((F.sum("c") - F.max("c")) * F.sum("c")).alias("pairs"),
+        )
+        return materialize(named.join(several.filter("parts > 1").drop("parts"), "band"))
 
     # The hub has met all others, so only its spokes can still be apart.
     rest = torn(spokes.select("band", "node"), labels)
     if rest.isEmpty():
         return labels
-    other, one = F.xxhash64("band", "node"), F.struct("node", "component")
-    picks = [f(one, by) for f in (F.min_by, F.max_by) for by in (turned, other)]
-    hubs = rest.groupBy("band").agg(F.array_distinct(F.array(*picks)).alias("hubs"))
-    hubs = hubs.select("band", F.explode("hubs").alias("h")).select("band", F.col("h.node").alias("hub"), F.col("h.component").alias("hub_component"))
-    hubs = materialize(hubs)
-    pairs = rest.join(hubs, "band").filter("component <> hub_component").select(*pair).distinct()
-    pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    found = compare(_with_content(pairs, contents), percent).filter("linked").select("a", "b")
+    few = rest.filter(F.col("pairs") <= PAIRS).drop("pairs").join(sketches, "node")
+    one, other = (few.select("band", *(F.col(c).alias(c + end) for c in few.columns if c != "band")) for end in ("_a", "_b"))
+    pairs = (
+        one.filter("component_a <> largest_a")
+        .join(other, "band")
+        .filter("component_a <> component_b and (component_b = largest_b or node_a < node_b)")
+        .filter(_may_link(percent, "_a", "_b"))
+        .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    )
+    many = rest.filter(F.col("pairs") > PAIRS).select("band", "node", "component")
+    larger = not many.isEmpty()
+    if larger:
+        by, otherwise, one = F.xxhash64("node", "band"), F.xxhash64("band", "node"), F.struct("node", "component")
+        picks = [f(one, turned) for f in (F.min_by, F.max_by) for turned in (by, otherwise)]
+        hubs = many.groupBy("band").agg(F.array_distinct(F.array(*picks)).alias("hubs"))
+        hubs = hubs.select("band", F.explode("hubs").alias("h")).select(
+            "band", F.col("h.node").alias("hub"), F.col("h.component").alias("hub_component")
+        )
+        hubs = materialize(hubs)
+        pairs = pairs.unionByName(met(many.join(hubs, "band").filter("component <> hub_component")))
     known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    labels = components(known.unionByName(found))
+    labels = components(known.unionByName(linked(pairs.distinct())))
+    if not larger:
+        return labels
 
-    rest = torn(rest.join(hubs.select("band", F.col("hub").alias("node")), ["band", "node"], "left_anti").select("band", "node"), labels)
+    rest = many.join(hubs.select("band", F.col("hub").alias("node")), ["band", "node"], "left_anti").select("band", "node")
+    rest = torn(rest, labels).select("band", "node", "component")
     if rest.isEmpty():
         return labels
     # A node stands for itself in each of its torn buckets, and so do its items.
@@ -253,8 +380,6 @@ def components_of_buckets(
     )
     more = _across(sets, rest.select(F.col("own").alias("node"), "component"), percent)
     left, right = (rest.select(F.col("own").alias(c), F.col("node").alias(f"{c}_node")) for c in "ab")
-    more = more.join(left, "a").join(right, "b").select(
-        F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")
-    )
-    found = compare(_with_content(materialize(more.distinct()), contents), percent).filter("linked").select("a", "b")
+    more = more.join(left, "a").join(right, "b").select(F.col("a_node").alias("node"), F.col("b_node").alias("hub"))
+    found = linked(met(more))
     return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))

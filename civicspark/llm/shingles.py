@@ -96,20 +96,95 @@ def char_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return mix(out), borders
 
 
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 texts as numbers, and the texts' borders among them."""
+    if not len(data) or data.max() < 128:
+        return data.astype(np.uint32), offsets
+    lead = (data & 0xC0) != 0x80
+    at = np.r_[np.int32(0), np.cumsum(lead, dtype=np.int32)][offsets].astype(np.int64)
+    try:
+        return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32), at
+    except UnicodeError:  # a text that is not UTF-8: each first byte with up to three that follow it
+        starts = np.flatnonzero(lead)
+        size = np.diff(np.r_[starts, len(data)])
+        points = data[starts].astype(np.uint32) & np.array([0, 0x7F, 0x1F, 0x0F, 0x07], np.uint32)[np.minimum(size, 4)]
+        for k in (1, 2, 3):
+            longer = np.flatnonzero(size > k)
+            points[longer] = points[longer] << np.uint32(6) | (data[starts[longer] + k] & 0x3F)
+        return points, at
+
+
+def _weighed(x: np.ndarray, at: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """At each place the sum of the numbers from there on, each times its factor.
+
+    The last places of a text reach into the next one, except the first place of a text with fewer numbers.
+    """
+    out = x * factors[0]
+    for k in range(1, min(len(factors), len(x))):
+        out[:-k] += x[k:] * factors[k]
+    counts = np.diff(at)
+    short = np.flatnonzero((counts > 0) & (counts < len(factors)))
+    if len(short):
+        first, counts = at[short], counts[short]
+        value = np.zeros(len(short), x.dtype)
+        for k in range(len(factors) - 1):
+            has = counts > k
+            value[has] += x[first[has] + k] * factors[k]
+        out[first] = value
+    return out
+
+
 def point_shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of ``width`` code points of each UTF-8 text, and the texts' borders.
 
     A text with fewer code points is one shingle; an empty one has none.
     """
-    starts = np.flatnonzero((data & 0xC0) != 0x80)
-    at = np.searchsorted(starts, offsets)
+    points, at = code_points(data, offsets)
+    x = points.astype(np.uint64) + np.uint64(1)
+    if width <= 3:  # three code points fit into 64 bits
+        factors = np.array([1 << 21 * (width - 1 - k) for k in range(width)], np.uint64)
+    else:
+        x, factors = mix(x), _power("step", STEP, width)
+    whole = np.ones(len(x), bool)
+    for k in range(1, width):
+        place = at[1:] - k
+        whole[place[place > at[:-1]]] = False
     counts = np.diff(at)
     made = np.where((counts > 0) & (counts < width), 1, np.maximum(counts - width + 1, 0))
-    borders = np.r_[0, np.cumsum(made)]
-    first = np.repeat(at[:-1] - borders[:-1], made) + np.arange(borders[-1])
-    last = np.minimum(first + width, np.repeat(at[1:], made))
-    points = np.r_[starts, len(data)]
-    return span_hashes(data, points[first], points[last]), borders
+    return mix(_weighed(x, at, factors)[whole]), np.r_[0, np.cumsum(made)]
+
+
+#: Odd factors of the places of a run.
+_PLACES = _RANDOM.integers(0, 2**31, 16, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def _mix32(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(13)
+    x *= np.uint32(0xC2B2AE35)
+    x ^= x >> np.uint32(16)
+    return x
+
+
+def point_marks(points: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """32-bit hashes of the runs of ``width`` code points, as many as there are code points.
+
+    The last places of each text, where no whole run begins, repeat its last run. So the least
+    and the distinct marks of a text are those of its runs, and texts keep their borders.
+    """
+    marks = _mix32(_weighed(_mix32(points + np.uint32(1)), at, _PLACES[:width]))
+    last = np.maximum(at[1:] - width, at[:-1])
+    for k in range(1, width):
+        place = at[1:] - k
+        inside = place > last
+        marks[place[inside]] = marks[last[inside]]
+    return marks
+
+
+def minima_of_marks(marks: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """``size`` MinHash coordinates, each from a multiplication of the marks by its own odd number."""
+    return _minima(marks, at, size, _multiplied)
 
 
 def _runs(hashes: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
